@@ -15,14 +15,17 @@ import base64
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import emitted, rows
+from quern.llm.common import rows
 
 PIECE_CHARS = 1 << 16
+#: Ids in a batch of rows that goes back to Spark.
+BATCH_IDS = 1 << 19
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
 
 
@@ -45,20 +48,32 @@ def parts(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(text: str | None, rank_path: str, pattern: str, piece_chars: int = PIECE_CHARS) -> list[int]:
-    encode = encoding(rank_path, pattern).encode_ordinary
-    if not text or len(text) <= piece_chars:
-        return encode(text or "")
-    return [i for part in parts(text, piece_chars) for i in encode(part)]
+def encode_text(text: str | None, rank_path: str, pattern: str, piece_chars: int = PIECE_CHARS) -> np.ndarray:
+    """The ids of a text, without Python numbers in between."""
+    coder = encoding(rank_path, pattern)
+    each = [coder.encode_to_numpy(part, disallowed_special=()) for part in parts(text or "", piece_chars)]
+    return (each[0] if len(each) == 1 else np.concatenate(each)).astype(np.int32)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
     """key, tokens: each row's ids. One narrow pass, no shuffle."""
     out = pa.schema([("key", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
+    def batch(keys: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], schema=out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((k, encode_text(t, rank_path, pattern, piece_chars)) for k, t in rows(batches, "key", "text"))
-        return emitted(found, out, weight=lambda r: 4 * len(r[1]))
+        keys, ids, size = [], [], 0
+        for k, t in rows(batches, "key", "text"):
+            keys.append(k)
+            ids.append(encode_text(t, rank_path, pattern, piece_chars))
+            size += len(ids[-1])
+            if size >= BATCH_IDS:
+                yield batch(keys, ids)
+                keys, ids, size = [], [], 0
+        if keys:
+            yield batch(keys, ids)
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, "key long, tokens array<int>").withColumnRenamed("key", key)
@@ -70,6 +85,6 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, column: str = "token
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
         join = encoding(rank_path, pattern).decode_bytes
-        return pa.array((join(x or []) for x in ids.to_pylist()), type=pa.binary())
+        return pa.array((join(x.as_py() or []) for x in ids), type=pa.binary())  # a row's numbers at a time
 
     return tokens.withColumn("decoded", decoded(F.col(column)))

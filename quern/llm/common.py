@@ -13,23 +13,21 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def words(text: str) -> list[str]:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order."""
-    # bytes.split() splits at exactly these six characters; UTF-8 never holds their bytes inside a character
-    return text.encode("utf-8", "surrogatepass").decode("utf-8", "surrogatepass").split() if _plain(text) else [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+    return [w.decode("utf-8", "surrogatepass") for w in byte_words(text)]
 
 
 def byte_words(text: str) -> list[bytes]:
-    """The same words, as UTF-8."""
+    """The same words, as UTF-8: bytes.split() knows just these six characters, and none of them is part of another."""
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _plain(text: str) -> bool:
-    return text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-
 def rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """The rows of Arrow batches, as tuples of Python values."""
+    """The rows of Arrow batches, as tuples of Python values, a few hundred at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+        at = [batch.schema.get_field_index(c) for c in columns]
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            yield from zip(*(part.column(i).to_pylist() for i in at), strict=True)
 
 
 def emitted(found: Iterable[tuple], schema: pa.Schema, weight=None, limit: int = 4 << 20, most: int = 5000) -> Iterator[pa.RecordBatch]:

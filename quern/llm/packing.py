@@ -54,25 +54,32 @@ class Chunks:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, new: list[str]) -> None:
-        """The ids of unknown chunks: their words in one text each 500, whose ids are cut after each end-of-word token."""
-        split = [_WORD.findall(chunk) for chunk in new]
-        words = list({w for ws in split for w in ws} - self.word.keys())
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
+        """The ids of unknown chunks: their words in one text each 1000, whose ids are cut after each end-of-word token."""
+        alone, several = [], []
+        for chunk in new:
+            (alone if chunk.isalpha() else several).append(chunk)
+        split = [_WORD.findall(chunk) for chunk in several]
+        words = list(set(alone).union(*split).difference(self.word))
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            each = [x.tobytes() for x in np.split(ids, cuts[:-1])] if len(cuts) == len(some) and cuts[-1] == len(ids) else self._encode(some)
-            self.word.update(zip(some, each, strict=True))
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
+                joined = ids.tobytes()
+                self.word.update(zip(some, map(joined.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            else:
+                self.word.update(zip(some, self._encode(some), strict=True))
         get = self.word.__getitem__
-        self.known.update((chunk, b"".join(map(get, ws))) for chunk, ws in zip(new, split, strict=True))
+        self.known.update(zip(alone, map(get, alone), strict=True))
+        self.known.update((chunk, b"".join(map(get, ws))) for chunk, ws in zip(several, split, strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split: list[list[str] | None] = [t.lower().split() if t and not _OTHER.search(t) else [] if not t else None for t in texts]
+        split: list[list[str] | None] = [[] if not t else t.lower().split() if not _OTHER.search(t) else None for t in texts]
         if len(self.known) > _KEEP:
             self.known.clear()
             self.word.clear()
-        if new := list({w for s in split if s for w in s} - self.known.keys()):
+        if new := list(set().union(*filter(None, split)).difference(self.known)):
             self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if s is not None else self._encode([t])[0] for t, s in zip(texts, split, strict=True)]
