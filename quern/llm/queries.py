@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, html, packing, quality, simhash, toxicity
+from quern.llm import bpe, chat, embeddings, html, packing, quality, simhash, toxicity
 from quern.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,10 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     back = bpe.decode(tokens, RANKS, public_tokenizers.PATTERN)
@@ -38,6 +42,10 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate(read(spark, sf_dir, "documents"), PIECE_BPE)
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
@@ -51,12 +59,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_tool_calls": op1_chat_tool_calls,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash": op3_simhash,
     "op5_min_cut_extraction": op5_min_cut_extraction,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op10_toxicity": op10_toxicity,
+    "op7_itq_embeddings": op7_itq_embeddings,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_tool_calls": """
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
+               NULL::BOOLEAN AS linked, false AS cyclic, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS message
+        FROM conversations""",  # the tables hold no tool calls; tests do
+}

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import byte_words, checkpointed, emitted, rows
 from quern.llm.components import Forest, components
+from quern.llm.tiles import deal, runs
 
 WORDS, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Rows of a cell that one task compares, and of a tile within it.
@@ -92,20 +93,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
     bands = _bands(radius)
     value = [F.struct(F.lit(n).alias("band"), F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for n, (a, w) in enumerate(bands)]
     placed = distinct.select("fp", F.explode(F.array(*value)).alias("c")).select("fp", "c.*")
-    # as many rows as bands have values, whatever the input: radius 4 has five bands of 13 bits at most
-    sizes = placed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    placed = placed.join(F.broadcast(sizes), ["band", "value"]) if sum(1 << w for _, w in bands) <= 1 << 17 else placed.join(sizes, ["band", "value"])
-    own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int")
-    # part s goes to the tasks (0, s) ... (s, s) ... (s, parts - 1), where each pair of parts meets once
-    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("low"), F.greatest(t, F.col("own")).alias("high")))
-    dealt = placed.withColumn("own", own).select("band", "value", F.explode(tasks).alias("t"), "fp").select("band", "value", "t.*", "fp")
-    dealt = dealt.repartition("band", "value", "low", "high").sortWithinPartitions("band", "value", "low", "high")
+    dealt = deal(placed, ["band", "value"], F.col("fp"), cell)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int]]:
-            for _, fps in runs(batches):
-                if len(fps) > 1:
+            for _, part in runs(batches, ["band", "value", "low", "high"]):
+                if part.num_rows > 1:
+                    fps = part.column("fp").to_numpy()
                     for p, q in tile_links(fps.view(np.uint64), radius):
                         yield int(fps[p]), int(fps[q])
 
@@ -114,25 +109,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """The last column's numbers of each run of rows that are equal in the others, in arriving order."""
-    held_key, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        *keys, values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
-        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            key = tuple(k[a].item() for k in keys)
-            if key != held_key and held:
-                yield held_key, np.concatenate(held)
-                held = []
-            held_key = key
-            held.append(values[a:b])
-    if held:
-        yield held_key, np.concatenate(held)
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
     """key, fp, component (the least key reachable by links) of every row."""
     marked = checkpointed(fingerprints(docs, key, text, width, seed))
