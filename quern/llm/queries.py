@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, embeddings, html, packing, quality, simhash, toxicity
+from quern.llm import bpe, chat, embeddings, html, packing, quality, simhash, substring, toxicity
 from quern.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(read(spark, sf_dir, "documents"))
+
+
 def op5_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract_pages(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_tool_calls": op1_chat_tool_calls,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash": op3_simhash,
+    "op4_collinear_chaining": op4_collinear_chaining,
     "op5_min_cut_extraction": op5_min_cut_extraction,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op10_toxicity": op10_toxicity,
