@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, embeddings, html, packing, quality, simhash, substring, toxicity
+from quern.llm import bpe, chat, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity
 from quern.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,10 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op9_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_collinear_chaining": op4_collinear_chaining,
     "op5_min_cut_extraction": op5_min_cut_extraction,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op9_masked_pseudo_likelihood": op9_masked_pseudo_likelihood,
     "op10_toxicity": op10_toxicity,
     "op7_itq_embeddings": op7_itq_embeddings,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
