@@ -1,4 +1,4 @@
-"""Every registered query with its DuckDB twin; families add theirs at import."""
+"""Every registered query of the engine with its DuckDB twin."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quern.plans import figures_queries, ledger_queries, search_queries, text_queries
+
+_FAMILIES = (figures_queries, ledger_queries, text_queries, search_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for f in _FAMILIES for k, q in f.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for f in _FAMILIES for k, q in f.ORACLES.items()}
 FLAGSHIP = "figures_by_company"
