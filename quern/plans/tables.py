@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.shipping import ensure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
