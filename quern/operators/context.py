@@ -117,12 +117,18 @@ def planned_calls(calls: DataFrame, sources: DataFrame, most: int = CALL_LIMIT)
 
 
 def formatted_context(blocks: DataFrame) -> DataFrame:
-    """context_id, text: numbered blocks (context_id, place, act, act_name, citation, text), with each act named once above."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "act", "act_name", "citation", "text"))), lambda b: b)
-    grouped = blocks.groupBy("context_id").agg(lines.alias("b"))  # a context is capped
-    legend = F.array_distinct(F.transform("b", lambda b: F.concat(b["act"], F.lit(": "), b["act_name"])))
-    body = F.transform("b", lambda b: F.concat(F.lit("["), b["place"].cast("string"), F.lit("] "), b["act"], F.coalesce(F.concat(F.lit(", "), b["citation"]), F.lit("")), F.lit("\n"), b["text"]))
-    return grouped.select("context_id", F.concat(F.array_join(legend, "\n"), F.lit("\n\n"), F.array_join(body, "\n\n")).alias("text"))
+    """context_id, text: numbered blocks (context_id, place, name, citation, act, act_title, text, footer) as a model reads them.
+
+    Each act with a title is named once above, in order of first appearance; without any there is no legend.
+    """
+    fields = F.struct("place", "name", "citation", "act", "act_title", "text", "footer")
+    grouped = blocks.groupBy("context_id").agg(F.array_sort(F.collect_list(fields)).alias("b"))  # a context is capped
+    titled = F.filter("b", lambda x: x["act_title"].isNotNull() & (x["act_title"] != ""))
+    acts = F.array_distinct(F.transform(titled, lambda x: x["act"]))
+    first = F.transform(acts, lambda a: F.filter(titled, lambda x: x["act"] == a)[0])
+    legend = F.when(F.size(acts) > 0, F.array(F.concat(F.lit("Acts:\n"), F.array_join(F.transform(first, lambda x: F.concat(x["name"], F.lit(": "), x["act_title"])), "\n")))).otherwise(F.array().cast("array<string>"))
+    body = F.transform("b", lambda x, i: F.concat_ws("\n", F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), x["name"], F.lit(", "), x["citation"], F.lit(")")), x["text"], x["footer"]))
+    return grouped.select("context_id", F.array_join(F.concat(legend, body), "\n\n").alias("text"))
 
 
 def source_events(blocks: DataFrame) -> DataFrame:
