@@ -31,7 +31,7 @@ BUCKETS, CLASSES, SIZE, SIDE, SEED = 1 << 16, 32, 16, 2, 5
 STEP, BATCH = 2048, 4096
 #: Neighbours by place, as offsets.
 PLACES = tuple(d for d in range(-SIDE, SIDE + 1) if d)
-_KEEP = 1_000_000
+_KEEP = 300_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 

@@ -32,7 +32,7 @@ _OTHER = regex.compile(r"[^\x00-\x1b\x20-ɏ‐-‧‰-⁞€]")
 #: The tokenizer's words within a chunk: its own pattern.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks that are kept with their ids before the table starts anew.
-_KEEP = 1_200_000
+_KEEP = 300_000
 
 
 class Chunks:
@@ -73,12 +73,15 @@ class Chunks:
         self.known.update(zip(alone, map(get, alone), strict=True))
         self.known.update((chunk, b"".join(map(get, ws))) for chunk, ws in zip(several, split, strict=True))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.word.clear()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split: list[list[str] | None] = [[] if not t else t.lower().split() if not _OTHER.search(t) else None for t in texts]
         if len(self.known) > _KEEP:
-            self.known.clear()
-            self.word.clear()
+            self.forget()
         if new := list(set().union(*filter(None, split)).difference(self.known)):
             self._learn(new)
         get = self.known.__getitem__
@@ -180,7 +183,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
                     for doc, ids in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist()), strict=True):
                         yield doc, ids + end
 
-        return emitted(pack_ids(encoded(), size, TaskContext.get().partitionId() << 32), out, weight=lambda r: len(r[3]))
+        yield from emitted(pack_ids(encoded(), size, TaskContext.get().partitionId() << 32), out, weight=lambda r: len(r[3]))
+        coder.forget()  # the worker lives on
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long").withColumnRenamed("key", key)
