@@ -7,6 +7,7 @@ kind: quality rejects texts without words, and joins treat null ids as equal.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,11 +16,22 @@ from pyspark.sql import functions as F
 
 from quern.llm import packing, quality, simhash, substring, toxicity
 from quern.llm.common import checkpointed, read
+from quern.shipping import ensure
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _sent(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, run in a session whose workers have the package."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ensure(spark), docs, sf_dir)
+
+    return run_stage
+
+
 def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """The rows of docs whose id is (left_semi) or isn't (left_anti) among the ids."""
     ids = ids.select(F.col("doc_id").alias("_id"))
@@ -54,11 +66,11 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_rules),
-    ("toxicity", toxicity_filter),
-    ("simhash", simhash_dedup),
-    ("substring", substring_dedup),
-    ("packing", pack_windows),
+    ("quality", _sent(quality_rules)),
+    ("toxicity", _sent(toxicity_filter)),
+    ("simhash", _sent(simhash_dedup)),
+    ("substring", _sent(substring_dedup)),
+    ("packing", _sent(pack_windows)),
 ]
 
 #: SQL has no tokenizers, trained classifiers or alignments; tests hold the stages against plain versions.
