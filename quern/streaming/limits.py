@@ -73,7 +73,7 @@ def over_cap(ledger: DataFrame, cap: float, seconds: int = 86_400) -> DataFrame:
     A sum over everything in time order would be one task's work; costs are summed by hour first, and a request adds the
     whole hours within the day and its own hour's and the oldest hour's parts by a join on the hour.
     """
-    second = F.col("created_at").cast("long")
+    second = F.col("created_at").cast("timestamp").cast("long")
     rows = ledger.select("id", second.alias("t"), F.floor(second / 3600).alias("hour"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost"))
     hours = rows.groupBy("hour").agg(F.sum("cost").alias("cost"))
     span = seconds // 3600
