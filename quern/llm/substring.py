@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_words, checkpointed, emitted, rows
+from quern.llm.common import byte_words, checkpointed, emitted, rows, stored
 from quern.llm.tiles import runs
 
 K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 12, 50, 0.8
@@ -36,7 +36,7 @@ K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 12, 50, 0.8
 GAP = 0.05
 #: Words fetched beyond a chain's ends, and words in a fetched block.
 BEYOND, BLOCK = 64, 256
-_KEEP = 1_000_000
+_KEEP = 300_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Odd multipliers that tell the places of a k-mer apart.
@@ -102,6 +102,7 @@ def seeds(docs: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW
                 held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=out)
+        hashes().known.clear()  # the worker lives on
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     return chosen.mapInArrow(run, "h long, doc long, pos int")
@@ -110,7 +111,8 @@ def seeds(docs: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW
 def matches(found: DataFrame) -> DataFrame:
     """doc, source, x, y: every seed occurrence outside its first document, with the first one's place."""
     firsts = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("last > first.doc")
-    firsts = firsts.select("h", F.col("first.doc").alias("source"), F.col("first.pos").alias("y"))
+    # kept apart, so that the join below shuffles both sides itself and can split a seed that many documents hold
+    firsts = checkpointed(firsts.select("h", F.col("first.doc").alias("source"), F.col("first.pos").alias("y")))
     return found.join(firsts, "h").where("doc > source").select("doc", "source", F.col("pos").alias("x"), "y")
 
 
@@ -277,7 +279,8 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for b in range(0, len(h), BLOCK):
                     yield doc, b // BLOCK, h[b : b + BLOCK].tobytes()
 
-        return emitted(cut(), out)
+        yield from emitted(cut(), out)
+        hashes().known.clear()
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     return chosen.mapInArrow(run, "of long, block int, words binary")
@@ -286,7 +289,8 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """key, start, end (words), source, source_start, source_end, similarity: a row for each passage of a later document that
     an earlier one (by id) holds too."""
-    found = checkpointed(_chained(matches(seeds(docs, key, text, k, window)), k, window, least))
+    with stored(seeds(docs, key, text, k, window)) as sown:
+        found = checkpointed(_chained(matches(sown), k, window, least))
     name = ["doc", "source", "x0"]
 
     def wanted(side: int, of: str, lo: str, hi: str) -> DataFrame:
