@@ -13,8 +13,8 @@ One narrow pass over the texts measures them; medians come from Spark's mergeabl
 with a third of all rows is summed before the shuffle like any other.
 
 Edge cases: a null or empty text has no words, fails the base rules and stays out of the bands; a null language goes by the
-script of its text's letters; languages with fewer than `least` measured texts of a length share the
-script's band, and scripts with fewer reject nothing; equal rows are each
+script of its text's letters; a length
+with fewer than `least` texts of a language goes by the whole language, and a language with fewer rejects nothing; equal rows are each
 measured; other columns are left out of the measures and untouched by `keep`.
 """
 
@@ -40,7 +40,9 @@ SPACES = " \t\n\v\f\r"
 BANDS = {"chars_per_token": (0.06, 8.0, "both"), "byte_share": (1.0, 2.0, "upper"), "entropy": (0.11, 6.0, "lower")}
 #: The least number of texts that a band of its own takes.
 LEAST = 30
-_KEEP = 1_000_000
+#: Rows of a table that may be broadcast, after a count.
+SMALL = 20_000
+_KEEP = 300_000
 
 
 @functools.cache
@@ -152,7 +154,8 @@ def measure(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "
                         counts = base_counts(t, ws)
                         yield k, g, script(t), *counts, *fertility(ids, counts[1], v.bytes)
 
-        return emitted(measured(), out)
+        yield from emitted(measured(), out)
+        v.known.clear()  # the worker lives on
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.col(text).alias("text"))
     ddl = "key long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
@@ -164,12 +167,15 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
-    """script, lang (null: the whole script), octave, and the medians of the measures over all texts that pass the base rules."""
-    usable = measured.where(~base_failed() & (F.col("n_tokens") > 0)).withColumn("octave", _octave())
-    medians = [F.percentile_approx(c, 0.5, 10_000).alias(f"mid_{c}") for c in BANDS]
-    by_lang = usable.where("lang is not null").groupBy("script", "lang", "octave").agg(F.count("*").alias("n"), *medians)
-    by_script = usable.groupBy("script", "octave").agg(F.count("*").alias("n"), *medians).withColumn("lang", F.lit(None).cast("string"))
-    return by_lang.unionByName(by_script).where(F.col("n") >= least)
+    """script, lang, octave (null: all lengths), n and the medians of the measures over all texts that pass the base rules."""
+    usable = measured.where(~base_failed() & (F.col("n_tokens") > 0)).select("script", _lang().alias("lang"), _octave().alias("octave"), *BANDS)
+    # whole languages from the same sketches as their octaves: one pass, one shuffle of partial sketches
+    each = usable.rollup("script", "lang", "octave").agg(F.count("*").alias("n"), *(F.percentile_approx(c, 0.5, 2_000).alias(f"mid_{c}") for c in BANDS))
+    return checkpointed(each.where((F.col("n") >= least) & F.col("lang").isNotNull()))
+
+
+def _lang() -> Column:
+    return F.coalesce("lang", F.lit(""))
 
 
 def _octave() -> Column:
@@ -179,17 +185,21 @@ def _octave() -> Column:
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """The measured rows with base_failed and kept."""
     mids = [f"mid_{c}" for c in BANDS]
-    own = limits.where("lang is not null").select("script", "lang", "octave", *mids)
-    wide = limits.where("lang is null").select("script", "octave", *(F.col(m).alias(f"wide_{m}") for m in mids))
-    found = measured.withColumn("octave", _octave()).join(own, ["script", "lang", "octave"], "left").join(wide, ["script", "octave"], "left")
+    # a few rows for each script and language; counted, and only if few does every task get them instead of a shuffle by language
+    sent = F.broadcast if limits.limit(SMALL + 1).count() <= SMALL else lambda x: x
+    key = ["script", "_lang"]
+    own = sent(limits.where("octave is not null").select("script", F.col("lang").alias("_lang"), "octave", *mids))
+    wide = sent(limits.where("octave is null").select("script", F.col("lang").alias("_lang"), *(F.col(m).alias(f"wide_{m}") for m in mids)))
+    found = measured.withColumns({"_lang": _lang(), "octave": _octave()}).join(own, [*key, "octave"], "left").join(wide, key, "left")
     root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
     inside = F.lit(True)
     for c, (share, scatter, side) in BANDS.items():
-        mid = F.coalesce(f"mid_{c}", f"wide_mid_{c}")
+        # entropy grows with length, so that a length of few texts has no band for it
+        mid = F.col(f"mid_{c}") if c == "entropy" else F.coalesce(f"mid_{c}", f"wide_mid_{c}")
         off = F.col(c) - mid
         off = {"both": F.abs(off), "upper": off, "lower": -off}[side]
         inside = inside & F.coalesce(off <= F.greatest(mid * share, scatter / root), F.lit(True))
-    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
+    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")
 
 
 def rate(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
