@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.bind import bound
+
 #: Endings of registered company names, without the breaks that punctuation leaves.
 CORPORATE_ENDINGS = ("as", "sa", "ltd", "limited", "coltd", "inc", "corp", "co", "gmbh", "spa", "srl", "llc", "plc", "bv", "nv", "ag", "sas", "ab", "oy", "pteltd", "sl", "ltda", "ae")
 MOST_ENDING_WORDS = 3
@@ -37,15 +39,18 @@ def company_key(x: Column | str) -> Column:
 
 def word_runs(x: Column | str, most: int = 5) -> Column:
     """All runs of one to `most` neighbouring words of a name, each once."""
-    words = name_words(x)
-    size = F.size(words)
     none = F.array().cast("array<int>")
 
-    def runs(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).otherwise(none)
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    def runs(words: Column) -> Column:
+        size = F.size(words)
+
+        def of(n: int) -> Column:
+            starts = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).otherwise(none)
+            return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+        return F.array_distinct(F.flatten(F.array(*map(of, range(1, most + 1)))))
 
-    return F.array_distinct(F.flatten(F.array(*map(runs, range(1, most + 1)))))
+    return bound(name_words(x), runs)
 
 
 def ship_numbers(x: Column | str) -> Column:

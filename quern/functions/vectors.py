@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.bind import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,12 +19,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    size = F.sqrt(dot(a, a))
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    """The vector at length one; null for null and zero vectors."""
+    return bound(F.struct(a.alias("v"), F.sqrt(dot(a, a)).alias("size")), lambda b: F.when(b["size"] > 0, F.transform(b["v"], lambda x: x.cast("double") / b["size"])))
 
 
 def hash_embedding(tokens: Column, size: int = 64, probes: int = 64) -> Column:
     """A deterministic vector of a list of tokens: each token's probes count at crc32 places; then at length one."""
     places = F.flatten(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.crc32(F.concat(t, F.lit(":"), i.cast("string")).cast("binary")) % size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    return normalised(counts)
+    counts = bound(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(p, lambda x: x == d)).cast("double")))
+    return bound(counts, normalised)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import text
+from quern.functions.bind import bound
 from quern.operators.context import division_hashes
 
 #: Fixed value: words by which an answer gives away how it was prompted.
@@ -42,8 +43,8 @@ def _divisions(items: Column) -> Column:
 
 def share_found(targets: Column, items: Column) -> Column:
     """Share of the targets, repeats counted, whose division is among the items'; null without targets."""
-    have = _divisions(items)
-    return F.when(F.size(targets) > 0, F.size(F.filter(_divisions(targets), lambda d: F.array_contains(have, d))) / F.size(targets))
+    found = bound(_divisions(items), lambda have: F.filter(_divisions(targets), lambda d: F.array_contains(have, d)))
+    return F.when(F.size(targets) > 0, F.size(found) / F.size(targets))
 
 
 def recall(targets: Column, items: Column) -> Column:

@@ -10,7 +10,7 @@ from quern.plans.tables import LINES, lines, table
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ls = lines(spark, sf_dir).where("cast(celex as long) % 4 = 1")
+    ls = lines(spark, sf_dir)
     return ls.withColumn("metadata_hash", F.sha2(F.concat_ws("|", "topic", "position"), 256))
 
 
@@ -23,7 +23,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return corpus.occurrences(stored), corpus.occurrences(incoming)
 
 
-_V = f"""{LINES}, base AS (SELECT *, sha256(topic || '|' || CAST(position AS VARCHAR)) AS mh FROM lines WHERE CAST(celex AS BIGINT) % 4 = 1),
+_V = f"""{LINES}, base AS (SELECT *, sha256(topic || '|' || CAST(position AS VARCHAR)) AS mh FROM lines),
     st AS (SELECT id, celex, content_hash, CASE WHEN id % 6 <> 0 THEN mh END AS mh, row_number() OVER (PARTITION BY celex, content_hash ORDER BY position) - 1 AS occurrence FROM base WHERE id % 5 <> 0),
     inc AS (SELECT celex, content_hash, CASE WHEN id % 9 = 0 THEN 'x' ELSE mh END AS mh, row_number() OVER (PARTITION BY celex, content_hash ORDER BY position) - 1 AS occurrence FROM base WHERE id % 7 <> 0),
     act AS (SELECT coalesce(st.celex, inc.celex) AS celex, CASE WHEN st.celex IS NULL THEN 'add' WHEN inc.celex IS NULL THEN 'delete' WHEN st.mh IS NOT DISTINCT FROM inc.mh THEN 'keep' ELSE 'update' END AS action

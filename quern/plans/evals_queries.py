@@ -86,17 +86,19 @@ COVERAGE = """WITH c AS (SELECT count(*) FILTER (doc_id % 17 <> 0 AND doc_id % 1
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the benchmark's passages stand in documents: shared eight-word shingles count, a bounded list of them broadcast
-    by size only if Spark finds it small."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 8).alias("w")).where("size(w) = 8").select("item_id", F.array_join("w", " ").alias("shingle"))
-    words = F.split(F.regexp_replace("text", "\n", " "), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) >= 8")
-    shingles = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("shingle"))
-    return shingles.join(b, "shingle").groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
+    """Documents that share a run of eight words with each benchmark item, by an equi-join of shingles."""
 
+    def shingles(df: DataFrame, key: str) -> DataFrame:
+        words = df.select(key, F.split(F.regexp_replace("text", "\n", " "), " ").alias("w")).where("size(w) >= 8")
+        return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("shingle"))
 
-PASSAGES = """WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS s FROM benchmark WHERE len(string_split(text, ' ')) >= 8)
-    SELECT item_id, count(DISTINCT doc_id) AS documents FROM b JOIN documents ON contains(' ' || replace(text, chr(10), ' ') || ' ', ' ' || s || ' ') GROUP BY item_id"""
+    found = shingles(table(spark, sf_dir, "documents"), "doc_id").join(shingles(table(spark, sf_dir, "benchmark"), "item_id"), "shingle")
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("shingle").alias("shingles"))
+
+
+PASSAGES = """WITH d AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents), b AS (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark),
+    ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)), bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b))
+    SELECT item_id, count(DISTINCT doc_id) AS documents, count(DISTINCT s) AS shingles FROM ds JOIN bs USING (s) GROUP BY item_id"""
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:

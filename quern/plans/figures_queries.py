@@ -88,12 +88,12 @@ WHOLE_WORDS = """SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_na
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").select(F.lit("company").alias("kind"), text.name_key("n_name").alias("key"), F.col("n_name").alias("name"), F.lpad(F.col("n_nationkey").cast("string"), 7, "0").alias("number"))
-    q = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("what did "), "c_mktsegment", F.lit(" emit in "), F.lpad(F.col("c_nationkey").cast("string"), 7, "0"), F.lit("?")).alias("question"))
+    q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("what did "), "c_mktsegment", F.lit(" emit in "), F.lpad(F.col("c_nationkey").cast("string"), 7, "0"), F.lit("?")).alias("question"))
     common = spark.createDataFrame([("what",), ("did",), ("in",)], "word string")
     return figures.find_entities(q, names, common)
 
 
-ENTITIES = """SELECT c_custkey AS question_id, 'company' AS kind, n_name AS name, 1 AS place FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0"""
+ENTITIES = """SELECT c_custkey AS question_id, 'company' AS kind, n_name AS name, 1 AS place FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 QUERIES = {
     "figures_by_company": _grouped("company"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import display
-from quern.operators import search, tools
+from quern.operators import tools
 from quern.plans.tables import LEDGER, ledger, table
 from quern.streaming import limits, turns
 
@@ -67,8 +67,8 @@ def step_labels_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic vectors of the benchmark's items and how near they are to the first; they come from crc32 places."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(search.plain_lexemes(F.col("text")), 1, 6), " ").alias("text"))
+    """Deterministic vectors of the benchmark's items; they come from crc32 places."""
+    b = table(spark, sf_dir, "benchmark")
     return tools.embedded(b).select("item_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
 
