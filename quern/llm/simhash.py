@@ -114,8 +114,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     marked = checkpointed(fingerprints(docs, key, text, width, seed))
     distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
     linked = components(links(distinct.select("fp"), radius))
-    classes = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    classes = checkpointed(classes)
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "component_id")
+    # only fingerprints with links need their component's least key; tables are kept apart before they are joined, so that
+    # a join shuffles both of its sides itself and can split a component, or a fingerprint, that many rows share
+    members = checkpointed(distinct.join(linked.withColumnRenamed("node", "fp"), "fp"))
+    least = checkpointed(members.groupBy("component").agg(F.min("least").alias("component_id")))
+    found = members.join(least, "component").select("fp", "component_id")
+    named = checkpointed(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(named, "fp").select(key, "fp", "component_id")
