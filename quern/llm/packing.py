@@ -32,7 +32,13 @@ _OTHER = regex.compile(r"[^\x00-\x1b\x20-ɏ‐-‧‰-⁞€]")
 #: The tokenizer's words within a chunk: its own pattern.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks that are kept with their ids before the table starts anew.
-_KEEP = 300_000
+_KEEP = 1_200_000
+
+
+def _plain(text: str) -> bool:
+    if text.isascii():  # a few quick scans instead of a search
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return not _OTHER.search(text)
 
 
 class Chunks:
@@ -79,7 +85,7 @@ class Chunks:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split: list[list[str] | None] = [[] if not t else t.lower().split() if not _OTHER.search(t) else None for t in texts]
+        split: list[list[str] | None] = [[] if not t else t.lower().split() if _plain(t) else None for t in texts]
         if len(self.known) > _KEEP:
             self.forget()
         if new := list(set().union(*filter(None, split)).difference(self.known)):
