@@ -220,27 +220,28 @@ def stretches(place: np.ndarray, least: int = LEAST_WORDS, similarity: float = S
 
     similarity is the share of the stretch's words that the source holds in this order; what the source has between them
     counts only through the chain's gap costs, so that a source in which the passage was torn apart still shows it.
+
+    Of all stretches with enough words that begin and end on an equal word the one with the greatest gain is taken, then the
+    same on both sides of it. Its gain is below zero only if no stretch of enough words has the share.
     """
     loss = similarity / (1 - similarity)
-    gain = np.where(place >= 0, 1.0, -loss)
     found, todo = [], [(0, len(place))]
     while todo:
         lo, hi = todo.pop()
         if hi - lo < least:
             continue
-        sums = np.concatenate([[0.0], np.cumsum(gain[lo:hi])])
-        low = np.minimum.accumulate(sums)
-        end = int((sums - low).argmax())
-        begin = int(sums[: end + 1].argmin())
-        if sums[end] - sums[begin] <= 0:
+        equal = place[lo:hi] >= 0
+        sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -loss))])
+        begins = np.where(equal, sums[:-1], np.inf)
+        low = np.minimum.accumulate(begins)[: hi - lo - least + 1]
+        gains = np.where(equal[least - 1 :], sums[least:] - low, -np.inf)
+        best = int(gains.argmax())
+        if gains[best] < -1e-6:
             continue
-        x0, x1 = lo + begin, lo + end
+        x0, x1 = lo + int(begins[: best + 1].argmin()), lo + best + least
         y = place[x0:x1]
         y = y[y >= 0]
-        if x1 - x0 >= least:
-            found.append((x0, x1, int(y.min()), int(y.max()) + 1, len(y) / (x1 - x0)))
-        elif sums[end] - sums[begin] < least * 0.2:
-            continue  # no stretch of enough words can gain more than the best one
+        found.append((x0, x1, int(y.min()), int(y.max()) + 1, len(y) / (x1 - x0)))
         todo += [(lo, x0), (x1, hi)]
     return sorted(found)
 

@@ -86,3 +86,26 @@ def test_chains_are_the_best_by_plain_search():
         for p, q in zip(first, first[1:], strict=False):
             score += q[2] - substring.GAP * (q[0] - p[0] - p[2] + q[1] - p[1] - p[2])
         assert abs(score - max(best)) < 1e-9
+
+
+def test_stretches_with_edits_near_the_ends_and_dense_edits():
+    """The gain of the first stretch against all stretches, and passages a little over 50 words."""
+    place = np.arange(51)
+    for at in (1, 2, 48, 49):
+        edited = place.copy()
+        edited[at] = -1
+        assert [r[:2] for r in substring.stretches(edited)] == [(0, 51)]
+    dense = np.arange(60)
+    dense[5::6] = -1
+    (one,) = substring.stretches(dense)
+    assert one[1] - one[0] >= 50 and one[4] >= 0.8
+    assert not substring.stretches(np.where(np.arange(80) < 49, np.arange(80), -1))
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        place = np.where(rng.random(70) < rng.choice([0.75, 0.8, 0.85, 0.95]), np.arange(70), -1)
+        sums = np.concatenate([[0], np.cumsum(np.where(place >= 0, 1, -4))])
+        gains = [sums[j] - sums[i] for i in range(70) for j in range(i + 50, 71) if place[i] >= 0 and place[j - 1] >= 0]
+        got = substring.stretches(place)
+        assert bool(got) == (max(gains, default=-1) >= 0)
+        if got:
+            assert max(gains) in [sums[r[1]] - sums[r[0]] for r in got] and all(r[4] >= 0.8 and r[1] - r[0] >= 50 for r in got)
