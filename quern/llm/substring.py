@@ -2,7 +2,9 @@
 
 Seeds are k-mers of words, thinned to the least hash of every window, so that any shared run of window + k - 1 words shares
 one. Each seed's first document (least id) is its source, and every other occurrence is joined to that one: as many matches
-as occurrences, however many documents share a passage. Matches of a document with one source are merged along diagonals and
+as occurrences, however many documents share a passage. Where the first documents show no passage though the seeds lie as
+close as in one, the document before that has the seed left over too, and those before that have it with its neighbours, are
+tried: parts of a passage may have been seen first in different documents, none of which holds enough of it. Matches of a document with one source are merged along diagonals and
 chained in order of both texts by a Fenwick tree of prefix maxima, with a cost for each word of a gap. Chains are then
 aligned on the words themselves, fetched in blocks of word hashes: anchors word by word, gaps from both ends, and past both
 ends along the diagonal. Stretches of an alignment with enough words and enough of them equal are the passages; so edits
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import byte_words, checkpointed, emitted, rows, stored
@@ -36,6 +38,8 @@ K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 12, 50, 0.8
 GAP = 0.05
 #: Words fetched beyond a chain's ends, and words in a fetched block.
 BEYOND, BLOCK = 64, 256
+#: Words of a passage that may lie before its first seed, and after its last, when further holders of its seeds are tried.
+REACH = 8
 _KEEP = 300_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -109,11 +113,52 @@ def seeds(docs: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """doc, source, x, y: every seed occurrence outside its first document, with the first one's place."""
+    """h, doc, source, x, y: every seed occurrence outside its first document, with the first one's place."""
     firsts = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("last > first.doc")
     # kept apart, so that the join below shuffles both sides itself and can split a seed that many documents hold
     firsts = checkpointed(firsts.select("h", F.col("first.doc").alias("source"), F.col("first.pos").alias("y")))
-    return found.join(firsts, "h").where("doc > source").select("doc", "source", F.col("pos").alias("x"), "y")
+    return found.join(firsts, "h").where("doc > source").select("h", "doc", "source", F.col("pos").alias("x"), "y")
+
+
+def unexplained(matched: DataFrame, told: DataFrame, key: str, k: int = K, least: int = LEAST_WORDS, reach: int = REACH) -> DataFrame:
+    """key, doc, x, until: matched seeds outside the passages of `told`, in runs of a document's matched seeds that a passage
+    fits; by themselves and as rows of three and five, from the first one's place to the last one's.
+
+    Two seeds further apart than `least` words end a run; a run ends at most `reach` words inside a passage.
+    """
+    out = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("x", pa.int32()), ("until", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (doc,), part in runs(batches, ["doc"]):
+            h, x, end = (part.column(c).to_numpy() for c in ("h", "x", "end"))
+            spans, seed = end >= 0, end < 0
+            h, at = h[seed], x[seed]
+            if not len(at):
+                continue
+            begin = np.flatnonzero(np.append(True, np.diff(at) > least))
+            last = np.append(begin[1:], len(at)) - 1
+            wide = np.repeat(at[last] - at[begin] + k >= least - 2 * reach, last - begin + 1)
+            # a seed is explained if some passage holds all of it: the furthest end among those that begin before it
+            ends = np.maximum.accumulate(np.append(-1, end[spans]))[np.searchsorted(x[spans], at, side="right")]
+            left = wide & (ends < at + k)
+            h, at = h[left].view(np.uint64), at[left].astype(np.int32)
+            for n in (1, 3, 5):
+                if (size := len(h) - n + 1) > 0:
+                    row = sum(h[i : i + size] * _PLACES[i] for i in range(n))
+                    yield pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), pa.array(np.full(size, doc)), pa.array(at[:size]), pa.array(at[n - 1 :])], schema=out)
+
+    seen = matched.select("h", "doc", F.col("x").cast("int").alias("x"), F.lit(-1).alias("end"))
+    spans = told.select(F.lit(0).cast("long").alias("h"), F.col(key).alias("doc"), F.col("start").cast("int").alias("x"), F.col("end").cast("int").alias("end"))
+    return seen.unionByName(spans).repartition("doc").sortWithinPartitions("doc", "x").mapInArrow(run, "key long, doc long, x int, until int")
+
+
+def further(left: DataFrame) -> DataFrame:
+    """doc, source, x, y: both ends of each seed or row of seeds with their places in the document before that has it too."""
+    each = left.groupBy("key", "doc").agg(F.min(F.struct("x", "until")).alias("own"))
+    before = F.lag(F.struct("doc", "own")).over(Window.partitionBy("key").orderBy("doc"))
+    linked = each.withColumn("before", before).where("before is not null")
+    ends = F.explode(F.array(*(F.struct(F.col(f"own.{c}").alias("x"), F.col(f"before.own.{c}").alias("y")) for c in ("x", "until"))))
+    return linked.select("doc", F.col("before.doc").alias("source"), ends.alias("end")).select("doc", "source", "end.*").distinct()
 
 
 class PrefixMax:
@@ -291,7 +336,19 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """key, start, end (words), source, source_start, source_end, similarity: a row for each passage of a later document that
     an earlier one (by id) holds too."""
     with stored(seeds(docs, key, text, k, window)) as sown:
-        found = checkpointed(_chained(matches(sown), k, window, least))
+        matched = checkpointed(matches(sown))
+        told = checkpointed(_told(docs, checkpointed(_chained(matched, k, window, least)), key, text, least, similarity))
+        left = checkpointed(unexplained(matched, told, key, k, least))
+        if left.isEmpty():
+            return told
+        found = checkpointed(_chained(further(left), k, window, least))
+    more = _told(docs, found, key, text, least, similarity)
+    # a first document may be the one before too
+    return told.unionByName(more.join(told.select(key, "source", "start", "end"), [key, "source", "start", "end"], "left_anti").select(*told.columns).distinct())
+
+
+def _told(docs: DataFrame, found: DataFrame, key: str, text: str, least: int, similarity: float) -> DataFrame:
+    """The passages of the chains, as their words show them."""
     name = ["doc", "source", "x0"]
 
     def wanted(side: int, of: str, lo: str, hi: str) -> DataFrame:

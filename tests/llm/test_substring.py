@@ -109,3 +109,14 @@ def test_stretches_with_edits_near_the_ends_and_dense_edits():
         assert bool(got) == (max(gains, default=-1) >= 0)
         if got:
             assert max(gains) in [sums[r[1]] - sums[r[0]] for r in got] and all(r[4] >= 0.8 and r[1] - r[0] >= 50 for r in got)
+
+
+def test_passage_whose_parts_were_seen_first_elsewhere(spark):
+    """Documents 1 and 2, and 7 and 8 between the full holders, hold parts that are too short alone."""
+    own = lambda d, n: [f"own{d}x{i}" for i in range(n)]
+    p = [f"p{i}" for i in range(80)]
+    parts = {1: p[:48], 2: p[32:], 5: p, 7: p[:48], 8: p[32:], 9: p}
+    rows = [(d, " ".join(own(d, 70) + ws + own(d + 100, 70))) for d, ws in parts.items()]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(9, 5)}
+    assert {(r.start, r.end, r.source_start, r.source_end) for r in got} == {(70, 150, 70, 150)}
