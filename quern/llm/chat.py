@@ -116,10 +116,10 @@ def _call(x: Any) -> dict | None:
     return {"id": None if x.get("id") is None else str(x["id"]), "name": inner["name"], "arguments": arguments, "broken": broken}
 
 
-def parse(text: str | None) -> tuple[str | None, list[dict], str | None, list[tuple[str, Any]]]:
-    """content, calls, the identifier that the message answers, declared (name, schema) pairs."""
+def parse(text: str | None) -> tuple[str | None, list[dict], list[str], list[tuple[str, Any]]]:
+    """content, calls, the identifiers that the message answers, each once, declared (name, schema) pairs."""
     if not text or "{" not in text:
-        return text, [], None, []
+        return text, [], [], []
     whole = _loads(text) if text.lstrip().startswith("{") else None
     if isinstance(whole, dict) and not whole.keys().isdisjoint(("tools", "tool_calls", "tool_call_id")):
         calls = [c for x in whole.get("tool_calls") or [] if (c := _call(x))] if isinstance(whole.get("tool_calls", []), list) else []
@@ -130,15 +130,15 @@ def parse(text: str | None) -> tuple[str | None, list[dict], str | None, list[tu
                 tools.append((t["name"], t.get("parameters", {})))
         answer = whole.get("tool_call_id")
         content = whole.get("content")
-        return (content if content is None or isinstance(content, str) else canonical(content)), calls, None if answer is None else str(answer), tools
-    calls, answer = [], None
+        return (content if content is None or isinstance(content, str) else canonical(content)), calls, [] if answer is None else [str(answer)], tools
+    calls, answers = [], []
     for m in _SPAN.finditer(text):
         x = _loads(m[2])
         if m[1] == "call" and (c := _call(x)):
             calls.append(c)
         elif m[1] == "result" and isinstance(x, dict) and x.get("id") is not None:
-            answer = str(x["id"])
-    return (_SPAN.sub("", text).strip() if calls else text), calls, answer, []
+            answers.append(str(x["id"]))
+    return (_SPAN.sub("", text).strip() if calls else text), calls, list(dict.fromkeys(answers)), []
 
 
 def _references(value: Any) -> Iterator[str]:
@@ -153,13 +153,13 @@ def _references(value: Any) -> Iterator[str]:
             yield from _references(v)
 
 
-_PARSED = "conv long, turn long, seq long, role string, content string, calls array<struct<id:string,name:string,arguments:string,refs:array<string>,broken:boolean>>, answers string, tools array<struct<name:string,schema:string>>"
+_PARSED = "conv long, turn long, seq long, role string, content string, calls array<struct<id:string,name:string,arguments:string,refs:array<string>,broken:boolean>>, answers array<string>, tools array<struct<name:string,schema:string>>"
 
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row per message with its calls, what it answers and what it declares; seq tells rows apart."""
     call = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("refs", pa.list_(pa.string())), ("broken", pa.bool_())])
-    out = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("content", pa.string()), ("calls", pa.list_(call)), ("answers", pa.string()), ("tools", pa.list_(pa.struct([("name", pa.string()), ("schema", pa.string())])))])
+    out = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("content", pa.string()), ("calls", pa.list_(call)), ("answers", pa.list_(pa.string())), ("tools", pa.list_(pa.struct([("name", pa.string()), ("schema", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
@@ -202,7 +202,7 @@ def _order(messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFra
 def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", schemas: dict[str, dict] | None = None) -> DataFrame:
     """conv_id, turn, position, role, n_calls, n_invalid, linked, cyclic, message (canonical JSON), a row per message.
 
-    linked: for a message that answers a call, whether that call is there; null for others. n_invalid: calls with broken
+    linked: for a message that answers calls, whether all of them are there; null for others. n_invalid: calls with broken
     arguments, arguments that break the schema, or a repeated identifier.
     """
     all_rows = checkpointed(parsed(messages, conv, turn, role, text))
@@ -217,7 +217,7 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
         return pa.array([violations(json.loads(a), json.loads(s or known.get(n, "{}"))) for n, a, s in zip(names.to_pylist(), arguments.to_pylist(), schema.to_pylist(), strict=True)], type=pa.list_(pa.string()))
 
     calls = checkpointed(calls.withColumn("errors", broken("name", "arguments", "schema")).withColumn("valid", ~F.col("broken") & (F.size("errors") == 0) & (F.col("first") | F.col("id").isNull())))
-    results = all_rows.where("answers is not null").select(F.coalesce("conv", F.lit(-(1 << 62))).alias("conv"), "seq", F.col("answers").alias("id"))
+    results = all_rows.where(F.size("answers") > 0).select(F.coalesce("conv", F.lit(-(1 << 62))).alias("conv"), "seq", F.explode("answers").alias("id"))
     order = _order(all_rows, calls, results)
     told = all_rows.withColumn("key", F.coalesce("turn", F.lit(-(1 << 62))))
     if order is None:
@@ -225,23 +225,24 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
     else:
         told = told.join(order.withColumnRenamed("at", "later"), "seq", "left").withColumns({"key": F.coalesce("later", "key"), "depth": F.coalesce("depth", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))}).drop("later")
     counted = calls.groupBy("seq").agg(F.count_if(~F.col("valid")).alias("n_invalid"))
-    answered = results.join(calls.where("first").select("conv", "id").distinct(), ["conv", "id"], "left_semi").select("seq", F.lit(True).alias("found"))
+    known_calls = calls.where("first").select("conv", "id", F.lit(True).alias("there")).distinct()
+    answered = results.join(known_calls, ["conv", "id"], "left").groupBy("seq").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("found"))
     told = told.join(counted, "seq", "left").join(answered, "seq", "left")
     placed = numbered(told, "conv", ["key", "depth", "turn", "seq"])
 
     @F.arrow_udf("string")
     def line(roles: pa.Array, contents: pa.Array, called: pa.Array, answers: pa.Array) -> pa.Array:
-        def one(r: str | None, c: str | None, cs: list[dict] | None, a: str | None) -> str:
+        def one(r: str | None, c: str | None, cs: list[dict] | None, a: list[str]) -> str:
             message: dict[str, Any] = {"role": r, "content": c}
             if cs:
                 message["tool_calls"] = [{"id": x["id"], "name": x["name"], "arguments": json.loads(x["arguments"])} for x in cs]
-            if a is not None:
-                message["tool_call_id"] = a
+            if a:
+                message["tool_call_id" if len(a) == 1 else "tool_call_ids"] = a[0] if len(a) == 1 else a
             return canonical(message)
 
         return pa.array(map(one, roles.to_pylist(), contents.to_pylist(), called.to_pylist(), answers.to_pylist()), type=pa.string())
 
     return placed.select(
         F.col("conv").alias(conv), F.col("turn").alias(turn), "position", F.col("role").alias(role), F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_invalid", F.lit(0)).cast("long").alias("n_invalid"),
-        F.when(F.col("answers").isNotNull(), F.coalesce("found", F.lit(False))).alias("linked"), "cyclic", line("role", "content", "calls", "answers").alias("message"),
+        F.when(F.size("answers") > 0, F.coalesce("found", F.lit(False))).alias("linked"), "cyclic", line("role", "content", "calls", "answers").alias("message"),
     )

@@ -66,3 +66,19 @@ def test_table(spark):
     df = QUERIES["op1_chat_tool_calls"](spark, at)
     want = con.execute(f"select {', '.join(df.columns)} from ({ORACLES['op1_chat_tool_calls']})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_several_results_in_one_message(spark):
+    result = lambda *ids: " ".join(f'<tool_result>{{"id": "{i}", "content": 1}}</tool_result>' for i in ids)
+    rows = [
+        (1, 0, "assistant", call("late", a={"$ref": "a"})),  # waits for the first of two results
+        (1, 1, "assistant", call("a", a=1)),
+        (1, 2, "assistant", call("b", a=1)),
+        (1, 3, "tool", result("a", "b", "a")),
+        (1, 4, "tool", result("nobody", "b")),
+    ]
+    got = sorted(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.position)
+    assert len(got) == 5 and [r.turn for r in got] == [1, 2, 3, 0, 4]
+    at = {r.turn: r for r in got}
+    assert [at[t].linked for t in (3, 4, 0)] == [True, False, None]
+    assert json.loads(at[3].message)["tool_call_ids"] == ["a", "b"]
