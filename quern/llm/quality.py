@@ -14,8 +14,8 @@ with a third of all rows is summed before the shuffle like any other.
 
 Edge cases: a null or empty text has no words, fails the base rules and stays out of the bands; a null language goes by the
 script of its text's letters; a length
-with fewer than `least` texts of a language goes by the whole language, and a language with fewer rejects nothing; equal rows are each
-measured; other columns are left out of the measures and untouched by `keep`.
+with fewer than `least` texts of a language goes by the whole language, or for entropy by the nearest length; a language with
+fewer goes by its texts' scripts, and a script with fewer by all texts, however few; equal rows are each measured; other columns are left out of the measures and untouched by `keep`.
 """
 
 from __future__ import annotations
@@ -167,39 +167,62 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
-    """script, lang, octave (null: all lengths), n and the medians of the measures over all texts that pass the base rules."""
-    usable = measured.where(~base_failed() & (F.col("n_tokens") > 0)).select("script", _lang().alias("lang"), _octave().alias("octave"), *BANDS)
-    # whole languages from the same sketches as their octaves: one pass, one shuffle of partial sketches
-    each = usable.rollup("script", "lang", "octave").agg(F.count("*").alias("n"), *(F.percentile_approx(c, 0.5, 2_000).alias(f"mid_{c}") for c in BANDS))
-    return checkpointed(each.where((F.col("n") >= least) & F.col("lang").isNotNull()))
+    """level, group, octave (null: all lengths), n and the medians of the measures over the texts that pass the base rules.
 
+    Level 0 has the languages (scripts, for texts without one), 1 the scripts, 2 all texts; the first two only where there are
+    `least` texts, the last always.
+    """
+    usable = measured.where(~base_failed() & (F.col("n_tokens") > 0)).select(F.explode(_levels(_group(), F.col("script"))).alias("at"), _octave().alias("octave"), *BANDS).select("at.*", "octave", *BANDS)
+    # whole groups from the same sketches as their octaves: one pass, one shuffle of partial sketches
+    each = usable.rollup("level", "group", "octave").agg(F.count("*").alias("n"), *(F.percentile_approx(c, 0.5, 2_000).alias(f"mid_{c}") for c in BANDS))
+    return checkpointed(each.where(F.col("group").isNotNull() & ((F.col("n") >= least) | (F.col("level") == 2))))
 
-def _lang() -> Column:
-    return F.coalesce("lang", F.lit(""))
+
+def _group() -> Column:
+    return F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))
+
+
+def _levels(group: Column, script_: Column) -> Column:
+    return F.array(*(F.struct(F.lit(i).alias("level"), g.alias("group")) for i, g in enumerate((group, script_, F.lit("all")))))
 
 
 def _octave() -> Column:
-    return F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))
+    # of words: tokens and characters would give texts in a strange script lengths of their own
+    return F.floor(F.log2(F.greatest("n_words", F.lit(1))))
+
+
+def resolved(asked: DataFrame, limits: DataFrame) -> DataFrame:
+    """_group, script, octave and the mids that hold for them: of the first level that has some.
+
+    Within a level the octave's own come before the whole group's. Entropy grows with length: it comes from the nearest
+    shorter octave, which longer texts don't fall below, else from the nearest longer one in proportion
+    to the octaves, at two tokens a word.
+    """
+    key = ["_group", "script", "octave"]
+    levels = asked.select(*key, F.explode(_levels(F.col("_group"), F.col("script"))).alias("at")).select(*key, "at.*")
+    some = levels.join(limits.withColumnRenamed("octave", "of"), ["level", "group"])
+    plain = [c for c in BANDS if c != "entropy"]
+    own = F.when(F.col("of").isNull() | (F.col("of") == F.col("octave")), F.struct("level", F.col("of").isNull()))
+    near = F.when(F.col("of").isNotNull(), F.struct("level", F.col("of") > F.col("octave"), F.abs(F.col("of") - F.col("octave"))))
+    entropy = F.when(F.col("of") > F.col("octave"), F.col("mid_entropy") * (F.col("octave") + 1) / (F.col("of") + 1)).otherwise(F.col("mid_entropy"))
+    return some.groupBy(*key).agg(*(F.min_by(f"mid_{c}", own).alias(f"mid_{c}") for c in plain), F.min_by(entropy, near).alias("mid_entropy"))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """The measured rows with base_failed and kept."""
-    mids = [f"mid_{c}" for c in BANDS]
-    # a few rows for each script and language; counted, and only if few does every task get them instead of a shuffle by language
-    sent = F.broadcast if limits.limit(SMALL + 1).count() <= SMALL else lambda x: x
-    key = ["script", "_lang"]
-    own = sent(limits.where("octave is not null").select("script", F.col("lang").alias("_lang"), "octave", *mids))
-    wide = sent(limits.where("octave is null").select("script", F.col("lang").alias("_lang"), *(F.col(m).alias(f"wide_{m}") for m in mids)))
-    found = measured.withColumns({"_lang": _lang(), "octave": _octave()}).join(own, [*key, "octave"], "left").join(wide, key, "left")
+    told = measured.withColumns({"_group": _group(), "octave": _octave()})
+    key = ["_group", "script", "octave"]
+    mids = checkpointed(resolved(told.select(*key).distinct(), limits))
+    # a few rows for each language and script; counted, and only if few does every task get them instead of a shuffle by language
+    found = told.join(F.broadcast(mids) if mids.limit(SMALL + 1).count() <= SMALL else mids, key, "left")
     root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
     inside = F.lit(True)
     for c, (share, scatter, side) in BANDS.items():
-        # entropy grows with length, so that a length of few texts has no band for it
-        mid = F.col(f"mid_{c}") if c == "entropy" else F.coalesce(f"mid_{c}", f"wide_mid_{c}")
+        mid = F.col(f"mid_{c}")
         off = F.col(c) - mid
         off = {"both": F.abs(off), "upper": off, "lower": -off}[side]
-        inside = inside & F.coalesce(off <= F.greatest(mid * share, scatter / root), F.lit(True))
-    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")
+        inside = inside & F.coalesce(off <= F.greatest(mid * share, scatter / root), F.lit(True))  # null only without tokens
+    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_group")
 
 
 def rate(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:

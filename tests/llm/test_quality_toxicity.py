@@ -8,6 +8,7 @@ from collections import Counter
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import quality, toxicity
 from quern.llm.queries import QUERIES
@@ -87,3 +88,34 @@ def test_toxicity_edge_cases(spark):
     none = toxicity.fit(docs, labels.where("toxic = 0"))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def _prose(rng, n, syllables=("the", "re", "on", "ing", "ed", "an", "er", "st", "li", "mo")):
+    return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def _kept(spark, rows):
+    return {r.doc_id: r.kept for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECE).where("not base_failed").collect()}
+
+
+def test_texts_in_the_wrong_script_go_by_their_language(spark):
+    rng = random.Random(3)
+    wrong = [chr(c) for c in range(0x10A0, 0x10C0)]  # Georgian capitals
+    for many in (3, 40):
+        rows = [(i, _prose(rng, 200), "en") for i in range(120)] + [(1000 + i, _prose(rng, 200, wrong), "en") for i in range(many)]
+        kept = _kept(spark, rows)
+        assert all(kept[i] for i in range(120)) and not any(kept[1000 + i] for i in range(many))
+
+
+def test_rare_lengths_and_small_languages_meet_every_rule(spark):
+    rng = random.Random(4)
+    junk = lambda: " ".join(f"{w}@@§{w}" for w in _prose(rng, 200).split())
+    rows = [(i, _prose(rng, 200), "en") for i in range(80)] + [(200, junk(), "xx"), (201, _prose(rng, 200), "xx"), (202, _prose(rng, 9_000), "en")]
+    kept = _kept(spark, rows)
+    assert not kept[200] and kept[201] and kept[202] and all(kept[i] for i in range(80))
+    cycle = [f"{a}{b}" for a in ("the", "re", "on") for b in ("li", "mo")]
+    low = " ".join(cycle[(i * i // 7 + rng.randrange(6)) % 6] for i in range(3_000))
+    measured = quality.measure(spark.createDataFrame([*rows, (203, low, "en")], "doc_id long, text string, lang string"), PIECE)
+    # repeats fail the base rules too; here the bands alone are asked
+    judged = {r.doc_id: r for r in quality.judge(measured.withColumn("n_repeat_words", F.lit(0)), quality.bands(measured)).collect()}
+    assert not judged[203].kept and judged[202].kept
