@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.shipping import ensure
 
@@ -25,6 +27,43 @@ def byte_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+class Recent:
+    """Values of the keys that were used last, such as words: `most` or some more at hand, and as many from before those.
+
+    So a table stays bounded without losing what is common. No value is None.
+    """
+
+    def __init__(self, most: int = 150_000):
+        self.most = most
+        self.hand: dict = {}
+        self.before: dict = {}
+
+    def unknown(self, keys: set[Hashable]) -> list:
+        """The keys without a value; those with one are at hand afterwards."""
+        if len(self.hand) > self.most:
+            self.before, self.hand = self.hand, {}
+        missing = keys.difference(self.hand)
+        if not self.before:
+            return list(missing)
+        new, get, hand = [], self.before.get, self.hand
+        for k in missing:
+            if (value := get(k)) is None:
+                new.append(k)
+            else:
+                hand[k] = value
+        return new
+
+    def clear(self) -> None:
+        self.hand, self.before = {}, {}
+
+
+def trimmed() -> None:
+    """Gives back to the system what a finished task has freed, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The rows of Arrow batches, as tuples of Python values, a few hundred at a time."""
     for batch in batches:
@@ -46,6 +85,7 @@ def emitted(found: Iterable[tuple], schema: pa.Schema, weight=None, limit: int =
             held, size = [], 0
     if held:
         yield _batch(held, schema)
+    trimmed()
 
 
 def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -63,19 +103,65 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextlib.contextmanager
-def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The rows as a Parquet table in the folder that the executors share, for as long as the block runs."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the folder that the executors share, and its path; `dropped` removes it."""
     spark = df.sparkSession
     if not shared_dir(spark):
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as such a table for as long as the block runs."""
+    table, path = written(df)
     try:
-        df.write.parquet(path)
-        yield spark.read.schema(df.schema).parquet(path)
+        yield table
     finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        dropped(df.sparkSession, path)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, or with underscores that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of a table that may be broadcast, after a count.
+SMALL = 100_000
+
+
+def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows with a number of their own in a new column, and its name: the id, where no other row has it.
+
+    Rows that share an id, and those without one, get numbers beyond all ids by their place in the table; so what is found
+    for a number holds for one row. docs has to be a table that reads the same each time, as files do.
+    """
+    name, id_, odd_, row = (unused(docs.columns, c) for c in ("_own", "_id", "_odd", "_row"))
+    ids = docs.select(F.col(key).cast("long").alias("id"))
+    odd = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias(id_), F.lit(True).alias(odd_))
+    few = odd.limit(SMALL + 1).count()
+    if not few:
+        return docs.withColumn(name, F.col(key).cast("long")), name
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if high is None or high < 1 << 62:
+        beyond = F.lit((high or 0) + 1) + F.col(row)
+    elif low > -(1 << 62):
+        beyond = F.lit(low - 1) - F.col(row)
+    else:  # no numbers are free on either side: all rows go by their place
+        return docs.withColumn(name, F.monotonically_increasing_id()), name
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    told = placed.join(F.broadcast(odd) if few <= SMALL else odd, F.col(key).cast("long").eqNullSafe(F.col(id_)), "left")
+    return told.withColumn(name, F.when(F.col(odd_), beyond).otherwise(F.col(key).cast("long"))).drop(row, id_, odd_), name
 
 
 def shared_dir(spark: SparkSession) -> str | None:

@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import emitted
+from quern.llm.common import Recent, emitted, trimmed
 
 #: Characters for which str.lower and str.split do just what the tokenizer's own normaliser and splitter do; all others go
 #: through the library as whole texts.
 _OTHER = regex.compile(r"[^\x00-\x1b\x20-ɏ‐-‧‰-⁞€]")
 #: The tokenizer's words within a chunk: its own pattern.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Chunks that are kept with their ids before the table starts anew.
-_KEEP = 1_200_000
+#: Chunks, and words of chunks, that are at hand with their ids; as many may be kept from before.
+_CHUNKS, _WORDS = 200_000, 100_000
 
 
 def _plain(text: str) -> bool:
@@ -49,8 +49,7 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.word: dict[str, bytes] = {}
+        self.known, self.word = Recent(_CHUNKS), Recent(_WORDS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -65,19 +64,20 @@ class Chunks:
         for chunk in new:
             (alone if chunk.isalpha() else several).append(chunk)
         split = [_WORD.findall(chunk) for chunk in several]
-        words = list(set(alone).union(*split).difference(self.word))
+        words = self.word.unknown(set(alone).union(*split))
+        table = self.word.hand
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
                 joined = ids.tobytes()
-                self.word.update(zip(some, map(joined.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+                table.update(zip(some, map(joined.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
             else:
-                self.word.update(zip(some, self._encode(some), strict=True))
-        get = self.word.__getitem__
-        self.known.update(zip(alone, map(get, alone), strict=True))
-        self.known.update((chunk, b"".join(map(get, ws))) for chunk, ws in zip(several, split, strict=True))
+                table.update(zip(some, self._encode(some), strict=True))
+        get = table.__getitem__
+        self.known.hand.update(zip(alone, map(get, alone), strict=True))
+        self.known.hand.update((chunk, b"".join(map(get, ws))) for chunk, ws in zip(several, split, strict=True))
 
     def forget(self) -> None:
         self.known.clear()
@@ -86,11 +86,9 @@ class Chunks:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split: list[list[str] | None] = [[] if not t else t.lower().split() if _plain(t) else None for t in texts]
-        if len(self.known) > _KEEP:
-            self.forget()
-        if new := list(set().union(*filter(None, split)).difference(self.known)):
+        if new := self.known.unknown(set().union(*filter(None, split))):
             self._learn(new)
-        get = self.known.__getitem__
+        get = self.known.hand.__getitem__
         return [b"".join(map(get, s)) if s is not None else self._encode([t])[0] for t, s in zip(texts, split, strict=True)]
 
 
@@ -191,6 +189,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
         yield from emitted(pack_ids(encoded(), size, TaskContext.get().partitionId() << 32), out, weight=lambda r: len(r[3]))
         coder.forget()  # the worker lives on
+        trimmed()
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long").withColumnRenamed("key", key)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_words, checkpointed, emitted, rows
+from quern.llm.common import Recent, byte_words, checkpointed, emitted, rows, trimmed
 
 #: Fixed values of the base rules.
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
@@ -42,7 +42,6 @@ BANDS = {"chars_per_token": (0.06, 8.0, "both"), "byte_share": (1.0, 2.0, "upper
 LEAST = 30
 #: Rows of a table that may be broadcast, after a count.
 SMALL = 20_000
-_KEEP = 300_000
 
 
 @functools.cache
@@ -72,15 +71,13 @@ class Vocabulary:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent()
 
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        if new := list(set().union(*texts).difference(self.known)):
+        if new := self.known.unknown(set().union(*texts)):
             for w, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1), strict=True):
-                self.known[w] = np.array(ids, dtype="<i4").tobytes()
-        get = self.known.__getitem__
+                self.known.hand[w] = np.array(ids, dtype="<i4").tobytes()
+        get = self.known.hand.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), dtype="<i4") for ws in texts]
 
 
@@ -156,6 +153,7 @@ def measure(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "
 
         yield from emitted(measured(), out)
         v.known.clear()  # the worker lives on
+        trimmed()
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.col(text).alias("text"))
     ddl = "key long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_words, checkpointed, emitted, rows, stored
+from quern.llm.common import Recent, byte_words, checkpointed, emitted, rows, stored, trimmed
 from quern.llm.tiles import runs
 
 K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 12, 50, 0.8
@@ -40,7 +40,6 @@ GAP = 0.05
 BEYOND, BLOCK = 64, 256
 #: Words of a passage that may lie before its first seed, and after its last, when further holders of its seeds are tried.
 REACH = 8
-_KEEP = 300_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Odd multipliers that tell the places of a k-mer apart.
@@ -51,14 +50,13 @@ class Hashes:
     """XXH64 of lower-cased words, each distinct word once."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = Recent()
 
     def __call__(self, text: str) -> np.ndarray:
         ws = byte_words(text)
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        known = self.known
-        for w in set(ws).difference(known):
+        new = self.known.unknown(set(ws))
+        known = self.known.hand
+        for w in new:
             known[w] = xxhash.xxh64_intdigest(w.translate(_LOWER))
         return np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
@@ -107,6 +105,7 @@ def seeds(docs: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=out)
         hashes().known.clear()  # the worker lives on
+        trimmed()
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     return chosen.mapInArrow(run, "h long, doc long, pos int")
@@ -327,6 +326,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         yield from emitted(cut(), out)
         hashes().known.clear()
+        trimmed()
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
     return chosen.mapInArrow(run, "of long, block int, words binary")
@@ -388,17 +388,21 @@ def _told(docs: DataFrame, found: DataFrame, key: str, text: str, least: int, si
 
 
 def remove(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without the words of their passages; documents of which no word is left go. Other columns stay."""
-    spans = found.groupBy(F.col(key).alias("_of")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # a document's own
+    """The documents without the words of their passages; documents of which no word is left go. Other columns stay.
+
+    Spans belong to a key: where rows share an id, key has to name a column that tells them apart, as `keyed` gives.
+    """
+    spans = found.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # a document's own
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans_: pa.Array) -> pa.Array:
         return pa.array((cut_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts.to_pylist(), spans_.to_pylist(), strict=True)), type=pa.string())
 
-    joined = docs.join(spans, F.col(key).cast("long") == F.col("_of"), "left").drop("_of")
-    untouched = joined.where("_spans is null").drop("_spans")
-    cut = joined.where("_spans is not null").withColumn(text, without(F.col(text), F.col("_spans"))).drop("_spans")
-    return untouched.unionByName(cut.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")))
+    # the row goes as one column, so that its own names don't matter
+    joined = docs.select(F.struct("*").alias("doc"), F.col(key).cast("long").alias("key")).join(spans, "key", "left")
+    untouched = joined.where("spans is null").select("doc.*")
+    left = joined.where("spans is not null").select("doc", without(F.col("doc").getField(text), F.col("spans")).alias("left")).where(F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return untouched.unionByName(left.select(F.col("doc").withField(text, F.col("left")).alias("doc")).select("doc.*"))
 
 
 def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast, after a count.
-SMALL = 100_000
-
+from quern.llm.common import SMALL
 
 def deal(placed: DataFrame, cell: list[str], spread: Column, size: int) -> DataFrame:
     """The rows with `own` (a part of their cell), `low` and `high`, brought together by cell, low and high.

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline as cp
 from quern.llm import quality, simhash, substring, toxicity
+from quern.llm.common import keyed
 
 AT = "/root/testdata/sf0.001"
 
@@ -90,6 +91,42 @@ def test_edge_cases(spark):
         assert stage(spark, empty, AT).count() == 0
 
 
+def test_rows_that_share_an_id_are_decided_about_one_by_one(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(n))
+    a, b, c, head = prose(120), prose(100), prose(90), prose(40)
+    given = [(1, b), (6, a), (6, b), (9, c), (9, c), (6, f"{head} {b}"), (None, prose(100)), (None, b), (3, "too short")]
+    extra = "_spans long, _of string, _id long, _score string, _own long, _row long, key long, spans long, doc string, score long, kept string, lang string"
+    docs = spark.createDataFrame([(k, t, 7, "x", 1, "y", 2, 3, 4, 5, "z", 6, "w", None) for k, t in given], f"doc_id long, text string, {extra}")
+    plain = [(k, t) for k, t in given if t != "too short"]
+    wants = [plain, plain, None, None]
+    for (name, stage), want in zip(cp.STAGES[:-1], wants, strict=False):
+        docs = stage(spark, docs, AT).cache()
+        assert len(docs.columns) == 14 and all(tuple(r)[2:] == (7, "x", 1, "y", 2, 3, 4, 5, "z", 6, "w", None) for r in docs.collect())
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if want is not None:
+            assert got == sorted(want, key=str), name
+        elif name == "simhash":
+            assert got == sorted([(1, b), (6, a), (9, c), (6, f"{head} {b}"), given[6]], key=str)
+        else:
+            assert [(k, t.split()) for k, t in got] == sorted([(1, b.split()), (6, a.split()), (9, c.split()), (6, head.split()), (None, given[6][1].split())], key=str)
+
+
+def test_numbers_of_rows(spark):
+    def numbers(ids):
+        found, name = keyed(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        got = [(r.doc_id, r[name]) for r in found.collect()]
+        assert len({n for _, n in got}) == len(ids)
+        return got
+
+    assert sorted(numbers([3, 1, 2])) == [(1, 1), (2, 2), (3, 3)]
+    assert all(n == i or i in (5, None) and n > 7 for i, n in numbers([5, 5, 7, None, None]))
+    assert all(n == i or i == 5 and n < 5 for i, n in numbers([5, 5, (1 << 63) - 1]))
+    numbers([-(1 << 63), (1 << 63) - 1, 4, 4])
+    numbers([None, None])
+    assert numbers([]) == []
+
+
 def test_run(spark, stages):
     got = cp.run(spark, AT)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {k for k, _ in rows(stages["substring"])}
