@@ -1,12 +1,18 @@
 """From raw documents to packed training windows, in stages that each call one operator of the training-data subpackage.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what the next one takes as docs. All but
-the last return the columns of `documents`. Rows with a null text or id pass through as an empty text and an id of its own
-kind: quality rejects texts without words, and joins treat null ids as equal.
+the last return the columns of `documents`.
+
+Stages decide about rows, not ids: rows that share an id, or have none, are told apart by numbers of their own, so that each
+is kept, cut or dropped for its own text. Ids are whole numbers. Equal rows are copies of each other: the near-duplicate stage
+keeps one. Texts that are null or empty go in the first stage. An empty table gives an empty table in every stage. Columns beside those
+of `documents`, whatever they are called, come through unchanged until packing, which leaves them out.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 from collections.abc import Callable
 
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import packing, quality, simhash, substring, toxicity
-from quern.llm.common import checkpointed, read
+from quern.llm.common import dropped, keyed, read, written
 from quern.shipping import ensure
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,32 +38,31 @@ def _sent(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     return run_stage
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose id is (left_semi) or isn't (left_anti) among the ids."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fertility bands reject go."""
-    return _chosen(docs, quality.rate(docs, PIECE_BPE).where("kept"), "left_semi")
+    rows, own = keyed(docs)
+    return rows.join(quality.rate(rows, PIECE_BPE, own).where("kept").select(own), own, "left_semi").drop(own)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     score = toxicity.scorer(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score(F.col("text"))).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    scored = docs.select(F.struct("*").alias("doc"), score(F.col("text")).alias("score"))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("doc.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    return _chosen(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"), "left_anti")
+    rows, own = keyed(docs)
+    copies = simhash.near_duplicates(rows, own).where(F.col(own) != F.col("component_id")).select(own)
+    return rows.join(copies, own, "left_anti").drop(own)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; documents of which no word is left go."""
-    left = substring.remove(docs, substring.passages(docs))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, own = keyed(docs)
+    left = substring.remove(rows, substring.passages(rows, own), own).drop(own)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,10 +83,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written to the shared folder before the next stage reads it."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over `documents`; each result is a Parquet table in the shared folder before the next stage reads it.
+
+    A table goes when the next one is there; the last stage's input stays until the driver ends, as its result is read later.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = checkpointed(docs)
+            docs, path = written(docs)
+            if before is not None:
+                dropped(spark, before)
+            before = path
+    atexit.register(_dropped_at_end, spark, before)
     return docs
+
+
+def _dropped_at_end(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        dropped(spark, path)
