@@ -1,6 +1,7 @@
 """Tool-call linking on small conversations, and the whole table against DuckDB."""
 
 import json
+import random
 
 import duckdb
 
@@ -82,3 +83,80 @@ def test_several_results_in_one_message(spark):
     at = {r.turn: r for r in got}
     assert [at[t].linked for t in (3, 4, 0)] == [True, False, None]
     assert json.loads(at[3].message)["tool_call_ids"] == ["a", "b"]
+
+
+COLUMNS = "conv_id long, turn long, role string, text string"
+
+
+def test_strange_json_crashes_nothing(spark):
+    raw = lambda arguments: '{"tool_calls": [{"id": "i", "name": "add", "arguments": %s}]}' % arguments
+    deep = "[" * 5000 + "]" * 5000
+    texts = [raw('{"a": NaN}'), raw('{"a": Infinity}'), raw('{"a": 1e999}'), raw('{"a": "\\ud800"}'), raw('"{\\"a\\": NaN}"'), raw(deep), raw('{"a": %s}' % ("9" * 6000)), '{"tool_call_id": "\\udfff", "content": "\\ud800x"}', raw("null"), raw('"null"'), '{"tools": 3, "tool_calls": 4}', "{", "[1]", '<tool_call>{"name": 1}</tool_call><tool_result>[]</tool_result>']
+    got = sorted(chat.format_conversations(spark.createDataFrame([(1, i, "r", t) for i, t in enumerate(texts)], COLUMNS)).collect(), key=lambda r: r.turn)
+    assert [r.n_calls for r in got] == [0, 0, 0, 1, 1, 0, 0, 0, 1, 1, 0, 0, 0, 0]
+    assert [r.n_invalid for r in got] == [0, 0, 0, 0, 1, 0, 0, 0, 1, 1, 0, 0, 0, 0]  # null arguments follow earlier calls of the same id
+    assert json.loads(got[3].message)["tool_calls"][0]["arguments"] == {"a": "\ud800"}
+    assert json.loads(got[7].message)["content"] == "\ufffdx"
+    assert all(json.loads(r.message) for r in got)
+
+
+def test_rules_that_are_not_well_formed_say_nothing():
+    bad = [{"pattern": "("}, {"minLength": "3"}, {"minimum": "x"}, {"enum": 3}, {"required": None}, {"required": [3]}, {"type": {}}, {"type": [3]}, {"properties": []}, {"items": 3}, {"maxItems": None}, 3, "x", None, True, []]
+    for schema in bad:
+        for value in ("abc", 3, 2.5, None, True, [1], {"a": 1}):
+            assert chat.violations(value, schema) == []
+    assert chat.violations(1, False) and chat.violations(True, {"enum": [1]}) and chat.violations(1.0, {"enum": [1]}) == []
+    assert chat.violations("a" * 40 + "!", {"pattern": "^(a|aa|a*a*)+$"}) == ["$: pattern"]
+
+
+def test_long_chains_and_both_ways_of_ordering(spark):
+    n = 600
+    chain = [(1, n - 1 - i, "assistant", call(f"c{i}", a={"$ref": f"c{i - 1}"} if i else 1)) for i in range(n)] + [(1, n + i, "tool", answer(f"c{i}")) for i in range(n)]
+    got = sorted(chat.format_conversations(spark.createDataFrame(chain, COLUMNS)).collect(), key=lambda r: r.position)
+    place = {r.turn: r.position for r in got}
+    assert len(got) == 2 * n and not any(r.cyclic for r in got)
+    for i in range(n):
+        assert place[n - 1 - i] < place[n + i] and (not i or place[n + i - 1] < place[n - 1 - i])
+    rng = random.Random(5)
+    rows = []
+    for c in range(6):
+        ids = [f"t{i}" for i in range(8)]
+        said = [("assistant", call(i, a={"$ref": rng.choice(ids)} if rng.random() < 0.6 else 1)) for i in ids] + [("tool", answer(i)) for i in ids]
+        rng.shuffle(said)
+        rows += [(c, t, *x) for t, x in enumerate(said)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    one = sorted(map(tuple, chat.format_conversations(df).collect()))
+    assert one == sorted(map(tuple, chat.format_conversations(df, few=3).collect()))
+    assert any(r[7] for r in one) and not all(r[7] for r in one)
+
+
+def test_a_made_up_table_against_plain_linking(spark):
+    rng = random.Random(9)
+    rows, calls, results = [], {}, []
+    for c in range(40):
+        turn = 0
+        for _ in range(rng.randint(1, 12)):
+            kind = rng.random()
+            i = f"k{rng.randint(0, 5)}"
+            if kind < 0.4:
+                rows.append((c, turn, "assistant", call(i, a=rng.choice([1, "x"]))))
+                calls.setdefault((c, i), []).append((turn, rows[-1]))
+            elif kind < 0.8:
+                rows.append((c, turn, "tool", answer(i)))
+                results.append((c, turn, i))
+            else:
+                rows.append((c, turn, "user", f"hello {i} {{"))
+            turn += 1
+    got = {(r.conv_id, r.turn): r for r in chat.format_conversations(spark.createDataFrame(rows, COLUMNS), schemas={"add": TOOLS["tools"][0]["parameters"]}).collect()}
+    assert len(got) == len(rows)
+    for c, t, i in results:
+        r = got[c, t]
+        assert r.linked == ((c, i) in calls)
+        if r.linked:
+            assert r.position > got[c, calls[c, i][0][0]].position
+    for of in calls.values():
+        for k, (t, row) in enumerate(of):
+            assert got[row[0], t].n_invalid == int(k > 0 or '\\"x\\"' in row[3])
+    for c in range(40):
+        mine = [r for r in got.values() if r.conv_id == c]
+        assert sorted(r.position for r in mine) == list(range(len(mine)))
