@@ -1,271 +1,297 @@
 """Operator 9: document scores by masked pseudo-likelihood.
 
 A small network predicts every word from the two words on either side of it: embeddings of the neighbours, weighted by
-place, go through a hidden layer to a softmax over classes of words; within its class a word has its share of the corpus's
-counts. A document's score is the sum of the logarithms of these conditional probabilities over all of its words.
-
-Words are hashed to buckets. Counts cover every word of the corpus, summed in tasks before the shuffle. The network is
-trained in numpy on every word of the corpus: each task passes once over its rows from a common start, and the tasks'
-embeddings are averaged by the words that each has seen, the other weights by all words. Tables have fixed sizes, so
-what the driver holds and sends doesn't grow; what is counted, trained and shuffled does.
-
-Edge cases: a null or empty text has no words, log_prob 0 and no mean; a single word is predicted from pads; texts of any
-length are trained and scored in pieces that overlap by a window; equal rows are trained and scored each; an empty table
-gives no rows; extra columns are left out of the result.
+place, go through a hidden layer, whose product with the word's own output embedding says how much likelier the word is here
+than elsewhere. So P(word | neighbours) = share of the word in the corpus * exp(product) / Z, where Z is the mean of the
+exponential over words drawn from the corpus. A document's score is the sum of the logarithms of these conditional
+probabilities over all of its words.
+
+Words are counted exactly, by 64-bit hashes, in a distributed table that grows with the corpus: documents are gathered in
+blocks of words, the blocks' distinct words meet by hash to be summed, and the sums go back to their blocks. Nothing of it
+comes to the driver. Embeddings are of `BUCKETS` hashed words, the network's fixed size.
+
+The network is trained in numpy on every word of the corpus, by telling it from words drawn from the same task (negative
+sampling, whose optimum is the logarithm of the ratio above): each task passes once over its rows from a common start, and
+the tasks' embeddings are averaged by the words that each has seen, the other weights by all words. Tasks send their tables
+in packed parts, summed in two rounds: first those of a group of tasks, then the groups. The result depends on how rows are
+dealt to tasks, as averages of models do.
+
+Edge cases: a null or empty text has no words, log_prob 0 and no mean; a single word is predicted from pads; a text of any
+length is trained and scored whole, in pieces that overlap by a window; equal rows and ids are trained and scored each; null
+ids stay null; an empty table gives no rows; extra columns are left out of the result. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_words, checkpointed, emitted, rows
+from quern.llm.common import Recent, byte_words, checkpointed, emitted, rows, trimmed
 
-BUCKETS, CLASSES, SIZE, SIDE, SEED = 1 << 16, 32, 16, 2, 5
-#: Words of a training step, and of a scoring run.
-STEP, BATCH = 2048, 4096
+BUCKETS, SIZE, SIDE, SEED = 1 << 16, 16, 2, 5
+#: Words of a block at least, of a training step, and of a scoring run; drawn words of a step, and for Z.
+BLOCK, STEP, BATCH, DRAWN, NOISE = 1 << 20, 2048, 4096, 16, 64
 #: Neighbours by place, as offsets.
 PLACES = tuple(d for d in range(-SIDE, SIDE + 1) if d)
-_KEEP = 300_000
+#: Rows of a packed part of the embeddings, and tasks whose parts are summed together first.
+PART, GROUP = 1024, 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_PACKED = "struct<keys:array<long>,lengths:binary,ids:binary,words:binary>"
 
 
-def hashed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids: the bucket (1 up; 0 is the pad) of every word, as packed 16-bit numbers."""
-    out = pa.schema([("key", pa.int64()), ("ids", pa.binary())])
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
+    """block, n_words, packed: documents in blocks; each word as its number among the block's distinct words' hashes."""
+    kind = pa.struct([("keys", pa.list_(pa.int64())), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary())])
+    out = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("packed", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known, first = Recent(), TaskContext.get().partitionId() << 32
+
+        def packed(keys: list, held: list[np.ndarray], number: int) -> tuple:
+            words, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+            return first + number, len(ids), {"keys": keys, "lengths": np.array([len(x) for x in held], "<i8").tobytes(), "ids": ids.astype("<u4").tobytes(), "words": words.astype("<u8").tobytes()}
 
         def found() -> Iterator[tuple]:
+            keys, held, n, number = [], [], 0, 0
             for k, t in rows(batches, "key", "text"):
                 ws = byte_words(t or "")
-                if len(known) > _KEEP:
-                    known.clear()
-                for w in set(ws).difference(known):
-                    known[w] = 1 + crc32(w.translate(_LOWER)) % (BUCKETS - 1)
-                yield k, np.fromiter(map(known.__getitem__, ws), dtype="<u2", count=len(ws)).tobytes()
-
-        return emitted(found(), out, weight=lambda r: len(r[1]))
+                new = known.unknown(set(ws))
+                at = known.hand
+                for w in new:
+                    at[w] = xxhash.xxh64_intdigest(w.translate(_LOWER))
+                keys.append(k)
+                held.append(np.fromiter(map(at.__getitem__, ws), dtype=np.uint64, count=len(ws)))
+                n += len(ws)
+                if n >= size or len(keys) >= size:
+                    yield packed(keys, held, number)
+                    keys, held, n, number = [], [], 0, number + 1
+            if keys:
+                yield packed(keys, held, number)
+
+        yield from emitted(found(), out, weight=lambda r: r[1] * 4)
+        known.clear()
+        trimmed()
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "key long, ids binary")
+    return chosen.mapInArrow(run, f"block long, n_words long, packed {_PACKED}")
 
 
-def count(words: DataFrame) -> np.ndarray:
-    """How often each bucket stands in the whole corpus."""
-    out = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+def counted(held: DataFrame) -> DataFrame:
+    """block, at, total: how often each distinct word of each block stands in the whole corpus."""
+    out = pa.schema([("word", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=out)
+            for block, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(p["words"], dtype="<u8")
+                n = np.bincount(np.frombuffer(p["ids"], dtype="<u4"), minlength=len(words))
+                for a in range(0, len(words), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    own = words[part].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(a, a + len(own), dtype=np.int32)), pa.array(n[part].astype(np.int64))], schema=out)
+
+    each = held.select("block", "packed").mapInArrow(run, "word long, block long, at int, n long")
+    # a word has at most a row for each block, and the window spills
+    return each.select("block", "at", F.sum("n").over(Window.partitionBy("word")).alias("total"))
+
 
-    summed = words.select("ids").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # as many rows as buckets at most
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    counts[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    return counts
+def bucket(words: np.ndarray) -> np.ndarray:
+    """The embedding of each word hash: 1 up; 0 is the pad."""
+    return (1 + words % np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 class Model:
-    """Classes and shares of the buckets, and the network's weights."""
+    """The network's weights."""
 
-    def __init__(self, counts: np.ndarray, seed: int = SEED):
+    def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        n = counts + 1.0
-        order = np.argsort(-n, kind="stable")
-        mass = np.cumsum(n[order]) - n[order] / 2
-        # classes of about equal mass by falling frequency: the commonest words have classes of their own
-        self.classes = np.empty(BUCKETS, dtype=np.int64)
-        self.classes[order] = np.minimum(CLASSES - 1, (mass / n.sum() * CLASSES).astype(np.int64))
-        in_class = np.bincount(self.classes, weights=n, minlength=CLASSES)
-        self.share = np.log(n / in_class[self.classes])
         self.embed = rng.normal(0, 0.3, (BUCKETS, SIZE)).astype(np.float32)
         self.embed[0] = 0
-        self.place = np.ones((len(PLACES), SIZE), dtype=np.float32) * 0.5
+        self.out = rng.normal(0, 0.05, (BUCKETS, SIZE)).astype(np.float32)
+        self.place = np.full((len(PLACES), SIZE), 0.5, dtype=np.float32)
         self.hidden = np.zeros(SIZE, dtype=np.float32)
-        self.out = rng.normal(0, 0.1, (SIZE, CLASSES)).astype(np.float32)
-        self.bias = np.log(np.maximum(in_class, 1) / in_class.sum()).astype(np.float32)
+        self.noise = np.zeros(0, dtype=np.int64)  # buckets drawn by their share of the corpus, evenly over it
 
-    def dense(self) -> np.ndarray:
-        return np.concatenate([self.place.ravel(), self.hidden, self.out.ravel(), self.bias])
-
-    def set_dense(self, x: np.ndarray) -> None:
-        sizes = np.cumsum([self.place.size, self.hidden.size, self.out.size])
-        place, hidden, out, bias = np.split(x.astype(np.float32), sizes)
-        self.place, self.hidden, self.out, self.bias = place.reshape(self.place.shape), hidden, out.reshape(self.out.shape), bias
-
-    def forward(self, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embeddings, hidden layer, and class probabilities (as logarithms) of what stands between the side pads."""
+    def forward(self, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings, and the hidden layer of what stands between the side pads."""
         n = len(padded) - 2 * SIDE
-        x = self.embed[padded]
+        x = self.embed.take(padded, axis=0)
         s = np.tile(self.hidden, (n, 1))
         for w, d in zip(self.place, PLACES, strict=True):
             s += w * x[SIDE + d : SIDE + d + n]
-        h = np.tanh(s)
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return x, h, z
-
-    def log_probs(self, ids: np.ndarray) -> np.ndarray:
-        """The logarithm of each word's probability given the words around it."""
-        padded = np.concatenate([np.zeros(SIDE, ids.dtype), ids, np.zeros(SIDE, ids.dtype)])
+        return x, np.tanh(s)
+
+    def ratios(self, padded: np.ndarray) -> np.ndarray:
+        """For each bucket between the side pads the logarithm of how much likelier it is there than elsewhere."""
         found = [np.zeros(0)]
-        for at in range(0, len(ids), BATCH):
-            piece = padded[at : at + BATCH + 2 * SIDE]
-            own = piece[SIDE:-SIDE]
-            _, _, z = self.forward(piece)
-            found.append(z[np.arange(len(own)), self.classes[own]].astype(np.float64) + self.share[own])
+        noise = self.out[self.noise].T
+        for a in range(0, len(padded) - 2 * SIDE, BATCH):
+            piece = padded[a : a + BATCH + 2 * SIDE]
+            _, h = self.forward(piece)
+            z = np.log(np.exp(h @ noise).mean(axis=1)) if noise.size else 0.0
+            found.append((np.einsum("ij,ij->i", h, self.out.take(piece[SIDE:-SIDE], axis=0)) - z).astype(np.float64))
         return np.concatenate(found)
 
 
 class Trainer:
     """One pass of Adagrad over the words of a task."""
 
-    def __init__(self, model: Model, rate: float = 0.05):
-        self.model, self.rate = model, rate
-        self.seen = np.zeros(BUCKETS, dtype=np.int64)
-        self.squares = {k: np.full(getattr(model, k).shape, 1e-3, np.float32) for k in ("place", "hidden", "out", "bias")}
-        self.row_squares = np.full(BUCKETS, 1e-3, np.float32)
-        self.loss, self.words = 0.0, 0
+    def __init__(self, model: Model, rate: float = 0.1, seed: int = SEED):
+        self.model, self.rate, self.rng = model, rate, np.random.default_rng(seed)
+        self.seen = {"embed": np.zeros(BUCKETS, np.float32), "out": np.zeros(BUCKETS, np.float32)}
+        self.squares = {"place": np.full(model.place.shape, 1e-3, np.float32), "hidden": np.full(model.hidden.shape, 1e-3, np.float32), "embed": np.full(BUCKETS, 1e-3, np.float32), "out": np.full(BUCKETS, 1e-3, np.float32)}
+        self.words = 0
 
     def _step(self, name: str, slope: np.ndarray) -> None:
-        total = self.squares[name]
+        total, value = self.squares[name], getattr(self.model, name)
         total += slope * slope
-        value = getattr(self.model, name)
         value -= self.rate * slope / np.sqrt(total)
 
+    def _rows(self, name: str, at: np.ndarray, slopes: np.ndarray, seen: np.ndarray) -> None:
+        """A step of the embeddings `at`, whose slopes add up where an embedding stands several times."""
+        order = np.argsort(at, kind="stable")
+        ids = at[order]
+        begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        which, total = ids[begins], np.add.reduceat(slopes.take(order, axis=0), begins, axis=0)
+        self.seen[name][which] += np.add.reduceat(seen[order], begins)
+        if which[0] == 0:  # the pad stays as it is
+            which, total = which[1:], total[1:]
+        squares = self.squares[name]
+        squares[which] += (total * total).mean(axis=1)
+        getattr(self.model, name)[which] -= self.rate * total / np.sqrt(squares[which])[:, None]
+
     def step(self, padded: np.ndarray) -> None:
         m = self.model
         own = padded[SIDE:-SIDE]
+        words = own[own > 0]
+        if not len(words):
+            return
         n = len(own)
-        x, h, z = m.forward(padded)
-        target = m.classes[own]
-        real = own > 0  # pads between documents are no words
-        at = np.arange(n)
-        self.loss -= float(z[at, target][real].sum())
-        self.words += int(real.sum())
-        g = np.exp(z)
-        g[at, target] -= 1
-        g[~real] = 0
-        g /= max(1, int(real.sum()))
-        back = (g @ m.out.T) * (1 - h * h)
+        real = (own > 0).astype(np.float32)  # pads between documents are no words
+        x, h = m.forward(padded)
+        drawn = words[self.rng.integers(0, len(words), DRAWN)]
+        o, other = m.out.take(own, axis=0), m.out[drawn]
+        good = (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", h, o), -15, 15))) - 1) * real / len(words)
+        bad = (1 / (1 + np.exp(-np.clip(h @ other.T, -15, 15)))) * (real / (len(words) * DRAWN))[:, None]
+        back = (good[:, None] * o + bad @ other) * (1 - h * h)
         change = np.zeros_like(x)
         slope = np.empty_like(m.place)
         for i, (w, d) in enumerate(zip(m.place, PLACES, strict=True)):
             near = slice(SIDE + d, SIDE + d + n)
             slope[i] = (back * x[near]).sum(axis=0)
             change[near] += back * w
-        self._step("out", h.T @ g)
-        self._step("bias", g.sum(axis=0))
         self._step("hidden", back.sum(axis=0))
         self._step("place", slope)
-        order = np.argsort(padded, kind="stable")
-        ids = padded[order]
-        begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows_, total = ids[begins], np.add.reduceat(change[order], begins, axis=0)
-        self.seen[rows_] += np.diff(np.append(begins, len(ids)))
-        if rows_[0] == 0:
-            rows_, total = rows_[1:], total[1:]
-        self.row_squares[rows_] += (total * total).mean(axis=1)
-        m.embed[rows_] -= self.rate * total / np.sqrt(self.row_squares[rows_])[:, None]
-
-
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The words of a task's documents, with pads between them, in overlapping pieces of a step."""
-    held, size = [np.zeros(SIDE, np.int64)], SIDE
-    for batch in batches:
-        for ids in batch.column(0):
-            one = np.frombuffer(ids.as_py(), dtype="<u2").astype(np.int64)
-            held += [one, np.zeros(SIDE, np.int64)]
-            size += len(one) + SIDE
-            if size >= 4 * STEP:
-                whole = np.concatenate(held)
-                at = 0
-                while len(whole) - at >= STEP + 2 * SIDE:
-                    yield whole[at : at + STEP + 2 * SIDE]
-                    at += STEP
-                held, size = [whole[at:]], len(whole) - at
-    whole = np.concatenate(held)
-    if len(whole) > 2 * SIDE:
-        yield whole
-
-
-def train(words: DataFrame, counts: np.ndarray, seed: int = SEED) -> Model:
-    """The average of the models that tasks train on their rows, from one pass over the whole corpus."""
-    shared = words.sparkSession.sparkContext.broadcast(counts)
-    out = pa.schema([("row", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float32()))])
+        self._rows("embed", padded, change, np.ones(len(padded), np.float32))
+        self._rows("out", np.concatenate([own, drawn]), np.concatenate([good[:, None] * h, bad.T @ h]), np.concatenate([real, np.zeros(DRAWN, np.float32)]))
+        self.words += len(words)
+
+
+def padded(p: dict, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words as buckets with pads around each document; where each word is; each document's number of words."""
+    ids, lengths = np.frombuffer(p["ids"], dtype="<u4"), np.frombuffer(p["lengths"], dtype="<i8")
+    at = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(lengths)), lengths))
+    whole = np.zeros(len(ids) + SIDE * (len(lengths) + 1), dtype=np.int64)
+    whole[at] = buckets[ids]
+    return whole, at, lengths
+
+
+def train(held: DataFrame, seed: int = SEED) -> Model:
+    """The average of the models that tasks train on their blocks, from one pass over the whole corpus."""
+    out = pa.schema([("part", pa.int32()), ("team", pa.int32()), ("sums", pa.binary())])
+    width = 2 * SIZE + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(Model(shared.value, seed))
-        for piece in pieces(batches):
-            t.step(piece)
+        t, task = Trainer(Model(seed)), TaskContext.get().partitionId()
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                whole, _, _ = padded(p, bucket(np.frombuffer(p["words"], dtype="<u8")))
+                for a in range(0, len(whole) - 2 * SIDE, STEP):
+                    t.step(whole[a : a + STEP + 2 * SIDE])
         if not t.words:
             return
-        at = np.flatnonzero(t.seen)
-        at = at[at > 0]
 
         def found() -> Iterator[tuple]:
-            yield -1, t.words, t.model.dense()
-            yield from ((i, int(t.seen[i]), t.model.embed[i]) for i in at.tolist())
-
-        yield from emitted(found(), out)
-
-    parts = words.select("ids").mapInArrow(run, "row int, n long, w array<float>")
-    # sums by row and number keep the average in built-in aggregates, which sum in tasks first
-    each = parts.select("row", "n", F.posexplode("w").alias("i", "x")).groupBy("row", "i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x"))
-    table = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("row", F.col("v.x").alias("w")).toArrow()  # as many rows as buckets at most
-    model = Model(counts, seed)
-    for row, w in zip(table.column("row").to_pylist(), table.column("w"), strict=True):
-        if row < 0:
-            model.set_dense(w.values.to_numpy())
-        else:
-            model.embed[row] = w.values.to_numpy()
+            yield -1, task // GROUP, np.append(np.concatenate([t.model.place.ravel(), t.model.hidden]) * t.words, t.words).astype("<f4").tobytes()
+            for part in range(0, BUCKETS, PART):
+                own = slice(part, part + PART)
+                e, o = t.seen["embed"][own, None], t.seen["out"][own, None]
+                if e.any() or o.any():
+                    yield part // PART, task // GROUP, np.concatenate([t.model.embed[own] * e, t.model.out[own] * o, e, o], axis=1).astype("<f4").tobytes()
+
+        yield from emitted(found(), out, weight=lambda r: len(r[2]))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for part, team, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(sums, dtype="<f4").astype(np.float64)
+                totals[part, team] = totals[part, team] + x if (part, team) in totals else x
+        yield from emitted(((part, team, x.astype("<f4").tobytes()) for (part, team), x in totals.items()), out, weight=lambda r: len(r[2]))
+
+    kind = "part int, team int, sums binary"
+    teams = held.select("packed").mapInArrow(run, kind).repartition("part", "team").mapInArrow(summed, kind)
+    whole = teams.select("part", F.lit(0).alias("team"), "sums").repartition("part").mapInArrow(summed, kind).select("part", "sums").toArrow()  # the network's size
+    model, share = Model(seed), np.zeros(BUCKETS)
+    for part, sums in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
+        x = np.frombuffer(sums, dtype="<f4")
+        if part < 0:
+            model.place, model.hidden = (x[: model.place.size] / x[-1]).reshape(model.place.shape), x[model.place.size : -1] / x[-1]
+            continue
+        x = x.reshape(PART, width)
+        own = slice(part * PART, (part + 1) * PART)
+        for name, sums_, n in (("embed", x[:, :SIZE], x[:, -2:-1]), ("out", x[:, SIZE : 2 * SIZE], x[:, -1:])):
+            getattr(model, name)[own] = np.where(n > 0, sums_ / np.maximum(n, 1), getattr(model, name)[own])
+        share[own] = x[:, -1]
+    model.embed[0] = 0
+    if share.sum():
+        order = np.argsort(-share, kind="stable")
+        model.noise = order[np.searchsorted(np.cumsum(share[order]), (np.arange(NOISE) + 0.5) / NOISE * share.sum())]
     return model
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """key, n_words, log_prob, mean_log_prob, perplexity of every row, by a model of these documents."""
-    words = checkpointed(hashed(docs, key, text))
-    model = train(words, count(words))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = checkpointed(blocks(docs, key, text, block))
+    model = docs.sparkSession.sparkContext.broadcast(train(held))
+    words = held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     out = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64())])
+    # a block's words come behind it, in their order
+    whole = held.select("block", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("total"), "packed").unionByName(counted(held).withColumn("packed", F.lit(None).cast(_PACKED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        def scored(p: dict, totals: list[np.ndarray]) -> Iterator[tuple]:
+            share = np.log(np.concatenate([np.zeros(0), *totals])) - np.log(max(words, 1))
+            line, at, lengths = padded(p, bucket(np.frombuffer(p["words"], dtype="<u8")))
+            each = model.value.ratios(line)[at - SIDE] + share[np.frombuffer(p["ids"], dtype="<u4")]
+            ends = np.cumsum(lengths)
+            for k, a, b in zip(p["keys"], (ends - lengths).tolist(), ends.tolist(), strict=True):
+                yield k, b - a, float(each[a:b].sum())
 
         def found() -> Iterator[tuple]:
-            held: list[tuple[int, np.ndarray]] = []
-            size = 0
+            p, totals = None, []
             for batch in batches:
-                for k, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    held.append((k, np.frombuffer(ids.as_py(), dtype="<u2").astype(np.int64)))
-                    size += len(held[-1][1])
-                    if size >= BATCH:
-                        yield from together(held)
-                        held, size = [], 0
-            yield from together(held)
-
-        def together(held: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
-            """Short documents share a run of the network, with pads between them."""
-            if held:
-                pad = np.zeros(SIDE, np.int64)
-                each = m.log_probs(np.concatenate([x for _, ids in held for x in (ids, pad)]))
-                at = 0
-                for k, ids in held:
-                    yield k, len(ids), float(each[at : at + len(ids)].sum())
-                    at += len(ids) + SIDE
+                at, total = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                begins = sorted({0, *np.flatnonzero(at < 0).tolist()})
+                for a, b in zip(begins, [*begins[1:], len(at)], strict=True):
+                    if b > a and at[a] < 0:
+                        if p is not None:
+                            yield from scored(p, totals)
+                        p, totals = batch.column(3)[a].as_py(), []
+                        a += 1
+                    if b > a:
+                        totals.append(total[a:b].astype(np.float64))
+            if p is not None:
+                yield from scored(p, totals)
 
         return emitted(found(), out)
 
-    scored = words.mapInArrow(run, "key long, n_words long, log_prob double")
+    dealt = whole.repartition("block").sortWithinPartitions("block", "at")
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return scored.select(F.col("key").alias(key), "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
+    return dealt.mapInArrow(run, "key long, n_words long, log_prob double").select(F.col("key").alias(key), "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

@@ -1,45 +1,62 @@
-"""Pseudo-likelihood: scores against a plain per-word version, training against no training."""
+"""Pseudo-likelihood: scores against a plain per-word version, exact counts, trained order, words that occur twice."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from quern.llm import masked_lm as lm
 
 
-def plain_log_prob(m, ids):
+def hashed(word):
+    return xxhash.xxh64_intdigest(word.lower() if isinstance(word, bytes) else word.encode().lower())
+
+
+def plain_log_prob(m, words, counts, total):
     """One word at a time, in plain loops."""
-    total = 0.0
-    for i, w in enumerate(ids):
+    own = [1 + hashed(w) % (lm.BUCKETS - 1) for w in words]
+    found = 0.0
+    for i, w in enumerate(words):
         s = [float(x) for x in m.hidden]
         for p, d in enumerate(lm.PLACES):
-            near = ids[i + d] if 0 <= i + d < len(ids) else 0
+            near = own[i + d] if 0 <= i + d < len(own) else 0
             s = [a + float(m.place[p, k]) * float(m.embed[near, k]) for k, a in enumerate(s)]
         h = [math.tanh(a) for a in s]
-        z = [sum(h[k] * float(m.out[k, c]) for k in range(lm.SIZE)) + float(m.bias[c]) for c in range(lm.CLASSES)]
-        top = max(z)
-        norm = top + math.log(sum(math.exp(a - top) for a in z))
-        total += z[m.classes[w]] - norm + float(m.share[w])
-    return total
+        dot = lambda b: sum(x * float(y) for x, y in zip(h, m.out[b], strict=True))  # noqa: B023, E731
+        z = sum(math.exp(dot(b)) for b in m.noise) / len(m.noise)
+        found += math.log(counts[w.lower()] / total) + dot(own[i]) - math.log(z)
+    return found
 
 
-def test_table(spark):
+def test_table_against_a_plain_version(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    words = lm.hashed(docs).collect()
-    counts = np.zeros(lm.BUCKETS, dtype=np.int64)
-    for r in words:
-        np.add.at(counts, np.frombuffer(r.ids, dtype="<u2"), 1)
-    assert (lm.count(lm.hashed(docs)) == counts).all()
-    model = lm.train(lm.hashed(docs), counts)
-    got = {r.doc_id: r for r in lm.score(docs).collect()}
-    assert len(got) == len(words)
-    for r in sorted(words, key=lambda r: len(r.ids))[:12]:
-        ids = np.frombuffer(r.ids, dtype="<u2").astype(int).tolist()
-        assert got[r.key].n_words == len(ids)
-        assert abs(got[r.key].log_prob - plain_log_prob(model, ids)) < 1e-3 * max(1, len(ids))
-    start = lm.Model(counts)
-    before = sum(start.log_probs(np.frombuffer(r.ids, dtype="<u2").astype(np.int64)).sum() for r in words)
-    assert sum(r.log_prob for r in got.values()) > before + 0.02 * abs(before) / 10
+    texts = {r.doc_id: (r.text or "").encode().split() for r in docs.collect()}
+    counts = Counter(w.lower() for ws in texts.values() for w in ws)
+    total = sum(counts.values())
+    held = lm.blocks(docs, size=5000).cache()
+    model = lm.train(held)
+    got = {r.doc_id: r for r in lm.score(docs, block=5000).collect()}
+    assert got.keys() == texts.keys() and all(got[k].n_words == len(ws) for k, ws in texts.items())
+    for k, ws in sorted(texts.items(), key=lambda x: len(x[1]))[:12]:
+        assert abs(got[k].log_prob - plain_log_prob(model, ws, counts, total)) < 2e-3 * max(1, len(ws))
+    first = held.first()
+    totals = {r.at: r.total for r in lm.counted(held).where(f"block = {first.block}").collect()}
+    words = np.frombuffer(first.packed.words, "<u8").tolist()
+    known = {hashed(w): n for w, n in counts.items()}
+    assert totals == {i: known[w] for i, w in enumerate(words)}
+
+
+def test_conditionals_sum_to_about_one():
+    rng = np.random.default_rng(0)
+    m = lm.Model()
+    m.out[:] = rng.normal(0, 0.7, m.out.shape)
+    share = rng.dirichlet(np.full(300, 0.3))
+    order = np.argsort(-share)
+    m.noise = 1 + order[np.searchsorted(np.cumsum(share[order]), (np.arange(4000) + 0.5) / 4000)]
+    sums = [sum(share[w] * math.exp(m.ratios(np.array([5, 9, 1 + w, 7, 3]))[0]) for w in range(300))]
+    assert abs(sums[0] - 1) < 0.05
 
 
 def test_word_order_counts(spark):
@@ -50,9 +67,20 @@ def test_word_order_counts(spark):
     assert got[0].log_prob > got[9000].log_prob + 5
 
 
+def test_documents_that_occur_twice_score_above_others(spark):
+    rng = random.Random(2)
+    made = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(n))
+    once, twice = [made(60) for _ in range(300)], [made(60) for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*once, *twice, *twice])], "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_prob for r in lm.score(df).collect()}
+    low = sorted(got[i] for i in range(300))[-15]  # nineteen of twenty lie below
+    assert sum(got[i] > low for i in range(300, 360)) >= 54
+
+
 def test_edge_cases(spark):
-    rows = [(1, None, 1), (2, "", 1), (3, " \n", 1), (4, "one", 1), (4, "one", 1), (5, "long text " * 20_000, 1)]
-    got = sorted((r.doc_id, r.n_words, r.log_prob, r.mean_log_prob) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, ids int")).collect())
-    assert [g[:2] for g in got] == [(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 40_000)]
+    rows = [(1, None, 1), (2, "", 1), (3, " \n", 1), (4, "one", 1), (4, "one", 1), (5, "long text " * 20_000, 1), (None, "two", 1)]
+    got = sorted(((r.doc_id, r.n_words, r.log_prob, r.mean_log_prob) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, ids int"), block=100).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    assert [g[:2] for g in got] == [(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 40_000), (None, 1)]
     assert got[0][2:] == (0.0, None) and got[3] == got[4] and math.isfinite(got[5][2])
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert lm.score(spark.createDataFrame([(1, "")], "doc_id long, text string")).first().log_prob == 0
