@@ -2,8 +2,9 @@
 
 Each document is encoded, closed by an end id and cut into full windows and a rest. The rest goes, at once and for good, to
 the fill level that makes the sum of squares of the numbers of partly filled windows at each level least; the level array
-holds those numbers. What is still open when a partition ends is laid end to end into windows, cut where they fill, so that
-one window a partition is short at most.
+holds those numbers. When a partition ends, its open windows stay as they were placed, the fullest first, and those that lack
+more than a hundredth are filled up from the emptiest ones: with their pieces as they are where these fit, else with a piece
+cut to fit. So cuts fall on the few pieces that are moved, and one window a partition is short by more at most.
 
 Every partition packs its own rows: there is no shuffle, and the state is the level array and the open windows. Sequence ids
 are the partition's number times 2**32 plus a running number, so they never clash and a repeated task gives the same ones.
@@ -15,6 +16,8 @@ of any length is cut into windows as its ids come; extra columns are left out of
 from __future__ import annotations
 
 import functools
+from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -133,19 +136,48 @@ class Packer:
         self.open.setdefault(fill, []).append(window)
         return None
 
-    def rest(self) -> list[list]:
-        """The open windows, fullest first; none stays."""
-        left = [w for fill in sorted(self.open, reverse=True) for w in self.open[fill]]
+    def rest(self) -> list[tuple[int, list]]:
+        """The open windows with their fill, fullest first; none stays."""
+        left = [(fill, w) for fill in sorted(self.open, reverse=True) for w in self.open[fill]]
         self.open.clear()
         self.level[:] = 0
         return left
 
 
+Piece = tuple[int, int, bytes, int]  # doc, start, ids, doc_tokens
+
+
+def filled(rest: list[tuple[int, list[Piece]]], size: int, spare: int) -> Iterator[list[Piece]]:
+    """Windows from open ones, fullest first: each with at most `spare` tokens to go, but the last.
+
+    The emptiest windows give their pieces up. A gap takes the longest that fits until none does; if more than `spare` is
+    left, the longest of all is cut to fit.
+    """
+    left = deque(rest)
+    pool: list[Piece] = []  # by length
+    length = lambda piece: len(piece[2]) // 4
+    while left or pool:
+        fill, window = left.popleft() if left else (0, [])
+        window = list(window)
+        while size - fill > spare and (pool or left):
+            if not pool:
+                for piece in left.pop()[1]:
+                    insort(pool, piece, key=length)
+            at = bisect_right(pool, size - fill, key=length)
+            doc, start, ids, total = pool.pop(at - 1 if at else -1)
+            if (over := len(ids) // 4 - (size - fill)) > 0:
+                insort(pool, (doc, start + size - fill, ids[-4 * over :], total), key=length)
+                ids = ids[: -4 * over]
+            window.append((doc, start, ids, total))
+            fill += len(ids) // 4
+        yield window
+
+
 def pack_ids(docs: Iterable[tuple[int, bytes]], size: int, first: int) -> Iterator[tuple]:
     """(doc, start, length, ids, doc_tokens, sequence, offset) of documents' ids, sequence numbers from `first` on."""
     packer, number = Packer(size), first
 
-    def laid(window: list) -> Iterator[tuple]:
+    def laid(window: list[Piece]) -> Iterator[tuple]:
         nonlocal number
         offset = 0
         for doc, start, ids, total in window:
@@ -159,16 +191,7 @@ def pack_ids(docs: Iterable[tuple[int, bytes]], size: int, first: int) -> Iterat
             piece = (doc, start, ids[4 * start : 4 * (start + size)], total)
             if full := packer.place(piece, len(piece[2]) // 4):
                 yield from laid(full)
-    window, fill = [], 0
-    for doc, start, ids, total in (p for w in packer.rest() for p in w):
-        while ids:
-            part = ids[: 4 * (size - fill)]
-            window.append((doc, start, part, total))
-            start, fill, ids = start + len(part) // 4, fill + len(part) // 4, ids[len(part) :]
-            if fill == size:
-                yield from laid(window)
-                window, fill = [], 0
-    if window:
+    for window in filled(packer.rest(), size, size // 100):
         yield from laid(window)
 
 

@@ -85,3 +85,22 @@ def test_places_where_the_sum_of_squares_grows_least():
                 c = int((after.astype(int) ** 2).sum() - (before.astype(int) ** 2).sum())
                 best = c if best is None else min(best, c)
         assert change == best
+
+
+def test_open_windows_are_kept_as_placed():
+    """A partition of a thousand documents: little padding, few documents cut that a window could hold whole."""
+    rng = np.random.default_rng(6)
+    for count in (0, 1, 2, 1000):
+        sizes = np.minimum(rng.lognormal(5.5, 1.2, count).astype(int) + 1, 9000).tolist()
+        docs = [(k, np.arange(n, dtype="<u4").tobytes()) for k, n in enumerate(sizes)]
+        pieces = list(packing.pack_ids(docs, 2048, 7))
+        got, fill, cut = {}, {}, set()
+        for doc, start, length, ids, total, sequence, offset in pieces:
+            assert length * 4 == len(ids) and total == sizes[doc] and offset == fill.get(sequence, 0)
+            fill[sequence] = offset + length
+            got.setdefault(doc, []).append((start, ids))
+        assert all(b"".join(x for _, x in sorted(got[k])) == ids for k, ids in docs) and len(got) == count
+        assert all(f <= 2048 for f in fill.values()) and sorted(fill) == list(range(7, 7 + len(fill)))
+        assert sum(f < 2048 - 20 for f in fill.values()) <= 1
+        cut = sum(len(got[k]) > -(-n // 2048) for k, n in enumerate(sizes))
+        assert cut <= 0.06 * count
