@@ -92,11 +92,15 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: int | None = None, each: int = 20_000) -> DataFrame:
     """The rows, written to the folder that the executors share; the plan before it is forgotten.
 
     The folder is the cluster's spark.checkpoint.dir. Only where that is unset, as in tests, one in the warehouse is used.
+    Where it is known that there are at most so many rows, they go to as many files as `each` rows a file take: a shuffle has
+    partitions for the largest tables, and a small one in as many files costs more for files than for rows.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     spark = df.sparkSession
     if not shared_dir(spark):
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")

@@ -20,13 +20,14 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """node, component (the least node reachable) of every node that a link names; links with nulls or of a node to itself link nothing."""
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
     both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("other")))
+    n = both.count()  # nodes are fewer
     # the first round needs no join: a node's label is the least of itself and its neighbours
-    labels = checkpointed(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")))
+    labels = checkpointed(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")), n)
     for _ in range(MOST_ROUNDS):
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = checkpointed(lower.join(jump, "label").select("node", "before", F.least("label", "next").alias("label")))
+        after = checkpointed(lower.join(jump, "label").select("node", "before", F.least("label", "next").alias("label")), n)
         changed = not after.where("before <> label").isEmpty()
         labels = after.select("node", "label")
         if not changed:

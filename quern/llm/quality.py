@@ -40,8 +40,8 @@ SPACES = " \t\n\v\f\r"
 BANDS = {"chars_per_token": (0.06, 8.0, "both"), "byte_share": (1.0, 2.0, "upper"), "entropy": (0.11, 6.0, "lower")}
 #: The least number of texts that a band of its own takes.
 LEAST = 30
-#: Rows of a table that may be broadcast, after a count.
-SMALL = 20_000
+#: Rows of a table that may be broadcast, after a count; files of the tables of bands, a few rows for each language.
+SMALL, MOST_FILES = 20_000, 8
 
 
 @functools.cache
@@ -173,7 +173,7 @@ def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
     usable = measured.where(~base_failed() & (F.col("n_tokens") > 0)).select(F.explode(_levels(_group(), F.col("script"))).alias("at"), _octave().alias("octave"), *BANDS).select("at.*", "octave", *BANDS)
     # whole groups from the same sketches as their octaves: one pass, one shuffle of partial sketches
     each = usable.rollup("level", "group", "octave").agg(F.count("*").alias("n"), *(F.percentile_approx(c, 0.5, 2_000).alias(f"mid_{c}") for c in BANDS))
-    return checkpointed(each.where(F.col("group").isNotNull() & ((F.col("n") >= least) | (F.col("level") == 2))))
+    return checkpointed(each.where(F.col("group").isNotNull() & ((F.col("n") >= least) | (F.col("level") == 2))).coalesce(MOST_FILES))
 
 
 def _group() -> Column:
@@ -210,7 +210,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """The measured rows with base_failed and kept."""
     told = measured.withColumns({"_group": _group(), "octave": _octave()})
     key = ["_group", "script", "octave"]
-    mids = checkpointed(resolved(told.select(*key).distinct(), limits))
+    mids = checkpointed(resolved(told.select(*key).distinct(), limits).coalesce(MOST_FILES))
     # a few rows for each language and script; counted, and only if few does every task get them instead of a shuffle by language
     found = told.join(F.broadcast(mids) if mids.limit(SMALL + 1).count() <= SMALL else mids, key, "left")
     root = F.sqrt(F.greatest("n_tokens", F.lit(1)))

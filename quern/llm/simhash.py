@@ -112,12 +112,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WORDS, seed: int = SEED) -> DataFrame:
     """key, fp, component (the least key reachable by links) of every row."""
     marked = checkpointed(fingerprints(docs, key, text, width, seed))
+    n = marked.count()
     distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
     linked = components(links(distinct.select("fp"), radius))
     # only fingerprints with links need their component's least key; tables are kept apart before they are joined, so that
     # a join shuffles both of its sides itself and can split a component, or a fingerprint, that many rows share
-    members = checkpointed(distinct.join(linked.withColumnRenamed("node", "fp"), "fp"))
-    least = checkpointed(members.groupBy("component").agg(F.min("least").alias("component_id")))
+    members = checkpointed(distinct.join(linked.withColumnRenamed("node", "fp"), "fp"), n)
+    least = checkpointed(members.groupBy("component").agg(F.min("least").alias("component_id")), n)
     found = members.join(least, "component").select("fp", "component_id")
-    named = checkpointed(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    named = checkpointed(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), n)
     return marked.join(named, "fp").select(key, "fp", "component_id")

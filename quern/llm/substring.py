@@ -111,11 +111,15 @@ def seeds(docs: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW
     return chosen.mapInArrow(run, "h long, doc long, pos int")
 
 
+#: Matches that a task joins, chains or looks through, and chains that it aligns.
+MATCHES, CHAINS = 200_000, 5_000
+
+
 def matches(found: DataFrame) -> DataFrame:
     """h, doc, source, x, y: every seed occurrence outside its first document, with the first one's place."""
     firsts = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("last > first.doc")
     # kept apart, so that the join below shuffles both sides itself and can split a seed that many documents hold
-    firsts = checkpointed(firsts.select("h", F.col("first.doc").alias("source"), F.col("first.pos").alias("y")))
+    firsts = checkpointed(firsts.select("h", F.col("first.doc").alias("source"), F.col("first.pos").alias("y")), found.count(), MATCHES)
     return found.join(firsts, "h").where("doc > source").select("h", "doc", "source", F.col("pos").alias("x"), "y")
 
 
@@ -336,12 +340,14 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """key, start, end (words), source, source_start, source_end, similarity: a row for each passage of a later document that
     an earlier one (by id) holds too."""
     with stored(seeds(docs, key, text, k, window)) as sown:
-        matched = checkpointed(matches(sown))
-        told = checkpointed(_told(docs, checkpointed(_chained(matched, k, window, least)), key, text, least, similarity))
-        left = checkpointed(unexplained(matched, told, key, k, least))
-        if left.isEmpty():
+        matched = checkpointed(matches(sown), sown.count(), MATCHES)
+        n = matched.count()
+        chained = checkpointed(_chained(matched, k, window, least), n, MATCHES)
+        told = checkpointed(_told(docs, chained, key, text, least, similarity), chained.count(), CHAINS)
+        left = checkpointed(unexplained(matched, told, key, k, least), n, MATCHES)
+        if not (n := left.count()):
             return told
-        found = checkpointed(_chained(further(left), k, window, least))
+        found = checkpointed(_chained(further(left), k, window, least), n, MATCHES)
     more = _told(docs, found, key, text, least, similarity)
     # a first document may be the one before too
     return told.unionByName(more.join(told.select(key, "source", "start", "end"), [key, "source", "start", "end"], "left_anti").select(*told.columns).distinct())
