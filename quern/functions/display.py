@@ -1,25 +1,33 @@
 """Answers as they are shown: citation markers, formulas, money, steps. Code and formulas are never read as citations.
 
-An answer is first cut into code (fenced blocks, inline spans, formulas) and prose; only prose is searched or changed.
+One pattern cuts an answer into spans: code (fenced blocks, inline spans, formulas), citations with what stands beside them,
+amounts, and the prose between. What is shown is a choice for each kind of span.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: How markers, fences, formulas and amounts look, and what steps are called while they run and after.
-_MARKER = re.compile(r"\[(\d+)\]")
-_BEFORE_STOP = re.compile(r" ?((?:\[\d+\])+)([.,;:])")
-_RUN = re.compile(r" ?(?:\[\d+\]){2,}")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_INLINE = re.compile(r"(`+)(?:[\s\S]*?\1|[\s\S]*\Z)|\$\$[\s\S]+?\$\$|\$(?!\d)[^$]+\$")
+#: How fences, code, formulas, markers and amounts look, and what steps are called while they run and after.
+_UNFENCED = r"(?:(?!^\ {0,3}(?:`{3,}|~{3,}))[\s\S])"
+_SPAN = re.compile(
+    rf"""
+    (?P<fence>^\ {{0,3}}(?P<mark>(?P<tick>[`~])(?P=tick){{2,}})[^\n]*(?:\n(?:(?!\ {{0,3}}(?P=mark))[^\n]*(?:\n|\Z))*(?:\ {{0,3}}(?P=mark)[^\n]*\n?)?|\Z))
+    | (?P<code>(?P<ticks>`+)(?:{_UNFENCED}*?(?P=ticks)|{_UNFENCED}*))
+    | (?P<formula>\$\$(?:(?!\$\$){_UNFENCED})+\$\$|\$(?!\d)(?:(?!\$){_UNFENCED})+\$)
+    | (?P<cited>\ ?(?:\[\d+\])+)(?P<stop>[.,;:]?)
+    | (?P<amount>(?<!\\)\$(?=\d))
+    """,
+    re.M | re.X,
+)
+_NUMBER = re.compile(r"\d+")
 _FORMULA = re.compile(r"\$\$((?:\\[\s\S]|[^\\])+?)\$\$")
-_AMOUNT = re.compile(r"(?<!\\)\$(?=\d)")
 STEPS = {
     "rewrite": ("Rewriting the question", "Rewrote the question"),
     "decompose": ("Splitting the question", "Split the question"),
@@ -35,92 +43,97 @@ STEPS = {
 }
 
 
-def parts(answer: str) -> Iterator[tuple[bool, str]]:
-    """(is code, text) of an answer, which the texts make up again."""
-    fence, prose = "", []
-    for line in answer.splitlines(keepends=True) if "\r" not in answer else re.findall(r"[^\n]*\n|[^\n]+\Z", answer):
-        found = _FENCE.match(line)
-        mark = found[1] if found else ""
-        if not fence and not mark:
-            prose.append(line)
-            continue
-        if not fence:
-            yield from _inline("".join(prose))
-            prose, fence = [], mark
-        elif mark and mark[0] == fence[0] and len(mark) >= len(fence):
-            fence = ""
-        yield True, line
-    yield from _inline("".join(prose))
+@dataclass(frozen=True)
+class Span:
+    """A piece of an answer: kind is prose, code, cited or amount; numbers and stop are those of a citation."""
+
+    kind: str
+    text: str
+    numbers: tuple[int, ...] = ()
+    stop: str = ""
 
 
-def _inline(prose: str) -> Iterator[tuple[bool, str]]:
+def spans(answer: str) -> Iterator[Span]:
+    """The spans of an answer, whose texts and stops make it up again."""
     at = 0
-    for m in _INLINE.finditer(prose):
+    for m in _SPAN.finditer(answer):
         if m.start() > at:
-            yield False, prose[at : m.start()]
-        yield True, m[0]
+            yield Span("prose", answer[at : m.start()])
+        if m["cited"] is not None:
+            yield Span("cited", m["cited"], tuple(map(int, _NUMBER.findall(m["cited"]))), m["stop"])
+        else:
+            yield Span("amount" if m["amount"] is not None else "code", m[0])
         at = m.end()
-    if at < len(prose):
-        yield False, prose[at:]
-
-
-def _all_known(run: str, known: set[int]) -> bool:
-    return all(int(n) in known for n in _MARKER.findall(run))
+    if at < len(answer):
+        yield Span("prose", answer[at:])
 
 
-def moved_after_stops(prose: str, known: set[int]) -> str:
-    """Known markers before a stop, behind it."""
-    return _BEFORE_STOP.sub(lambda m: m[2] + m[1] if _all_known(m[1], known) else m[0], prose)
+def shown(span: Span, known: Collection[int], early: bool) -> list[int] | None:
+    """The markers of a citation that stay, or None to leave it as it is: several markers that are all known go; so do those
+    that a stop follows, behind which they move, if `early`."""
+    if not all(n in known for n in span.numbers):
+        return None
+    return [] if len(span.numbers) > 1 else list(span.numbers) if early and span.stop else None
 
 
-def without_runs(prose: str, known: set[int]) -> str:
-    """Without runs of two or more known markers."""
-    return _RUN.sub(lambda m: "" if _all_known(m[0], known) else m[0], prose)
-
-
-def cited(answer: str, known: set[int]) -> dict[int, int]:
+def cited(answer: str, known: Collection[int]) -> dict[int, int]:
     """The number that each known marker is shown as: 1 up, by first use in prose."""
-    seen = dict.fromkeys(int(n) for code, x in parts(answer) if not code for n in _MARKER.findall(x))
-    return {n: i for i, n in enumerate((n for n in seen if n in known), 1)}
-
-
-def renumbered(answer: str, known: set[int]) -> str:
-    """The answer with its markers as the reader sees them, runs left out."""
-    shown = cited(answer, known)
-    number = lambda m: f"[{shown[int(m[1])]}]" if int(m[1]) in shown else m[0]
-    return "".join(x if code else _MARKER.sub(number, without_runs(x, known)) for code, x in parts(answer))
+    used = dict.fromkeys(n for s in spans(answer) for n in s.numbers if n in known)
+    return {n: i for i, n in enumerate(used, 1)}
 
 
-def segments(prose: str, known: set[int]) -> list[tuple[str, str]]:
-    """('text', words) and ('marker', number) of a piece of prose."""
-    out, at = [], 0
-    value = without_runs(moved_after_stops(prose, known), known)
-    for m in _MARKER.finditer(value):
-        if int(m[1]) in known:
-            out += [("text", value[at : m.start()])] * (m.start() > at) + [("marker", m[1])]
-            at = m.end()
-    return out + [("text", value[at:])] * (at < len(value))
+def renumbered(answer: str, known: Collection[int]) -> str:
+    """The answer with its markers as the reader sees them; two or more known ones in a row are left out."""
+    new = cited(answer, known)
+    out = []
+    for s in spans(answer):
+        keep = s.kind != "cited" or shown(s, known, False) is None
+        text = _NUMBER.sub(lambda m: str(new.get(int(m[0]), m[0])), s.text) if s.kind == "cited" else s.text
+        out.append((text if keep else "") + s.stop)
+    return "".join(out)
+
+
+def segments(prose: str, known: Collection[int]) -> list[tuple[str, str]]:
+    """('text', words) and ('marker', number) of a piece of prose, a known marker behind the stop that follows it."""
+    out: list[tuple[str, str]] = []
+
+    def say(words: str) -> None:
+        if words and out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + words)
+        elif words:
+            out.append(("text", words))
+
+    for s in spans(prose):
+        if s.kind != "cited":
+            say(s.text)
+            continue
+        moved = shown(s, known, True)
+        if moved is not None:
+            say(s.stop)
+            out += [("marker", str(n)) for n in moved]
+            continue
+        at = 0
+        for m in re.finditer(r"\[(\d+)\]", s.text):
+            if int(m[1]) in known:
+                say(s.text[at : m.start()])
+                out.append(("marker", m[1]))
+                at = m.end()
+        say(s.text[at:] + s.stop)
+    return out
 
 
 def formula_segments(text: str) -> list[tuple[str, str]]:
     """('text', ...), ('formula', latex) and ('block', latex) for formulas alone on their lines, whose line breaks go."""
-    bits = _FORMULA.split(text)
-    last = len(bits) - 1
-    alone = {}
-    for i in range(1, last, 2):
-        before = bits[i - 1] == "" and i == 1 or bits[i - 1].endswith("\n")
-        after = bits[i + 1] == "" and i + 1 == last or bits[i + 1].startswith("\n")
-        alone[i] = before and after
-    out = []
-    for i, b in enumerate(bits):
-        if i % 2:
-            out.append(("block" if alone[i] else "formula", b))
-            continue
-        b = b[1:] if alone.get(i - 1) and b.startswith("\n") else b
-        b = b[:-1] if alone.get(i + 1) and b.endswith("\n") else b
-        if b:
-            out.append(("text", b))
-    return out
+    out: list[tuple[str, str]] = []
+    at = 0
+    for m in _FORMULA.finditer(text):
+        own = text[:m.start()].endswith("\n") or m.start() == 0, text[m.end():].startswith("\n") or m.end() == len(text)
+        before = text[at : m.start()]
+        if all(own):
+            before = before.removesuffix("\n")
+        out += [("text", before)] * bool(before) + [("block" if all(own) else "formula", m[1])]
+        at = m.end() + (all(own) and m.end() < len(text))
+    return out + [("text", text[at:])] * (at < len(text))
 
 
 def open_formula_held(answer: str) -> str:
@@ -130,7 +143,7 @@ def open_formula_held(answer: str) -> str:
 
 def amounts_escaped(answer: str) -> str:
     """With the dollar signs of amounts escaped, outside code and formulas."""
-    return "".join(x if code else _AMOUNT.sub(r"\\$", x) for code, x in parts(answer))
+    return "".join(("\\$" if s.kind == "amount" else s.text) + s.stop for s in spans(answer))
 
 
 def _mapped(kind: str, function: Callable, *columns: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -25,28 +27,46 @@ def new_turn() -> dict[str, Any]:
     return {"status": "pending", "answer": "", "steps": [], "sources": 0, "request_id": None, "error": None}
 
 
-def advance(turn: dict[str, Any], event: str, data: Any) -> dict[str, Any]:
-    """The turn after an event.
+def _put(steps: list[dict], data: Any) -> list[dict]:
+    """Steps after one more: a completed one takes the place of the first that runs."""
+    running = [i for i, s in enumerate(steps) if s["status"] == "running"] if data["status"] != "running" else []
+    at = running[0] if running else len(steps)
+    return [*steps[:at], data, *steps[at + 1 :]]
 
-    A step that starts joins the end; one that completes settles the earliest that runs. An error, a settling and a failure
-    leave only completed steps; what failed stays failed.
-    """
-    steps = turn["steps"]
-    completed = [s for s in steps if s["status"] == "completed"]
-    if event == "step":
-        at = next((i for i, s in enumerate(steps) if s["status"] == "running"), None) if data["status"] != "running" else None
-        return {**turn, "steps": [*steps, data] if at is None else [*steps[:at], data, *steps[at + 1 :]], "status": "streaming"}
-    if event == "sources":
-        return {**turn, "sources": len(data), "status": "streaming"}
-    if event == "text":
-        return {**turn, "answer": turn["answer"] + data, "status": "streaming"}
-    if event == "done":
-        return turn if turn["status"] == "failed" else {**turn, "status": "settled", "request_id": data.get("request_id")}
-    if event in ("error", "fail"):
-        return {**turn, "steps": completed, "status": "failed", "error": data.get("error")}
-    if event == "settle":
-        return turn if turn["status"] == "failed" else {**turn, "steps": completed, "status": "settled"}
-    return turn
+
+def _completed(steps: list[dict], data: Any) -> list[dict]:
+    return [s for s in steps if s["status"] == "completed"]
+
+
+@dataclass(frozen=True)
+class Move:
+    """What an event does: the status after it, what becomes of the steps, and fields from its data and the old values."""
+
+    status: str
+    steps: Callable[[list[dict], Any], list[dict]] | None = None
+    fields: dict[str, Callable[[Any, Any], Any]] = field(default_factory=dict)
+    revives: bool = True  # whether it also moves a turn that has failed
+
+
+_FAILED = Move("failed", _completed, {"error": lambda old, data: data.get("error")})
+MOVES: dict[str, Move] = {
+    "step": Move("streaming", _put),
+    "sources": Move("streaming", fields={"sources": lambda old, data: len(data)}),
+    "text": Move("streaming", fields={"answer": lambda old, data: old + data}),
+    "done": Move("settled", fields={"request_id": lambda old, data: data.get("request_id")}, revives=False),
+    "settle": Move("settled", _completed, revives=False),
+    "error": _FAILED,
+    "fail": _FAILED,
+}
+
+
+def advance(turn: dict[str, Any], event: str, data: Any) -> dict[str, Any]:
+    """The turn after an event; events without a move leave it."""
+    move = MOVES.get(event)
+    if move is None or turn["status"] == "failed" and not move.revives:
+        return turn
+    changed = {name: change(turn[name], data) for name, change in move.fields.items()}
+    return {**turn, **changed, "status": move.status, "steps": move.steps(turn["steps"], data) if move.steps else turn["steps"]}
 
 
 def _step(turn: dict, row: dict) -> tuple[dict, list[dict]]:

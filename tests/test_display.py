@@ -9,13 +9,17 @@ def test_questions():
 
 
 def test_citations():
-    assert d.moved_after_stops("claim [1][2]. x [9].", {1, 2}) == "claim.[1][2] x [9]."
-    assert d.without_runs("a [1][2] b [1]", {1, 2}) == "a b [1]"
+    assert d.segments("claim [1]. x [9].", {1, 2}) == [("text", "claim."), ("marker", "1"), ("text", " x [9].")]
+    assert d.segments("claim [1][2]. x [9].", {1, 2}) == [("text", "claim. x [9].")]
+    assert d.segments("claim [1][9]. y", {1}) == [("text", "claim "), ("marker", "1"), ("text", "[9]. y")]
+    assert d.renumbered("a [1][2] b [1]", {1, 2}) == "a b [1]" and d.renumbered("a [2] b [1][5]: `x", {1, 2}) == "a [1] b [2][5]: `x"
     answer = "x [7] and `[3]` then [12], [7].\n```\n[5]\n```\n$[4]$ [2]"
     assert d.cited(answer, {7, 12, 3, 5, 2}) == {7: 1, 12: 2, 2: 3}
     assert d.renumbered(answer, {7, 12, 2}) == "x [1] and `[3]` then [2], [1].\n```\n[5]\n```\n$[4]$ [3]"
     assert d.segments("a [1]. b", {1}) == [("text", "a."), ("marker", "1"), ("text", " b")]
-    assert "".join(x for _, x in d.parts(answer)) == answer
+    for text in (answer, "``` a\n[1]\n  ````\n[2] `open\n~~~\n`[3]`\n", "`a``b`` $1 $x$ \\$5", "[1].", ""):
+        assert "".join(s.text + s.stop for s in d.spans(text)) == text
+    assert [s.numbers for s in d.spans("~~~\n[1]\n```\n~~~\n[2]") if s.kind == "cited"] == [(2,)]
 
 
 def test_formulas_and_amounts():

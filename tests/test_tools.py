@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.functions import stem
@@ -52,5 +53,10 @@ def test_figure_text(spark):
     assert got.text.startswith("Emissions reported for reporting period 1995, per company, from the public dataset (file version 1, generated 2024-01-01)")
     assert "all matched reports together — " in got.text and "EU ETS emissions" not in got.text
     total = {"reports": 1, **dict.fromkeys(figures.FIGURES, 1000.4), "reports_with_ets": 1, "median_ets_ratio": 0.5, "matching_ets_ratio": 0}
-    text = figures.block_text(2024, 1, "2024-01-01", figures.subject(figures.Question(2024, "ship", "Carras")), [{**total, "label": "x"}], 3, total, "d")
-    assert 'company matching "Carras", per ship' in text and "x — 1 report\n" in text and "phase-in of 40%): 400 t" in text and "Each of the other 2 has a smaller ETS figure" in text and "median of 0.50, and 0% of reports" in text
+    q = figures.Question(2024, "ship", "Carras")
+    row = Row(version=1, generated="2024-01-01", subject=figures.subject(q), groups=[Row(label="x", **total), Row(label="y", **{**total, "reports": 1200})], group_count=4, overall=Row(**total))
+    text = figures.with_text(spark.createDataFrame([row]), q, "d").first().text
+    assert 'company matching "Carras", per ship' in text and "x — 1 report\n" in text and "y — 1,200 reports\n  total CO2: 1,000 t" in text and "phase-in of 40%): 400 t" in text
+    assert "Only the 2 largest by ETS figure of 4" in text and "Each of the other 2 has a smaller ETS figure" in text and text.endswith("median of 0.50, and 0% of reports sit within 1% of it.")
+    empty = Row(version=1, generated="2024-01-01", subject="s", groups=row.groups, group_count=4, overall=Row(**{**total, "reports": 0}))
+    assert figures.with_text(spark.createDataFrame([empty]), q, "d").first().text.endswith("No report in this period matches.")
