@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text, vectors
+from quern.operators import search
 
 #: The most parts a followed reference shows, and calls a review may ask for.
 FOLLOW_LIMIT, CALL_LIMIT = 5, 4
@@ -81,6 +85,33 @@ def interleaved(hits: DataFrame) -> DataFrame:
     return first.select("question_id", "id", F.row_number().over(W.partitionBy("question_id").orderBy("at.rank", "at.query_index")).alias("place"))
 
 
+@dataclass(frozen=True)
+class Retrieved:
+    """What a retrieval leaves: every query's hits by question, gated or not; the context; tools of questions without one."""
+
+    hits: DataFrame  # question_id, id, place
+    sources: DataFrame  # question_id, id, place
+    tools: DataFrame  # question_id, tool
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, questions: DataFrame, cards: DataFrame, limit: int = search.RESULTS, context_chunks: int = 20, expand: bool = True, assess: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, stats: DataFrame | None = None) -> Retrieved:
+    """Search of every query (query_id, question_id, query_index, query, query_embedding), the gate query by query, the cleared
+    queries' hits interleaved and widened to their sections; questions (question_id, question, question_embedding) none of
+    whose queries clears the gate may be opened by a tool instead, if contexts are assessed."""
+    of = queries.select("query_id", "question_id", "query_index")
+    found = search.search(queries, chunks, limit, rerank=rerank, only=only, stats=stats)
+    cleared = search.gate(found, queries).where("passes").select("query_id")
+    hits = found.join(of, "query_id").select("question_id", "query_index", "rank", "id", "query_id")
+    admitted = interleaved(hits.join(cleared, "query_id", "left_semi"))
+    sources = admitted
+    if expand:
+        widened = expand_sections(admitted.select(F.col("question_id").alias("query_id"), "id", F.col("place").alias("rank")), chunks, context_chunks)
+        sources = widened.withColumnRenamed("query_id", "question_id")
+    shut = questions.join(of.join(cleared, "query_id").select("question_id").distinct(), "question_id", "left_anti")
+    tools = tool_gate(shut, cards)
+    return Retrieved(interleaved(hits), sources, tools if assess else tools.where(F.lit(False)))
+
+
 def merged_context(present: DataFrame, additions: DataFrame, cap: int) -> DataFrame:
     """context_id, key, place: a context (context_id, key, place) grown by additions in order of arrival.
 

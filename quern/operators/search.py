@@ -6,15 +6,18 @@ before it in both legs. Every order ends with the id.
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
 
+logger = logging.getLogger(__name__)
+
 #: Fixed values of scoring: saturation and length norm of BM25, weight of a word in a citation, fusion constant, pool sizes.
 K1, B, CITATION_WEIGHT, RRF_K, POOL, RERANK_POOL, RESULTS = 1.2, 0.75, 4, 60, 50, 30, 10
 MIN_COSINE, MIN_RELEVANCE = 0.4, 0.6
@@ -25,20 +28,39 @@ def plain_lexemes(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame, analyse: Callable[[Column], Column] = plain_lexemes, key: str = "id", body: str = "text", citation: str | None = None, most_positions: int | None = None) -> DataFrame:
-    """id, lexeme, tf: how often a chunk holds a lexeme, words of the citation counting four times."""
-    body_words = chunks.select(F.col(key).alias("id"), F.explode(analyse(F.col(body))).alias("lexeme"), F.lit(1).alias("w"))
-    if citation:
-        body_words = body_words.unionByName(chunks.select(F.col(key).alias("id"), F.explode(analyse(F.coalesce(citation, F.lit("")))).alias("lexeme"), F.lit(CITATION_WEIGHT).alias("w")))
+#: Rows of a side that may be broadcast, after a count.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows, marked to be broadcast if a count finds them few; else a join shuffles them."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def lexemes(queries: DataFrame, analyse: Callable[[Column], Column] = plain_lexemes, text: str = "query") -> DataFrame:
+    """lexeme: what any of the queries asks for."""
+    return queries.select(F.explode(analyse(F.col(text))).alias("lexeme")).distinct()
+
+
+def postings(chunks: DataFrame, analyse: Callable[[Column], Column] = plain_lexemes, key: str = "id", fields: dict[str, int] | None = None, most_positions: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """id, lexeme, tf: how often a chunk holds a lexeme, by the weight of the field (text alone; or, as citations are searched,
+    {"citation": CITATION_WEIGHT, "title": 1, "text": 1}) it stands in.
+
+    With `asked` (column lexeme) only those are posted: the others go before anything is shuffled.
+    """
+    weighted = lambda w: lambda x: F.struct(x.alias("lexeme"), F.lit(w).alias("w"))
+    every = [F.transform(analyse(F.coalesce(F.col(c), F.lit(""))), weighted(w)) for c, w in (fields or {"text": 1}).items()]
+    words = chunks.select(F.col(key).alias("id"), F.explode(F.flatten(F.array(*every))).alias("x")).select("id", "x.*")
+    if asked is not None:
+        words = words.join(few(asked), "lexeme", "left_semi")
     tf = F.sum("w") if most_positions is None else F.least(F.sum("w"), F.lit(most_positions))
-    return body_words.groupBy("id", "lexeme").agg(tf.alias("tf"))
+    return words.groupBy("id", "lexeme").agg(tf.alias("tf"))
 
 
 def query_terms(queries: DataFrame, posted: DataFrame, analyse: Callable[[Column], Column] = plain_lexemes, key: str = "query_id", text: str = "query") -> DataFrame:
     """query_id, lexeme, df: the distinct lexemes of each query with their documents in the whole corpus, zero if none."""
     terms = queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(analyse(F.col(text)))).alias("lexeme"))
-    asked = posted.join(terms.select("lexeme").distinct(), "lexeme", "left_semi")  # only postings of asked lexemes shuffle
-    df = asked.groupBy("lexeme").agg(F.count("*").alias("df"))
+    df = posted.groupBy("lexeme").agg(F.count("*").alias("df"))
     return terms.join(df, "lexeme", "left").select("query_id", "lexeme", F.coalesce("df", F.lit(0)).alias("df"))
 
 
@@ -84,13 +106,38 @@ def fused(vector_hits: DataFrame, text_hits: DataFrame, limit: int, k: int = RRF
 
 
 def reranked(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
-    """Hits by the scorer's reranker_relevance; where it gives none for a query, by the fused order. rank is new."""
-    scored = scorer(hits)
+    """Hits by the scorer's reranker_relevance; where it gives none for a query, or can't be planned, by the fused order.
+
+    rank is new. A scorer that calls a model while the plan runs is kept from failing by `guarded`.
+    """
+    try:
+        scored = scorer(hits)
+    except Exception as e:  # a reranker is never worth an answer
+        logger.warning("rerank failed, the fused order stays: %s", e)
+        scored = hits.withColumn("reranker_relevance", F.lit(None).cast("double"))
     judged = F.max(F.col("reranker_relevance").isNotNull()).over(W.partitionBy("query_id"))
     order = W.partitionBy("query_id").orderBy(F.when(judged, F.col("reranker_relevance")).desc_nulls_last(), F.col("rrf_score").desc(), F.col("id").asc())
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def guarded(model: Callable[[list[str], list[str]], list[float]], queries: DataFrame, chunks: DataFrame, key: str = "id", body: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a model of (queries, texts); hits whose batch it fails on get no relevance."""
+
+    @F.arrow_udf("double")
+    def relevance(asked: pa.Array, texts: pa.Array) -> pa.Array:
+        try:
+            return pa.array(model(asked.to_pylist(), texts.to_pylist()), type=pa.float64())
+        except Exception as e:
+            logger.warning("a batch wasn't judged: %s", e)
+            return pa.nulls(len(asked), pa.float64())
+
+    def score(hits: DataFrame) -> DataFrame:
+        words = hits.join(queries.select("query_id", F.col("query").alias("_q")), "query_id").join(chunks.select(F.col(key).alias("id"), F.col(body).alias("_c")), "id")
+        return words.withColumn("reranker_relevance", relevance("_q", "_c")).drop("_q", "_c")
+
+    return score
+
+
 def overlap_scorer(queries: DataFrame, chunks: DataFrame, key: str = "id", body: str = "text") -> Callable[[DataFrame], DataFrame]:
     """A stand-in for a cross-encoder: the share of a query's distinct words that a chunk holds."""
 
@@ -116,11 +163,24 @@ def filtered(chunks: DataFrame, celex: list[str] | None = None, topic: str | Non
     return chunks if topic is None else chunks.where(F.col("topic") == topic)
 
 
-def search(queries: DataFrame, chunks: DataFrame, posted: DataFrame, stats: DataFrame, limit: int = RESULTS, candidates: int = POOL, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Hybrid search of each query (query_id, query, query_embedding) over chunks (id, text, embedding), `only` the filtered ones."""
+#: The two text legs.
+BM25, COVER = "bm25", "cover_density"
+
+
+def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidates: int = POOL, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, ranker: str = BM25, fields: dict[str, int] | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Hybrid search of each query (query_id, query, query_embedding) over chunks (id, text, embedding), `only` the filtered ones.
+
+    Counts of lexemes, and stats unless they are given, are of all chunks.
+    """
     own = chunks if only is None else only
     pool = max(limit, RERANK_POOL) if rerank else limit
-    text_hits = bm25_leg(posted, query_terms(queries, posted), own, stats, candidates)
+    if ranker == BM25:
+        posted = postings(chunks, fields=fields, asked=lexemes(queries))
+        text_hits = bm25_leg(posted, query_terms(queries, posted), own, corpus_stats(chunks) if stats is None else stats, candidates)
+    elif ranker == COVER:
+        text_hits = cover_density_leg(queries, own, candidates)
+    else:
+        raise ValueError(f"no ranker {ranker!r}")
     hits = fused(vector_leg(queries, own, candidates), text_hits, pool)
     return reranked(hits, rerank, limit) if rerank else hits.withColumn("reranker_relevance", F.lit(None).cast("double"))
 
@@ -156,13 +216,3 @@ def words_in_corpus(words: DataFrame, posted: DataFrame, stop_words: list[str],
     one = wanted.where("wanted = 1").join(posted.select("lexeme").distinct(), "lexeme", "left_semi").select("word")
     many = wanted.where("wanted > 1").join(posted.select("lexeme", "id"), "lexeme").groupBy("word", "id", "wanted").agg(F.count("*").alias("n")).where("n = wanted").select("word")
     return stop.select("word").unionByName(one).unionByName(many).distinct()
-
-
-def breadth(candidates: int) -> int:
-    """How widely an approximate index would walk for so many candidates; the exact scan needs none."""
-    return min(candidates * 4, 1000)
-
-
-def rrf_bound(k: int = RRF_K) -> float:
-    """The best fused score: first in both legs."""
-    return math.fsum((1 / (k + 1), 1 / (k + 1)))

@@ -85,25 +85,26 @@ def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     k = F.col("l_orderkey")
     celex = F.concat(F.lit("3"), (F.lit(1990) + k % 30).cast("string"), F.element_at(F.array(*map(F.lit, "RLDX")), (k % 4 + 1).cast("int")), F.lpad((k % 50).cast("string"), 4, "0"))
-    stem = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("0"), F.substring(celex, 2, 20))).otherwise(F.lit("02000R0001"))
+    act = k % 300  # of an act's rows
+    stem = F.when((F.col("l_linenumber") % 2 == 0) & (act % 5 != 0), F.concat(F.lit("0"), F.substring(celex, 2, 20))).otherwise(F.lit("02000R0001"))
     return li.select(
         celex.alias("celex"), (k * 10 + F.col("l_linenumber")).alias("seq"), F.when(k % 7 != 0, F.lit(True)).alias("in_force"), F.concat(F.lit("Act "), k.cast("string")).alias("title"),
-        F.when(F.col("l_linenumber") < 4, F.concat(stem, F.lit("-"), F.col("l_linenumber").cast("string"))).alias("consolidation"), F.concat(F.lit("A0"), F.col("l_linenumber").cast("string"), F.lit("P1")).alias("basis_article"),
+        F.when(F.col("l_linenumber") < 4, F.concat(stem, F.lit("-"), F.col("l_linenumber").cast("string"))).alias("consolidation"), F.concat(F.lit("A0"), (act % 8).cast("string"), F.lit("P1")).alias("basis_article"),
     )
 
 
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus.select_documents(_acts(spark, sf_dir), "t", base="31991R0001", kept="A0[2-5]", excluded="A07")
+    found = corpus.select_documents(_acts(spark, sf_dir), "t", base="32006R0016", kept="A0[2-5]", excluded="A03")
     return found.select("topic", "celex", F.array_join("candidates", ",").alias("candidates"), "title")
 
 
 SELECTED = r"""WITH r AS (SELECT '3' || CAST(1990 + l_orderkey % 30 AS VARCHAR) || ['R', 'L', 'D', 'X'][l_orderkey % 4 + 1] || lpad(CAST(l_orderkey % 50 AS VARCHAR), 4, '0') AS celex, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_orderkey % 7 <> 0 THEN true END AS in_force,
-      'Act ' || CAST(l_orderkey AS VARCHAR) AS title, l_linenumber AS n FROM lineitem),
-    c AS (SELECT *, CASE WHEN n < 4 THEN CASE WHEN n % 2 = 0 THEN '0' || celex[2:] ELSE '02000R0001' END || '-' || CAST(n AS VARCHAR) END AS cons, 'A0' || CAST(n AS VARCHAR) || 'P1' AS basis FROM r WHERE regexp_full_match(celex, '3[0-9]{4}[RLD][0-9]{4}')),
+      'Act ' || CAST(l_orderkey AS VARCHAR) AS title, l_linenumber AS n, l_orderkey % 300 AS act FROM lineitem),
+    c AS (SELECT *, CASE WHEN n < 4 THEN CASE WHEN n % 2 = 0 AND act % 5 <> 0 THEN '0' || celex[2:] ELSE '02000R0001' END || '-' || CAST(n AS VARCHAR) END AS cons, 'A0' || CAST(act % 8 AS VARCHAR) || 'P1' AS basis FROM r WHERE regexp_full_match(celex, '3[0-9]{4}[RLD][0-9]{4}')),
     a AS (SELECT celex, arg_min(title, seq) AS title, bool_and(true) FILTER (in_force) AS any_force, (SELECT in_force FROM c x WHERE x.celex = c.celex ORDER BY seq LIMIT 1) AS in_force, list_distinct(list(cons) FILTER (cons IS NOT NULL)) AS cons, list(basis) AS basis FROM c GROUP BY celex),
     f AS (SELECT *, list_filter(coalesce(cons, []), lambda x: starts_with(x, '0' || celex[2:] || '-')) AS own FROM a WHERE in_force)
     SELECT 't' AS topic, celex, array_to_string(list_reverse_sort(own), ',') AS candidates, title FROM f WHERE NOT (len(coalesce(cons, [])) > 0 AND len(own) = 0)
-      AND (celex = '31991R0001' OR len(list_filter(basis, lambda b: regexp_matches(b, '^(?:A0[2-5])'))) > 0) AND len(list_filter(basis, lambda b: regexp_matches(b, '^(?:A07)'))) = 0"""
+      AND (celex = '32006R0016' OR len(list_filter(basis, lambda b: regexp_matches(b, '^(?:A0[2-5])'))) > 0) AND len(list_filter(basis, lambda b: regexp_matches(b, '^(?:A03)'))) = 0"""
 
 
 def dropped(spark: SparkSession, sf_dir: str) -> DataFrame:

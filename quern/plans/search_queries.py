@@ -15,8 +15,9 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf_dir: str, most: int = 10, lang: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    posted = search.postings(docs)
-    terms = search.query_terms(_queries(spark, sf_dir), posted)
+    queries = _queries(spark, sf_dir)
+    posted = search.postings(docs, asked=search.lexemes(queries))
+    terms = search.query_terms(queries, posted)
     own = docs if lang is None else docs.where(F.col("lang") == lang)
     return search.bm25_leg(posted, terms, own, search.corpus_stats(docs), most)
 
@@ -40,7 +41,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vector(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = e.where("id % 100 = 0").select((F.col("id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return search.vector_leg(F.broadcast(q), e, most)
+    return search.vector_leg(search.few(q), e, most)
 
 
 _VECTOR = """v AS (SELECT q.vec_id // 100 AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS cos FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0),
@@ -67,8 +68,8 @@ _FUSED = f"""{_BM25.format(where="true", most=50)}, {_VECTOR.format(most=50)},
 
 
 def words_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = search.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"))
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    posted = search.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), asked=search.lexemes(words, text="word"))
     return search.words_in_corpus(words, posted, ["the", "of"])
 
 
@@ -135,6 +136,50 @@ MERGED = f"""WITH {_BM25.format(where="true", most=4)}, en AS (SELECT query_id,
     SELECT query_id AS context_id, id AS key, now AS place FROM n WHERE o = 0 OR now <= 6"""
 
 
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over citations, titles and texts; what a document is cited as is its source and language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.concat_ws(" ", "source", "lang").alias("citation"), F.substring("text", 1, 40).alias("title"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" en web")).alias("query"))
+    posted = search.postings(docs, fields={"citation": search.CITATION_WEIGHT, "title": 1, "text": 1}, asked=search.lexemes(queries))
+    return search.bm25_leg(posted, search.query_terms(queries, posted), docs, search.corpus_stats(docs), 10).select("query_id", "id", "text_rank", F.round("score", 4).alias("score"))
+
+
+_WEIGHTED = _BM25.replace("lower(text), '[a-z0-9]+'))) AS lexeme FROM benchmark", "lower(text || ' en web'), '[a-z0-9]+'))) AS lexeme FROM benchmark").replace(
+    "p AS (SELECT doc_id AS id, lexeme, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme FROM documents) GROUP BY ALL)",
+    """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 40)), '[a-z0-9]+')), 1 FROM documents
+        UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(concat_ws(' ', source, lang)), '[a-z0-9]+')), 4 FROM documents),
+    p AS (SELECT doc_id AS id, lexeme, sum(w) AS tf FROM w GROUP BY ALL)""",
+)
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retrieve node over questions of four queries each: what their contexts hold, and the tools of those without one."""
+    docs = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = docs.join(vectors_, "doc_id", "full_outer").select(
+        k.alias("id"), "text", "embedding", F.coalesce("lang", F.lit("")).alias("celex"), F.when(k % 3 == 0, F.floor(k / 10).cast("string")).alias("article"), k.cast("int").alias("position"), F.lit(1).alias("part"), F.lit(1).alias("parts")
+    )
+    queries = _queries(spark, sf_dir).join(vectors_.where("doc_id % 100 = 0").select((k / 100).cast("long").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
+    queries = queries.withColumns({"question_id": F.floor(F.col("query_id") / 4), "query_index": F.col("query_id") % 4})
+    questions = queries.where("query_index = 0").select("question_id", F.col("query").alias("question"), F.col("query_embedding").alias("question_embedding"))
+    cards = spark.createDataFrame([("figures", ["zzz"], None), ("other", [], None)], "tool string, terms array<string>, embedding array<float>")
+    node = context.retrieve(queries, chunks, questions, cards, limit=10, context_chunks=8, stats=search.corpus_stats(docs))
+    return node.sources.select("question_id", "id", "place")
+
+
+RETRIEVED = f"""WITH {_FUSED}, gated AS (SELECT query_id, coalesce(max(cos) >= 0.4, true) AS ok FROM top GROUP BY query_id),
+    cleared AS (SELECT query_id // 4 AS question_id, id, min((rank, query_id % 4)) AS spot FROM top JOIN gated USING (query_id) WHERE ok AND query_id IN (SELECT item_id FROM benchmark) GROUP BY ALL),
+    hits AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY spot) AS rank FROM cleared),
+    ids AS (SELECT coalesce(doc_id, vec_id) AS id, coalesce(lang, '') AS celex FROM documents FULL JOIN embeddings ON doc_id = vec_id),
+    k AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'a' || celex || '/' || CAST(id // 10 AS VARCHAR) ELSE 'i' || CAST(id AS VARCHAR) END AS section FROM ids),
+    sec AS (SELECT question_id, section, min(rank) AS section_rank, list(id) AS spots FROM hits JOIN k USING (id) GROUP BY ALL),
+    near AS (SELECT k.*, question_id, section_rank, list_min(list_transform(spots, lambda x: abs(k.id - x))) AS distance FROM k JOIN sec USING (section)),
+    rounds AS (SELECT *, row_number() OVER (PARTITION BY question_id, section_rank, distance = 0 ORDER BY distance, id) AS round FROM near),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance <> 0, round, section_rank, id) AS o FROM rounds QUALIFY o <= 8)
+    SELECT question_id, id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY section_rank, id) AS INTEGER) AS place FROM kept"""
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
@@ -154,7 +199,7 @@ ROUTED = """WITH s AS (SELECT event_id AS k, CASE WHEN event_id % 9 <> 0 THEN ['
         WHEN refused OR (sources = 0 AND settled) THEN 'refuse' WHEN settled THEN 'synthesize' ELSE 'assess' END AS next_node,
       CASE WHEN k % 13 = 0 THEN 'error' WHEN k % 6 = 0 THEN 'cached' WHEN k % 2 <> 0 AND k % 3 = 0 THEN 'refused' WHEN k % 2 = 0 THEN 'done' ELSE 'aborted' END AS outcome FROM t"""
 
-QUERIES = {"bm25_topk": bm25, "bm25_filtered": bm25_filtered, "vector_topk": vector, "hybrid_topk": hybrid, "gate": gate, "words_in_corpus": words_found, "cover_density": cover_density, "expand_sections": expanded, "follow_references": followed, "interleaved": interleaved, "merged_context": merged, "routing": routed}
+QUERIES = {"bm25_topk": bm25, "bm25_filtered": bm25_filtered, "vector_topk": vector, "hybrid_topk": hybrid, "gate": gate, "words_in_corpus": words_found, "cover_density": cover_density, "expand_sections": expanded, "follow_references": followed, "interleaved": interleaved, "merged_context": merged, "routing": routed, "bm25_weighted": weighted, "retrieve_node": retrieved}
 ORACLES = {
     "bm25_topk": f"WITH {_BM25.format(where='true', most=10)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg",
     "bm25_filtered": f"""WITH {_BM25.format(where="d.lang = 'fr'", most=5)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg""",
@@ -162,5 +207,6 @@ ORACLES = {
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, id, rank, vector_rank, text_rank, round(rrf, 8) AS rrf_score FROM top",
     "gate": f"""WITH {_FUSED}, b AS (SELECT query_id, max(cos) AS c, max(CASE WHEN id % 2 = 0 THEN rrf * 20 END) AS r FROM top GROUP BY query_id)
         SELECT item_id AS query_id, CASE WHEN b.query_id IS NULL THEN false ELSE coalesce(c >= 0.4, true) AND coalesce(r >= 0.6, true) END AS passes FROM benchmark LEFT JOIN b ON b.query_id = item_id""",
-    "words_in_corpus": WORDS_FOUND, "expand_sections": EXPANDED, "follow_references": FOLLOWED, "interleaved": INTERLEAVED, "merged_context": MERGED, "routing": ROUTED,
+    "words_in_corpus": WORDS_FOUND, "expand_sections": EXPANDED, "follow_references": FOLLOWED, "interleaved": INTERLEAVED, "merged_context": MERGED, "routing": ROUTED, "retrieve_node": RETRIEVED,
+    "bm25_weighted": f"WITH {_WEIGHTED.format(where='true', most=10)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg",
 }

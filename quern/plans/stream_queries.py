@@ -59,20 +59,14 @@ def step_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEP_LABELS = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'Searching the corpus' ELSE 'Searched the corpus' END WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'Reviewing the evidence' ELSE 'Reviewed the evidence' END ELSE 'odd' END AS label,
-    CASE WHEN event_id * 7 % 5000 < 1000 THEN CAST(event_id * 7 % 5000 AS VARCHAR) || 'ms' ELSE NULL END AS took FROM events"""
-
-
-def step_labels_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return step_labels(spark, sf_dir).withColumn("took", F.when(F.col("took").endswith("ms"), F.col("took")))
+    CASE WHEN event_id * 7 % 5000 < 1000 THEN CAST(event_id * 7 % 5000 AS VARCHAR) || 'ms' ELSE CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) || 's' END AS took FROM (SELECT event_id, CAST(floor((event_id * 7 % 5000) / 100 + 0.5) AS BIGINT) AS t FROM events)"""
 
 
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic vectors of the benchmark's items; they come from crc32 places."""
+    """Deterministic vectors of the benchmark's items, number by number; tests hold the hash places, which SQL lacks."""
     b = table(spark, sf_dir, "benchmark")
-    return tools.embedded(b).select("item_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
-
+    return tools.embedded(b).select("item_id", F.posexplode("embedding").alias("place", "x")).select("item_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
 
-HASH_EMBEDDINGS = "SELECT item_id, 64 AS size, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 THEN 1.0::DOUBLE END AS norm FROM benchmark"
 
-QUERIES = {"rate_limited": rate_limited, "cached_answers": cached_answers, "spend_cap": spend_cap, "turns_of_runs": turns_of_runs, "event_windows": event_windows, "step_labels": step_labels_short, "hash_embeddings": hash_embeddings}
-ORACLES = {"spend_cap": SPEND_CAP, "turns_of_runs": TURNS_OF_RUNS, "event_windows": EVENT_WINDOWS, "step_labels": STEP_LABELS, "hash_embeddings": HASH_EMBEDDINGS}
+QUERIES = {"rate_limited": rate_limited, "cached_answers": cached_answers, "spend_cap": spend_cap, "turns_of_runs": turns_of_runs, "event_windows": event_windows, "step_labels": step_labels, "hash_embeddings": hash_embeddings}
+ORACLES = {"spend_cap": SPEND_CAP, "turns_of_runs": TURNS_OF_RUNS, "event_windows": EVENT_WINDOWS, "step_labels": STEP_LABELS}

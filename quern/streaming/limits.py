@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.streaming.folds import fold, streaming_fold
+from quern.streaming.groups import connected
 
 #: The window and the calls that a client and an address may make in it; how long answers and trust are kept.
 WINDOW_MS, PER_CLIENT, PER_ADDRESS = 60_000, 5, 20
@@ -15,42 +16,55 @@ ANSWER_SECONDS, TRUST_SECONDS = 7 * 86_400, 86_400
 _LIMITED = "call_id long, allowed boolean, wait_ms long"
 
 
-def take_slot(state: dict[str, list[int]], client: str, now: int, window: int = WINDOW_MS, per_client: int = PER_CLIENT, per_address: int = PER_ADDRESS) -> int:
+def take_slot(state: dict[str, list[int]], client: str, address: str, now: int, window: int = WINDOW_MS, per_client: int = PER_CLIENT, per_address: int = PER_ADDRESS) -> int:
     """Milliseconds to wait, 0 if the call may go ahead and is now counted.
 
     Calls as old as the window have expired. Both the client's and the address's are looked at before either is counted, so
     a refused call counts for neither, and the longer wait is told.
     """
-    waits = []
-    for name, most in ((client, per_client), ("", per_address)):
-        live = [t for t in state.get(name, []) if t > now - window]
-        state[name] = live
-        waits.append(live[0] + window - now if len(live) >= most else 0)
-    for idle in [k for k, v in state.items() if k and k != client and (not v or v[-1] <= now - window)]:
+    for idle in [k for k, v in state.items() if v[-1] <= now - window]:
         del state[idle]
-    if max(waits) == 0:
-        state[client] = [*state[client], now]
-        state[""] = [*state[""], now]
-    return max(waits)
+    wait, kept = 0, {}
+    for name, most in ((client, per_client), (address, per_address)):
+        kept[name] = live = [t for t in state.get(name, []) if t > now - window]
+        if len(live) >= most:
+            wait = max(wait, live[0] + window - now)
+    if not wait:
+        state |= {name: [*live, now] for name, live in kept.items()}
+    return wait
 
 
 def _step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    wait = take_slot(state, "client:" + row["client_id"] if row["client_id"] else "anon", int(row["ts_ms"]))
+    address = f"address:{row['address']}"
+    # a call without a client counts as its address, under a name that no client can have
+    wait = take_slot(state, f"client:{row['client_id']}" if row["client_id"] else f"anonymous:{address}", address, int(row["ts_ms"]))
     return state, [{"call_id": row["call_id"], "allowed": wait == 0, "wait_ms": wait}]
 
 
+def _known(calls: DataFrame) -> DataFrame:
+    return calls.withColumn("address", F.coalesce("address", F.lit("unknown")))
+
+
 def rate_limited(calls: DataFrame) -> DataFrame:
     """call_id, allowed, wait_ms of calls (call_id, client_id, address, ts_ms).
 
-    States are held by address, with its clients within; a client that roams between addresses is counted at each.
+    A client is counted over all addresses, and an address over all clients, so calls are folded by the group of clients and
+    addresses that calls connect; a group's state holds one window's calls, however long the group's history is.
     """
-    known = calls.withColumn("address", F.coalesce("address", F.lit("unknown")))
-    return fold(known, "address", ["ts_ms", "call_id"], dict, _step, None, _LIMITED, ["call_id", "allowed", "wait_ms"])
+    known = _known(calls)
+    client = F.concat(F.lit("client:"), F.when(F.col("client_id") != "", F.col("client_id")))
+    groups = connected(known.select(F.concat(F.lit("address:"), "address").alias("a"), F.coalesce(client, F.concat(F.lit("address:"), "address")).alias("b")))
+    grouped = known.join(groups.withColumnRenamed("node", "_node"), F.concat(F.lit("address:"), "address") == F.col("_node")).drop("_node")
+    return fold(grouped, "group", ["ts_ms", "call_id"], dict, _step, None, _LIMITED, ["call_id", "allowed", "wait_ms"])
 
 
-def rate_limited_stream(calls: DataFrame) -> DataFrame:
-    known = calls.withColumn("address", F.coalesce("address", F.lit("unknown")))
-    return streaming_fold(known, "address", ["ts_ms", "call_id"], dict, _step, _LIMITED, ["call_id", "allowed", "wait_ms"])
+def rate_limited_stream(calls: DataFrame, by: str = "address") -> DataFrame:
+    """The same over a stream, whose states are kept by a column `by`.
+
+    A stream can't know which addresses a client will use: it is exact where the values of `by` share neither clients nor
+    addresses, as sites or regions do; by address, a client that roams is counted at each of its addresses.
+    """
+    return streaming_fold(_known(calls), by, ["ts_ms", "call_id"], dict, _step, _LIMITED, ["call_id", "allowed", "wait_ms"])
 
 
 def cached_answers(requests: DataFrame, seconds: int = ANSWER_SECONDS) -> DataFrame:

@@ -37,4 +37,5 @@ def test_same_rows(spark, con, name):
     at = [[d[0] for d in want.description].index(c) for c in columns]
     expected = sorted(([plain(r[i]) for i in at] for r in want.fetchall()), key=repr)
     got = sorted(([plain(x) for x in r] for r in df.select(*columns).collect()), key=repr)
+    assert got, "a comparison of nothing shows nothing"
     assert got == expected

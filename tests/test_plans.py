@@ -1,5 +1,6 @@
 """What the plans of the main queries must and mustn't do."""
 
+from quern.operators import search
 from quern.plans import checks
 from quern.plans.tables import table
 from quern.registry import QUERIES
@@ -31,3 +32,15 @@ def test_only_one_row_sides_are_crossed(spark):
     for name in ("figures_by_company", "bm25_topk", "hybrid_topk"):
         plan = checks.physical(QUERIES[name](spark, AT))
         assert "CartesianProduct" not in plan, name
+
+
+def test_only_asked_postings_shuffle(spark):
+    """The corpus's tokens meet the queries' lexemes before any exchange; few lexemes are broadcast."""
+    docs = table(spark, AT, "documents").withColumnRenamed("doc_id", "id")
+    queries = table(spark, AT, "benchmark").selectExpr("item_id AS query_id", "text AS query")
+    plan = checks.physical(search.postings(docs, asked=search.lexemes(queries)))
+    above, _, below = plan.partition("Generate explode")
+    exchanges = [i for i, x in enumerate(above.splitlines()) if "Exchange hashpartitioning(id" in x]
+    joins = [i for i, x in enumerate(above.splitlines()) if "BroadcastHashJoin" in x and "LeftSemi" in x]
+    assert exchanges and joins and max(exchanges) < min(joins)
+    assert below.count("Scan parquet") == 2 or below.count("FileScan parquet") == 2  # documents and, for the broadcast side, the queries

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from quern.streaming import limits, turns
 
@@ -25,8 +26,30 @@ def test_address_counts_over_clients_and_refusals_count_for_none(spark):
     assert got[:20] == [(True, 0)] * 20 and got[20] == (False, 59_970) and got[21:] == [(True, 0)] * 2
 
 
+def test_a_client_is_counted_over_its_addresses(spark):
+    rows = [("roams", f"x{i % 3}", i) for i in range(7)] + [("other", "x0", 8), ("roams", "far", 59_999), ("roams", "far", 60_000)]
+    got = allowed(limits.rate_limited(calls(spark, rows)))
+    assert got == [(True, 0)] * 5 + [(False, 59_995), (False, 59_994), (True, 0), (False, 1), (True, 0)]
+
+
+def test_against_plain_counting(spark):
+    rng = random.Random(4)
+    rows = sorted(((rng.choice([None, "", *(f"c{i}" for i in range(9))]), rng.choice([None, *(f"a{i}" for i in range(5))]), rng.randrange(400_000)) for _ in range(700)), key=lambda r: r[2])
+    counted, want = {}, []
+    for client, address, now in rows:
+        at = address or "unknown"
+        names = [("c", client) if client else ("n", at), ("a", at)]
+        live = [[t for t in counted.get(n, []) if t > now - 60_000] for n in names]
+        waits = [x[0] + 60_000 - now for x, most in zip(live, (5, 20), strict=True) if len(x) >= most]
+        if not waits:
+            for n in names:
+                counted.setdefault(n, []).append(now)
+        want.append((not waits, max(waits, default=0)))
+    assert allowed(limits.rate_limited(calls(spark, rows))) == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(f"c{i % 3}", f"x{i % 2}", i * 700) for i in range(200)]
+    rows = [(f"c{i % 4}", f"x{i % 2}", i * 700) for i in range(200)]
     batch = calls(spark, rows)
     for n in range(2):
         batch.where(f"call_id div 100 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -60,3 +60,60 @@ def test_figure_text(spark):
     assert "Only the 2 largest by ETS figure of 4" in text and "Each of the other 2 has a smaller ETS figure" in text and text.endswith("median of 0.50, and 0% of reports sit within 1% of it.")
     empty = Row(version=1, generated="2024-01-01", subject="s", groups=row.groups, group_count=4, overall=Row(**{**total, "reports": 0}))
     assert figures.with_text(spark.createDataFrame([empty]), q, "d").first().text.endswith("No report in this period matches.")
+
+
+def _search_inputs(spark):
+    chunks = spark.createDataFrame([(i, f"word{i} common", [1.0, float(i)], "a", None if i < 6 else "1", i, 1, 1) for i in range(8)], "id long, text string, embedding array<double>, celex string, article string, position int, part int, parts int")
+    queries = spark.createDataFrame([(1, 1, 0, "word2 common", [1.0, 2.0]), (2, 1, 1, "word5", [1.0, 5.0]), (3, 2, 0, "nothing", None)], "query_id long, question_id long, query_index int, query string, query_embedding array<double>")
+    return chunks, queries
+
+
+def test_a_scorer_that_fails_leaves_the_fused_order(spark):
+    chunks, queries = _search_inputs(spark)
+
+    def planned(hits):
+        raise RuntimeError("no model")
+
+    def model(asked, texts):
+        raise RuntimeError("timeout")
+
+    plain = search.search(queries, chunks, 3).select("query_id", "id", "rank").collect()
+    for rerank in (planned, search.guarded(model, queries, chunks)):
+        got = search.search(queries, chunks, 3, rerank=rerank)
+        assert sorted(map(tuple, got.select("query_id", "id", "rank").collect())) == sorted(map(tuple, plain))
+        assert got.where("reranker_relevance is not null").isEmpty()
+    good = search.search(queries, chunks, 3, rerank=search.guarded(lambda asked, texts: [float(t.startswith("word7")) for t in texts], queries, chunks))
+    assert {r.id for r in good.where("rank = 1 and query_id < 3").collect()} == {7}
+    by_overlap = search.search(queries, chunks, 1, rerank=search.overlap_scorer(queries, chunks)).where("query_id = 2").first()
+    assert (by_overlap.id, by_overlap.reranker_relevance) == (5, 1.0)
+
+
+def test_legs_can_be_chosen_and_filters_come_first(spark):
+    chunks, queries = _search_inputs(spark)
+    covered = search.search(queries, chunks, 8, ranker=search.COVER)
+    assert {(r.query_id, r.id) for r in covered.where("text_rank = 1").collect()} == {(1, 2), (2, 5)}
+    only = search.filtered(chunks, ["a"], None).where("id < 3")
+    assert {r.id for r in search.search(queries, chunks, 8, only=only).collect()} == {0, 1, 2}
+    assert search.filtered(chunks, []).isEmpty() and search.filtered(chunks.withColumn("topic", F.lit("t")), topic="u").isEmpty()
+    with pytest.raises(ValueError):
+        search.search(queries, chunks, ranker="other")
+
+
+def test_covers_by_hand(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a x x b a b"), (3, "a a"), (4, None)], "id long, text string")
+    queries = spark.createDataFrame([(1, "a b"), (2, ""), (3, "a")], "query_id long, query string")
+    got = {(r.query_id, r.id): round(r.score, 6) for r in search.cover_density_leg(queries, docs).collect()}
+    # covers of 2: a..b (4 wide), b a (2), a b (2); each counts the reciprocal of its width less the terms, plus one
+    assert got == {(1, 1): 1.0, (1, 2): round(1 / 3 + 1 + 1, 6), (3, 1): 1.0, (3, 2): 2.0, (3, 3): 2.0}
+
+
+def test_retrieval_of_questions(spark):
+    chunks, queries = _search_inputs(spark)
+    questions = spark.createDataFrame([(1, "Which word?", [1.0, 0.0]), (2, "Which figures?", [0.0, 1.0])], "question_id long, question string, question_embedding array<double>")
+    cards = spark.createDataFrame([("figures", ["figures"], None)], "tool string, terms array<string>, embedding array<double>")
+    got = context.retrieve(queries, chunks, questions, cards, limit=2, context_chunks=4)
+    sources = [(r.question_id, r.id) for r in got.sources.orderBy("question_id", "place").collect()]
+    assert {q for q, _ in sources} == {1} and {2, 5} <= {i for _, i in sources} and len(sources) <= 4
+    assert [(r.question_id, r.tool) for r in got.tools.collect()] == [(2, "figures")]
+    assert context.retrieve(queries, chunks, questions, cards, assess=False).tools.isEmpty()
+    assert {r.question_id for r in got.hits.collect()} == {1}
