@@ -41,6 +41,8 @@ BLOCK, STEP, BATCH, DRAWN, NOISE = 1 << 20, 2048, 4096, 16, 64
 PLACES = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 #: Rows of a packed part of the embeddings, and tasks whose parts are summed together first.
 PART, GROUP = 1024, 64
+#: Counts that a task packs by block at once.
+PACKED = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _PACKED = "struct<keys:array<long>,lengths:binary,ids:binary,words:binary>"
 
@@ -83,8 +85,9 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
 
 def counted(held: DataFrame) -> DataFrame:
-    """block, at, total: how often each distinct word of each block stands in the whole corpus."""
+    """block, at, total: how often distinct words of a block (their numbers, packed) stand in the whole corpus (packed too)."""
     out = pa.schema([("word", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
+    packed = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("total", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +99,34 @@ def counted(held: DataFrame) -> DataFrame:
                     own = words[part].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(a, a + len(own), dtype=np.int32)), pa.array(n[part].astype(np.int64))], schema=out)
 
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a block in one, as far as they meet in a task."""
+
+        def found() -> Iterator[tuple]:
+            some, n = [], 0
+            for batch in batches:
+                some.append([c.to_numpy() for c in batch.columns])
+                n += batch.num_rows
+                if n >= PACKED:
+                    yield from together(some)
+                    some, n = [], 0
+            if n:
+                yield from together(some)
+
+        def together(some: list[list[np.ndarray]]) -> Iterator[tuple]:
+            block, at, total = (np.concatenate(c) for c in zip(*some, strict=True))
+            order = np.argsort(block, kind="stable")
+            block, at, total = block[order], at[order].astype("<u4"), total[order].astype("<i8")
+            begins = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+            for a, b in zip(begins, [*begins[1:], len(block)], strict=True):
+                yield block[a].item(), at[a:b].tobytes(), total[a:b].tobytes()
+
+        return emitted(found(), packed, weight=lambda r: len(r[1]) + len(r[2]))
+
     each = held.select("block", "packed").mapInArrow(run, "word long, block long, at int, n long")
     # a word has at most a row for each block, and the window spills
-    return each.select("block", "at", F.sum("n").over(Window.partitionBy("word")).alias("total"))
+    totals = each.select("block", "at", F.sum("n").over(Window.partitionBy("word")).alias("total"))
+    return totals.mapInArrow(by_block, "block long, at binary, total binary")
 
 
 def bucket(words: np.ndarray) -> np.ndarray:
@@ -262,12 +290,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
     model = docs.sparkSession.sparkContext.broadcast(train(held))
     words = held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     out = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64())])
-    # a block's words come behind it, in their order
-    whole = held.select("block", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("total"), "packed").unionByName(counted(held).withColumn("packed", F.lit(None).cast(_PACKED)))
+    nothing = F.lit(None).cast("binary")
+    whole = held.select("block", F.lit(0).alias("side"), "packed", nothing.alias("at"), nothing.alias("total"))
+    whole = whole.unionByName(counted(held).select("block", F.lit(1).alias("side"), F.lit(None).cast(_PACKED).alias("packed"), "at", "total"))  # counts come behind their block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def scored(p: dict, totals: list[np.ndarray]) -> Iterator[tuple]:
-            share = np.log(np.concatenate([np.zeros(0), *totals])) - np.log(max(words, 1))
+        def scored(p: dict, counts: np.ndarray) -> Iterator[tuple]:
+            share = np.log(counts) - np.log(max(words, 1))
             line, at, lengths = padded(p, bucket(np.frombuffer(p["words"], dtype="<u8")))
             each = model.value.ratios(line)[at - SIDE] + share[np.frombuffer(p["ids"], dtype="<u4")]
             ends = np.cumsum(lengths)
@@ -275,23 +304,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int =
                 yield k, b - a, float(each[a:b].sum())
 
         def found() -> Iterator[tuple]:
-            p, totals = None, []
+            p, counts = None, np.zeros(0)
             for batch in batches:
-                at, total = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                begins = sorted({0, *np.flatnonzero(at < 0).tolist()})
-                for a, b in zip(begins, [*begins[1:], len(at)], strict=True):
-                    if b > a and at[a] < 0:
+                for side, packed, at, total in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                    if side == 0:
                         if p is not None:
-                            yield from scored(p, totals)
-                        p, totals = batch.column(3)[a].as_py(), []
-                        a += 1
-                    if b > a:
-                        totals.append(total[a:b].astype(np.float64))
+                            yield from scored(p, counts)
+                        p, counts = packed, np.ones(len(packed["words"]) // 8)
+                    else:
+                        counts[np.frombuffer(at, dtype="<u4")] = np.frombuffer(total, dtype="<i8")
             if p is not None:
-                yield from scored(p, totals)
+                yield from scored(p, counts)
 
         return emitted(found(), out)
 
-    dealt = whole.repartition("block").sortWithinPartitions("block", "at")
+    dealt = whole.repartition("block").sortWithinPartitions("block", "side")
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return dealt.mapInArrow(run, "key long, n_words long, log_prob double").select(F.col("key").alias(key), "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

@@ -42,7 +42,8 @@ def test_table_against_a_plain_version(spark):
     for k, ws in sorted(texts.items(), key=lambda x: len(x[1]))[:12]:
         assert abs(got[k].log_prob - plain_log_prob(model, ws, counts, total)) < 2e-3 * max(1, len(ws))
     first = held.first()
-    totals = {r.at: r.total for r in lm.counted(held).where(f"block = {first.block}").collect()}
+    parts = lm.counted(held).where(f"block = {first.block}").collect()
+    totals = {a: t for r in parts for a, t in zip(np.frombuffer(r.at, "<u4").tolist(), np.frombuffer(r.total, "<i8").tolist(), strict=True)}
     words = np.frombuffer(first.packed.words, "<u8").tolist()
     known = {hashed(w): n for w, n in counts.items()}
     assert totals == {i: known[w] for i, w in enumerate(words)}
