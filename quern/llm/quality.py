@@ -9,7 +9,8 @@ language is rejected.
 Beside them stand plain counts: words, characters in words, symbols, repeated lines and words in repeated 5-word windows.
 Base rules reject texts with too few words or too large a share of words in repeated windows.
 
-One narrow pass over the texts measures them; medians come from Spark's mergeable quantile sketch over all rows; a language
+One narrow pass over the texts measures them; medians come from Spark's mergeable quantile sketch over all rows, so that they
+are exact to a rank in two thousand, and a text that close to an edge may be judged otherwise when rows are dealt otherwise; a language
 with a third of all rows is summed before the shuffle like any other.
 
 Edge cases: a null or empty text has no words, fails the base rules and stays out of the bands; a null language goes by the

@@ -5,8 +5,9 @@ row first, so that copies never meet each other. Different ones are compared in
 of one tile against another, skipped where the tiles' population counts differ by more than the radius, since two words can't
 differ in fewer bits than their counts do.
 
-Which tiles meet: fingerprints within a radius r agree on one of r + 1 bands of bits, so each goes to a cell for each band's
-value and only cells are compared within: pairs that agree on no band are beyond the radius. A cell with more rows than
+Which tiles meet: of r + 2 bands of bits, fingerprints within a radius r agree on two, so each goes to a cell for the values of
+each two bands, and only cells are compared within: other pairs are beyond the radius. With radius 4 a cell's values have
+some 21 bits, so that even a billion fingerprints make cells of hundreds. A cell with more rows than
 `cell` is split by a hash into parts, and each pair of parts is a task of its own, so a hot cell is shared out. Within a
 task rows are sorted by population count into tiles. A task emits the forest of its links, at most a row for each of its
 fingerprints, never all pairs; components come from a distributed label propagation.
@@ -18,6 +19,7 @@ of the input are left out of the result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,28 +72,36 @@ def tile_links(words: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tup
     counts = np.bitwise_count(words)
     order = np.argsort(counts, kind="stable")
     words, counts = words[order], counts[order].astype(np.int64)
-    forest = Forest(len(words))
+    forest, root = Forest(len(words)), np.arange(len(words))
     for i in range(0, len(words), tile):
         a = words[i : i + tile]
         for j in range(i, len(words), tile):
             if counts[j] - counts[min(i + tile, len(words)) - 1] > radius:
                 break  # sorted: no later tile is nearer
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ words[None, j : j + tile]) <= radius)
-            for p, q in zip((x + i).tolist(), (y + j).tolist(), strict=True):
-                if p < q and forest.join(p, q):
+            near = np.bitwise_count(a[:, None] ^ words[None, j : j + tile]) <= radius
+            x, y = np.nonzero(near & (root[i : i + tile, None] != root[None, j : j + tile]))
+            if not len(x):
+                continue  # a dense group is linked once, and its other hits are passed over here
+            x, y = x + i, y + j
+            trees = np.sort(np.stack([root[x], root[y]]), axis=0)
+            for k in np.unique(trees[0] * len(words) + trees[1], return_index=True)[1].tolist():
+                p, q = int(x[k]), int(y[k])
+                if forest.join(p, q):
                     yield int(order[p]), int(order[q])
+            root = np.fromiter(map(forest.root, range(len(words))), dtype=np.int64, count=len(words))
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """radius + 1 runs of bits (start, width) that cover the word."""
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def cells(radius: int) -> list[list[tuple[int, int]]]:
+    """For each two of radius + 2 runs of bits that cover the word their (start, width)."""
+    edges = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
+    bands = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [list(two) for two in itertools.combinations(bands, 2)]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """a, b: a forest of the links between different fingerprints. distinct: column fp, each value once."""
-    bands = _bands(radius)
-    value = [F.struct(F.lit(n).alias("band"), F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for n, (a, w) in enumerate(bands)]
+    bits = lambda a, w: F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << w) - 1))
+    value = [F.struct(F.lit(n).alias("band"), F.shiftleft(bits(a, w), v).bitwiseOR(bits(b, v)).alias("value")) for n, ((a, w), (b, v)) in enumerate(cells(radius))]
     placed = distinct.select("fp", F.explode(F.array(*value)).alias("c")).select("fp", "c.*")
     dealt = deal(placed, ["band", "value"], F.col("fp"), cell)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])

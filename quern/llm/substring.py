@@ -318,13 +318,13 @@ def _chained(found: DataFrame, k: int, window: int, least: int) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """of, block, words: 16-bit word hashes of every document, in blocks. (Two words agree by chance once in 65536 times.)"""
+    """of, block, words: 32-bit word hashes of every document, in blocks. (Two words agree by chance once in four billion times.)"""
     out = pa.schema([("of", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut() -> Iterator[tuple]:
             for doc, t in rows(batches, "key", "text"):
-                h = (hashes()(t or "") >> np.uint64(48)).astype("<u2")
+                h = (hashes()(t or "") >> np.uint64(32)).astype("<u4")
                 for b in range(0, len(h), BLOCK):
                     yield doc, b // BLOCK, h[b : b + BLOCK].tobytes()
 
@@ -379,7 +379,7 @@ def _told(docs: DataFrame, found: DataFrame, key: str, text: str, least: int, si
                         sides[side].setdefault(block, payload)
                 if chain is None or not sides[1] or not sides[2]:
                     continue
-                a, b = (np.frombuffer(b"".join(sides[s][i] for i in sorted(sides[s])), dtype="<u2") for s in (1, 2))
+                a, b = (np.frombuffer(b"".join(sides[s][i] for i in sorted(sides[s])), dtype="<u4") for s in (1, 2))
                 at = min(sides[1]) * BLOCK, min(sides[2]) * BLOCK
                 local = chain - np.array([*at, 0])
                 local = local[(local[:, 0] + local[:, 2] <= len(a)) & (local[:, 1] + local[:, 2] <= len(b))]
