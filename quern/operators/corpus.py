@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +27,11 @@ def folded_acts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("celex").agg(F.min_by("in_force", order).alias("in_force"), F.min_by("title", order).alias("title"), F.array_sort(F.collect_set("consolidation")).alias("consolidations"), F.array_sort(F.collect_set("basis_article")).alias("basis_articles"))
 
 
+def discovered(based_on: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows of a discovery: of acts based on a topic's base act, and of the base act itself, each row once."""
+    return based_on.unionByName(base).distinct()
+
+
 def own_consolidations() -> Column:
     """An act's own consolidated versions, newest first."""
     stem = identifiers.consolidated_stem(F.col("celex"))
@@ -141,13 +150,29 @@ def pruned(chunks: DataFrame, keep: DataFrame, complete: bool = True) -> DataFra
     return chunks.join(keep.select("celex").distinct(), "celex", "left_semi")
 
 
-def fingerprint(documents: DataFrame, size: int = 7) -> DataFrame:
-    """fingerprint: the first digits of SHA-256 over the sorted (celex, resolved, sha256) list.
+def hashed_in_order(lines: DataFrame, line: str = "line", before: str = "[", between: str = ", ", after: str = "]") -> DataFrame:
+    """sha256: of all lines, sorted and joined. One row.
 
-    Rows are hashed where they lie; the one-row list holds a short line a document, so it is for a catalogue of documents.
+    A hash of a sequence takes it in order, so one task sorts the lines, spilling what doesn't fit, and passes over them with
+    nothing but the hash in hand.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, first = hashlib.sha256(before.encode()), True
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                digest.update((x if first else between + x).encode("utf-8", "surrogatepass"))
+                first = False
+        digest.update(after.encode())
+        yield pa.RecordBatch.from_pydict({"sha256": [digest.hexdigest()]})
+
+    return lines.select(line).where(F.col(line).isNotNull()).repartition(1).sortWithinPartitions(line).mapInArrow(run, "sha256 string")
+
+
+def fingerprint(documents: DataFrame, size: int = 7) -> DataFrame:
+    """fingerprint: the first digits of SHA-256 over the sorted (celex, resolved, sha256) list."""
     line = F.concat(F.lit('["'), F.concat_ws('", "', "celex", "resolved_celex", "sha256"), F.lit('"]'))
-    return documents.agg(F.left(F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(line)), ", "), F.lit("]")), 256), F.lit(size)).alias("fingerprint"))
+    return hashed_in_order(documents.select(line.alias("line"))).select(F.left("sha256", F.lit(size)).alias("fingerprint"))
 
 
 def next_version(current: str | None, print_: str, day: str) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quern.functions import text
 from quern.functions.bind import bound
+from quern.operators import corpus
 from quern.operators.context import division_hashes
 
 #: Fixed value: words by which an answer gives away how it was prompted.
@@ -168,14 +169,41 @@ def flattened(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("m")).select("m.*")
 
 
-def compared(base: DataFrame, other: DataFrame) -> DataFrame:
-    """metric, base, other, delta of two runs (metric, value, place, number), in the first one's order, unknown ones last.
+def compared(base: DataFrame, other: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """metric, base, other, delta, shown, place of two runs (metric, value, place, number): in the declared order (metric,
+    place) or else the first run's, unknown ones last.
 
-    Only pairs of numbers have a delta; booleans are no numbers.
+    Only pairs of numbers have a delta, shown with its sign; booleans are no numbers.
     """
     b, o = base.select("metric", F.col("value").alias("base"), "place", F.col("number").alias("_bn")), other.select("metric", F.col("value").alias("other"), F.col("number").alias("_on"))
     delta = F.when(F.col("_bn") & F.col("_on"), F.col("other").try_cast("double") - F.col("base").try_cast("double"))
-    return b.join(o, "metric", "full_outer").select("metric", "base", "other", delta.alias("delta"), F.coalesce("place", F.lit(1 << 30)).alias("place")).orderBy("place", "metric")
+    both = b.join(o, "metric", "full_outer").withColumn("delta", delta)
+    if declared is not None:
+        both = both.drop("place").join(declared.select("metric", "place"), "metric", "left")
+    return both.select("metric", "base", "other", "delta", F.format_string("%+.3f", "delta").alias("shown"), F.coalesce("place", F.lit(1 << 30)).alias("place")).withColumn("shown", F.when(F.col("delta").isNotNull(), F.col("shown"))).orderBy("place", "metric")
+
+
+#: What of a case doesn't change what it asserts.
+UNSCORED = ("content_hashes",)
+
+
+def dataset_hash(cases: DataFrame) -> DataFrame:
+    """sha256 of what all cases assert, stamps and empty fields left out, so that neither a new stamp nor a new optional field
+    makes runs incomparable."""
+    kept = [F.when(F.size(c) > 0, F.col(c)).alias(c) if isinstance(t, T.ArrayType) else F.col(c) for c, t in ((f.name, f.dataType) for f in cases.schema) if c not in UNSCORED]
+    told = cases.select(*kept)
+    if "targets" in cases.columns:
+        told = told.withColumn("targets", F.transform("targets", lambda x: x.dropFields(*UNSCORED)))
+    line = F.to_json(F.struct(*sorted(told.columns)))  # null fields are left out
+    return corpus.hashed_in_order(told.select(line.alias("line")))
+
+
+def summary(r: DataFrame) -> DataFrame:
+    """place, line: a run's report from its measures: the cases by kind, then each measure that has a value, in order."""
+    m = metrics(r)
+    head = m.select(F.lit(0).alias("place"), F.format_string("%d cases: %d in corpus, %d out of corpus, %d errors", "cases", "in_corpus", "out_of_corpus", "errors").alias("line"))
+    rest = flattened(m).where("value is not null and place > 3")
+    return head.unionByName(rest.select("place", F.concat(F.rpad("metric", 28, " "), F.when(F.col("number") & F.col("value").contains("."), F.format_string("%.3f", F.col("value").try_cast("double"))).otherwise(F.col("value"))).alias("line")))
 
 
 def tuning_order(entries: DataFrame) -> DataFrame:

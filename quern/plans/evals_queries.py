@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import evals
+from quern.operators.search import few
 from quern.plans.tables import table
 
 _REF = "struct<celex:string,article:string,paragraph:string,point:string,annex:string,content_hashes:array<string>>"
@@ -89,10 +92,13 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of eight words with each benchmark item, by an equi-join of shingles."""
 
     def shingles(df: DataFrame, key: str) -> DataFrame:
+        """Runs of eight words as two hashes, 96 bits in all."""
         words = df.select(key, F.split(F.regexp_replace("text", "\n", " "), " ").alias("w")).where("size(w) >= 8")
-        return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("shingle"))
+        run = lambda i: F.slice("w", i, 8)
+        return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.hash(run(i)).alias("b"))))).alias("s")).select(key, "s.*")
 
-    found = shingles(table(spark, sf_dir, "documents"), "doc_id").join(shingles(table(spark, sf_dir, "benchmark"), "item_id"), "shingle")
+    asked = few(shingles(table(spark, sf_dir, "benchmark"), "item_id"))
+    found = shingles(table(spark, sf_dir, "documents"), "doc_id").join(asked, ["a", "b"]).withColumn("shingle", F.struct("a", "b"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("shingle").alias("shingles"))
 
 
@@ -105,8 +111,25 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, states, judged = _inputs(spark, sf_dir)
     r = evals.results(cases, states, judged)
     base, other = (evals.flattened(evals.metrics(x)) for x in (r, r.where("case_id % 2 = 0")))
-    return evals.compared(base, other).select("metric", F.round("delta", 6).alias("delta"))
+    # a sum of doubles may differ in its last digits from run to run
+    return evals.compared(base, other).select("metric", F.round("delta", 5).alias("delta"))
+
+
+_COMPARED = METRICS[METRICS.rindex("SELECT count(*) AS cases") :]
+_NAMES = re.findall(r"AS (\w+)(?:,|\s+FROM q)", _COMPARED)
+COMPARED = METRICS.replace(_COMPARED, "") + f""", a AS ({_COMPARED}), b AS ({_COMPARED.replace("FROM q", "FROM q WHERE k % 2 = 0")})
+    SELECT metric, round(delta, 5) AS delta FROM ({" UNION ALL ".join(f"SELECT '{n}' AS metric, CAST(b.{n} AS DOUBLE) - CAST(a.{n} AS DOUBLE) AS delta FROM a, b" for n in _NAMES)})"""
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of the cases, which stamps don't change."""
+    cases = table(spark, sf_dir, "labels").selectExpr("string(doc_id) AS case_id", "IF(toxic = 0, 'in_corpus', 'out_of_corpus') AS kind", "array(named_struct('celex', concat('c', doc_id), 'content_hashes', array('h'))) AS targets", "cast(array() AS array<string>) AS traits")
+    return evals.dataset_hash(cases)
+
+
+DATASET = """WITH l AS (SELECT '{"case_id":"' || doc_id || '","kind":"' || CASE WHEN toxic = 0 THEN 'in_corpus' ELSE 'out_of_corpus' END || '","targets":[{"celex":"c' || doc_id || '"}]}' AS line FROM labels)
+    SELECT sha256('[' || string_agg(line, ', ' ORDER BY line) || ']') AS sha256 FROM l"""
 
 
-QUERIES = {"eval_metrics": metrics, "eval_latency": latency, "eval_usage": usage, "judge_coverage": coverage, "benchmark_passages": passages, "run_comparison": compared}
-ORACLES = {"eval_metrics": METRICS, "eval_latency": LATENCY, "eval_usage": USAGE, "judge_coverage": COVERAGE, "benchmark_passages": PASSAGES}
+QUERIES = {"eval_metrics": metrics, "eval_latency": latency, "eval_usage": usage, "judge_coverage": coverage, "benchmark_passages": passages, "run_comparison": compared, "dataset_hash": dataset}
+ORACLES = {"eval_metrics": METRICS, "eval_latency": LATENCY, "eval_usage": USAGE, "judge_coverage": COVERAGE, "benchmark_passages": PASSAGES, "run_comparison": COMPARED, "dataset_hash": DATASET}

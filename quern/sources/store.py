@@ -92,3 +92,8 @@ def dump(tables: dict[str, DataFrame], root: str, name: str) -> None:
 
 def newest_dump(names: DataFrame) -> DataFrame:
     return names.agg(F.max("name").alias("name"))
+
+
+def restored(spark: SparkSession, root: str, name: str, tables: list[str]) -> dict[str, DataFrame]:
+    """The tables of a snapshot, to be written where they are wanted."""
+    return {table: spark.read.parquet(f"{root}/{name}/{table}") for table in tables}
