@@ -1,16 +1,18 @@
 """Operator 7: near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learned that turns unit vectors into balanced binary codes with little loss: principal axes, then turns of a
-random rotation towards the codes' own signs. The codes' bytes are keys of as many tables; vectors that share a label and a
-byte meet in a cell and are candidates if few bits of their codes differ. Candidates are compared by cosine of the original
+random rotation towards the codes' own signs. Runs of the codes' bits are keys of as many tables; vectors that share a label
+and a run meet in a cell and are candidates if few bits of their codes differ. Candidates are compared by cosine of the original
 vectors, in double precision, so nothing below the threshold links.
 
 Exact copies are folded to one row with a count first. A cell with more rows than `cell` is split into parts whose pairs are
 dealt to tasks of their own. A pair counts in the first table where it meets, so links are counted once. A task returns a
 row or two for each of its vectors: the number of links and a forest edge, never all pairs.
 
-The rotation is fitted on at most `sample` vectors, chosen by a hash of the id; every vector is indexed. With 64 bits and
-8 tables, vectors at the threshold of 0.98 differ in about 4 bits, and a pair is missed only if every byte differs.
+The rotation is fitted on at most `sample` vectors and `numbers` numbers, chosen by a hash of the id; every vector is indexed.
+With 64 bits and 6 tables, vectors at the threshold of 0.98 differ in about 4 bits, and a pair is missed only if every run of
+10 or 11 bits differs: one or two pairs of a hundred at the threshold itself, fewer above it. Candidates may differ in
+`most_bits` bits, some ten standard deviations more than such pairs do.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and rows with a null label, link with
 nothing and are their own component; vectors of different lengths never link; equal rows are copies of each other; an empty
@@ -30,9 +32,11 @@ from quern.llm.common import checkpointed, emitted
 from quern.llm.components import Forest, components
 from quern.llm.tiles import deal, runs
 
-THRESHOLD, SAMPLE, ROUNDS = 0.98, 20_000, 30
-#: Bits of a code at most, of a table's key, and that candidates may differ in.
-BITS, KEY, MOST_BITS = 64, 8, 24
+THRESHOLD, SAMPLE, NUMBERS, ROUNDS = 0.98, 20_000, 4_000_000, 30
+#: Bits of a code at most, tables, and bits that candidates may differ in.
+BITS, TABLES, MOST_BITS = 64, 6, 24
+#: The (first bit, number of bits) of each table's key.
+KEYS = [(round(t * BITS / TABLES), round((t + 1) * BITS / TABLES) - round(t * BITS / TABLES)) for t in range(TABLES)]
 CELL, TILE = 4096, 256
 
 
@@ -68,13 +72,14 @@ def codes(units: np.ndarray, matrix: np.ndarray | None) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fit(reps: DataFrame, vector: str = "vector", sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """The quantiser for the commonest length of a bounded sample."""
-    rows = reps.select("rep", vector).orderBy(F.xxhash64("rep"), "rep").limit(sample).select(vector).toArrow().column(0).to_pylist()
-    if not rows:
+def fit(reps: DataFrame, vector: str = "vector", sample: int = SAMPLE, numbers: int = NUMBERS) -> dict[int, np.ndarray]:
+    """The quantiser for the commonest length of vectors, from a bounded sample of those."""
+    common = reps.groupBy(F.size(vector).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    if common is None:
         return {}
-    size = max(sorted({len(r) for r in rows}), key=lambda n: sum(len(r) == n for r in rows))
-    return {size: quantiser(np.array([r for r in rows if len(r) == size]))}
+    most = max(1, min(sample, numbers // common.size))
+    chosen = reps.where(F.size(vector) == common.size).orderBy(F.xxhash64("rep"), "rep").limit(most).select(vector).toArrow().column(0).combine_chunks()
+    return {common.size: quantiser(chosen.flatten().to_numpy(zero_copy_only=False).reshape(-1, common.size))}
 
 
 def linked(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, vectors: np.ndarray, own: np.ndarray, table: int, same_part: bool, threshold: float, most_bits: int) -> Iterator[tuple[int, int | None, int]]:
@@ -82,7 +87,6 @@ def linked(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, vectors: np.nd
     n = len(ids)
     x = unit(vectors)
     found, forest = np.zeros(n, dtype=np.int64), Forest(n)
-    before = np.uint64((1 << (KEY * table)) - 1)
     edges: list[tuple[int, int]] = []
     for i in range(0, n, TILE):
         for j in range(i, n, TILE):
@@ -94,11 +98,11 @@ def linked(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, vectors: np.nd
             if not same_part:
                 near &= own[a, None] != own[None, b]
             p, q = np.nonzero(near)
-            if table and len(p):  # met in an earlier table: some byte before this one agrees
-                d = differ[p, q] & before
+            if table and len(p):  # met in an earlier table: some run before this one agrees
+                d = differ[p, q]
                 new = np.ones(len(p), dtype=bool)
-                for t in range(table):
-                    new &= (d >> np.uint64(KEY * t)) & np.uint64((1 << KEY) - 1) != 0
+                for first, width in KEYS[:table]:
+                    new &= (d >> np.uint64(first)) & np.uint64((1 << width) - 1) != 0
                 p, q = p[new], q[new]
             if not len(p):
                 continue
@@ -135,8 +139,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     kind = dict(reps.dtypes)["vector"]
     coded_reps = reps.select("rep", "copies", "group", "vector").mapInArrow(coded, f"rep long, copies long, group long, vector {kind}, code long")
     # a code has as many bits as its vector has numbers, at most 64; tables without bits would hold everything in one cell
-    spots = F.filter(F.array(*(F.struct(F.lit(t).alias("table"), F.shiftrightunsigned("code", KEY * t).bitwiseAND(F.lit((1 << KEY) - 1)).cast("int").alias("value")) for t in range(BITS // KEY))), lambda s: s["table"] * KEY < F.size("vector"))
-    placed = checkpointed(coded_reps).select("*", F.explode(spots).alias("spot")).select("rep", "copies", "group", "vector", "code", "spot.*")
+    spots = F.filter(F.array(*(F.struct(F.lit(t).alias("table"), F.shiftrightunsigned("code", first).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value"), F.lit(first).alias("first")) for t, (first, width) in enumerate(KEYS))), lambda s: s["first"] < F.size("vector"))
+    placed = checkpointed(coded_reps).select("*", F.explode(spots).alias("spot")).select("rep", "copies", "group", "vector", "code", "spot.table", "spot.value")
     dealt = deal(placed, ["group", "table", "value"], F.col("rep"), cell)
     out = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
