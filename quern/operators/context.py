@@ -147,6 +147,29 @@ def planned_calls(calls: DataFrame, sources: DataFrame, most: int = CALL_LIMIT)
     return lone.select(*calls.columns).unionByName(useful.select(*calls.columns))
 
 
+@dataclass(frozen=True)
+class Round:
+    """What a round of calls leaves: contexts (context_id, key, place), and those (context_id) whose review refuses."""
+
+    contexts: DataFrame
+    refused: DataFrame
+
+
+def tool_round(present: DataFrame, calls: DataFrame, sources: DataFrame, chunks: DataFrame, found: DataFrame, cap: int, most: int = CALL_LIMIT) -> Round:
+    """The calls that a review makes (as in `planned_calls`, with the annex they name), run and merged into their contexts.
+
+    A followed reference shows at most `FOLLOW_LIMIT` parts; `found` has the hits (call_id, id, place) of calls that search.
+    """
+    run = planned_calls(calls, sources, most)
+    targets = run.where("name = 'follow_reference'").select(F.col("call_id").alias("target_id"), "celex", "article", "paragraph", "point", "annex")
+    followed = follow_references(targets, chunks, FOLLOW_LIMIT).select(F.col("target_id").alias("call_id"), "id", F.col("place").alias("part_place"))
+    searched = run.where("name = 'search'").select("call_id").join(found.select("call_id", "id", F.col("place").alias("part_place")), "call_id")
+    arrived = followed.unionByName(searched).join(run.select("call_id", "context_id", F.col("place").alias("call_place")), "call_id")
+    order = W.partitionBy("context_id").orderBy("call_place", "call_id", "part_place")
+    additions = arrived.select("context_id", F.col("id").alias("key"), F.row_number().over(order).alias("place"))
+    return Round(merged_context(present, additions, cap), run.where("name = 'refuse'").select("context_id"))
+
+
 def formatted_context(blocks: DataFrame) -> DataFrame:
     """context_id, text: numbered blocks (context_id, place, name, citation, act, act_title, text, footer) as a model reads them.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -143,10 +143,12 @@ def hop(chunks: DataFrame, held: DataFrame) -> DataFrame:
     return cited_acts(chunks).join(held.select("celex"), "celex", "left_anti")
 
 
-def pruned(chunks: DataFrame, keep: DataFrame, complete: bool = True) -> DataFrame:
-    """Chunks of the acts to keep; all of them if the corpus isn't complete or nothing is to be kept."""
+def pruned(chunks: DataFrame, keep: DataFrame, complete: bool = True, others: DataFrame | None = None) -> DataFrame:
+    """Chunks of the acts to keep, and of those (celex) that other topics still hold; all of them if the corpus isn't complete
+    or nothing is to be kept."""
     if not complete or keep.isEmpty():
         return chunks
+    keep = keep if others is None else keep.select("celex").unionByName(others.select("celex"))
     return chunks.join(keep.select("celex").distinct(), "celex", "left_semi")
 
 
@@ -209,3 +211,21 @@ def run_status(outcomes: DataFrame) -> DataFrame:
     """run_id, status: failed where a document of a topic failed; failures of merely cited documents don't count."""
     bad = F.count_if((F.col("result") == "failed") & (F.col("topic") != HOP_TOPIC))
     return outcomes.groupBy("run_id").agg(F.when(bad > 0, "failed").otherwise("success").alias("status"))
+
+
+def ingested(documents: DataFrame, held: DataFrame, chunked: Callable[[DataFrame], DataFrame], fetched: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Chunks of documents (celex, topic), and of the acts that they cite and nobody holds yet: one hop, under a topic of its own.
+
+    `chunked` gives a document's chunks with their references; `fetched` the documents of acts (celex) that it can get.
+    """
+    first = chunked(documents)
+    have = held.select("celex").unionByName(documents.select("celex"))
+    cited = fetched(hop(first, have)).withColumn("topic", F.lit(HOP_TOPIC))
+    return first.unionByName(chunked(cited))
+
+
+def close_out(outcomes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """run_id, status, chunk_count, avg_chunk_chars: how runs ended, the successful ones stamped with the corpus's size."""
+    stats = F.broadcast(corpus_stats(chunks))  # one row
+    stamp = lambda c: F.when(F.col("status") == "success", F.col(c)).alias(c)
+    return run_status(outcomes).crossJoin(stats).select("run_id", "status", stamp("chunk_count"), stamp("avg_chunk_chars"))
