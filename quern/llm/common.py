@@ -173,4 +173,10 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return ensure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    """A table of the folder; one with fewer parts than the cluster has cores is dealt out to all of them.
+
+    Files of a single row group can't be read in parts, and the passes over texts cost far more than dealing a small table.
+    """
+    df = ensure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
