@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,27 @@ def test_rare_lengths_and_small_languages_meet_every_rule(spark):
     # repeats fail the base rules too; here the bands alone are asked
     judged = {r.doc_id: r for r in quality.judge(measured.withColumn("n_repeat_words", F.lit(0)), quality.bands(measured)).collect()}
     assert not judged[203].kept and judged[202].kept
+
+
+def test_the_network_against_plain_loops():
+    """Logits word by word and filter by filter; a text's score doesn't depend on the texts beside it."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(trained=True, shift=0.3, thresholds={-1: 0.1})
+    model.embed = rng.normal(size=model.embed.shape).astype(np.float32)
+    model.embed[0] = 0
+    model.filters = [rng.normal(size=(w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    model.bias = rng.normal(size=model.bias.shape).astype(np.float32)
+    model.out = rng.normal(size=model.out.shape).astype(np.float32)
+    texts = ["The, quick brown fox", "", None, "one", "zzz yyy xxx www vvv the quick", "one"]
+
+    def plain(text):
+        vectors = [model.embed[np.frombuffer(toxicity.features(w), "<i4")].sum(axis=0) for w in (text or "").lower().split()]
+        pooled = []
+        for bank in model.filters:
+            for f in range(toxicity.FILTERS):
+                said = [sum(float(vectors[i + j] @ bank[j, :, f]) for j in range(len(bank)) if i + j < len(vectors)) for i in range(len(vectors))]
+                pooled.append(max(said, default=-np.inf))
+        return float(np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.shift)
+
+    feats, ids, begins, _ = toxicity.Words().table(texts)
+    assert np.allclose(model.logits(feats, ids, begins), [plain(t) for t in texts], atol=1e-3)
