@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def physical(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as text, schemas of scans in full."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxMetadataStringLength"
+    before = conf.get(name)
+    conf.set(name, "100000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, before)
 
 
 def scanned_columns(df: DataFrame) -> set[str]:

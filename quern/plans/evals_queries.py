@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import evals
 from quern.operators.search import few
-from quern.plans.tables import table
+from quern.plans.tables import spread, table
 
 _REF = "struct<celex:string,article:string,paragraph:string,point:string,annex:string,content_hashes:array<string>>"
 
@@ -98,7 +98,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.hash(run(i)).alias("b"))))).alias("s")).select(key, "s.*")
 
     asked = few(shingles(table(spark, sf_dir, "benchmark"), "item_id"))
-    found = shingles(table(spark, sf_dir, "documents"), "doc_id").join(asked, ["a", "b"]).withColumn("shingle", F.struct("a", "b"))
+    found = shingles(spread(table(spark, sf_dir, "documents")), "doc_id").join(asked, ["a", "b"]).withColumn("shingle", F.struct("a", "b"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("shingle").alias("shingles"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import context, search
-from quern.plans.tables import LINES, lines, table
+from quern.plans.tables import LINES, lines, spread, table
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, most: int = 10, lang: str | None = None) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = spread(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "id")
     queries = _queries(spark, sf_dir)
     posted = search.postings(docs, asked=search.lexemes(queries))
     terms = search.query_terms(queries, posted)
@@ -69,7 +69,7 @@ _FUSED = f"""{_BM25.format(where="true", most=50)}, {_VECTOR.format(most=50)},
 
 def words_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
-    posted = search.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), asked=search.lexemes(words, text="word"))
+    posted = search.postings(spread(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "id"), asked=search.lexemes(words, text="word"))
     return search.words_in_corpus(words, posted, ["the", "of"])
 
 
@@ -79,7 +79,7 @@ WORDS_FOUND = """WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lo
 
 
 def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = spread(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "id")
     return search.cover_density_leg(_queries(spark, sf_dir), docs, 10)
 
 

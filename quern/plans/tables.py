@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose texts are long work: dealt out if it has fewer parts than the cluster has cores (a file of a single row
+    group can't be read in parts)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission reports: a line item is a report of a ship (part) by a company (supplier)."""
     li, su, pa = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))

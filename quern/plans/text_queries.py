@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import identifiers as ids
 from quern.functions import text, vectors
 from quern.operators.chunking import split_column
-from quern.plans.tables import table
+from quern.plans.tables import spread, table
 
 YEAR = 2026
 
@@ -82,7 +82,7 @@ EMBEDDING_COSINE = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_sim
 
 def chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents split to pieces of at most 2000 characters; held by golden tests."""
-    return split_column(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "part", "parts", F.length("piece").alias("chars"), F.md5("piece").alias("md5"))
+    return split_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "part", "parts", F.length("piece").alias("chars"), F.md5("piece").alias("md5"))
 
 
 def listed_points(spark: SparkSession, sf_dir: str) -> DataFrame:

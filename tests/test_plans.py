@@ -12,6 +12,7 @@ def test_figures_read_few_columns_and_stay_in_the_jvm(spark):
     df = QUERIES["figures_by_company"](spark, AT)
     assert "l_shipdate" in checks.scanned_columns(df) and "l_linestatus" not in checks.scanned_columns(df)
     assert not checks.python_nodes(df)
+    assert checks.physical(df).count("l_shipdate:") == 1  # groups and their count come from one scan
 
 
 def test_scans_push_filters(spark):
