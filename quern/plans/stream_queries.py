@@ -31,6 +31,20 @@ def spend_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPEND_CAP = f"""WITH {LEDGER} SELECT id, round(coalesce(sum(cost_usd) OVER (ORDER BY CAST(floor(epoch(created_at)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 0), 3) AS spend_usd FROM ledger"""
 
 
+def spend_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.spend_windows(ledger(spark, sf_dir), 2000.0).select("window_end", F.round("spend_usd", 3).alias("spend_usd"))
+
+
+SPEND_WINDOWS = f"""WITH {LEDGER}, w AS (SELECT coalesce(cost_usd, 0) AS cost, unnest(range(0, 24)) AS i, time_bucket(INTERVAL 1 HOUR, created_at, TIMESTAMP '1970-01-01') AS hour FROM ledger)
+    SELECT hour + INTERVAL 1 HOUR * (i + 1) AS window_end, round(sum(cost), 3) AS spend_usd FROM w GROUP BY 1"""
+
+
+def trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of clients that are vouched for, or not, or can't be; trust lasts a day from the check that earned it."""
+    asked = table(spark, sf_dir, "events").selectExpr("event_id AS request_id", "CASE WHEN event_id % 9 <> 0 THEN string(user_id) END AS client_id", "unix_seconds(cast(ts AS timestamp)) AS ts", "CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS boolean) ELSE event_id % 5 < 3 END AS vouched")
+    return limits.client_trust(asked)
+
+
 def turns_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs to events and back to turns."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -68,5 +82,5 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.embedded(b).select("item_id", F.posexplode("embedding").alias("place", "x")).select("item_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-QUERIES = {"rate_limited": rate_limited, "cached_answers": cached_answers, "spend_cap": spend_cap, "turns_of_runs": turns_of_runs, "event_windows": event_windows, "step_labels": step_labels, "hash_embeddings": hash_embeddings}
-ORACLES = {"spend_cap": SPEND_CAP, "turns_of_runs": TURNS_OF_RUNS, "event_windows": EVENT_WINDOWS, "step_labels": STEP_LABELS}
+QUERIES = {"rate_limited": rate_limited, "cached_answers": cached_answers, "spend_cap": spend_cap, "spend_windows": spend_windows, "client_trust": trust, "turns_of_runs": turns_of_runs, "event_windows": event_windows, "step_labels": step_labels, "hash_embeddings": hash_embeddings}
+ORACLES = {"spend_cap": SPEND_CAP, "spend_windows": SPEND_WINDOWS, "turns_of_runs": TURNS_OF_RUNS, "event_windows": EVENT_WINDOWS, "step_labels": STEP_LABELS}

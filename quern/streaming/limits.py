@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.streaming.folds import fold, streaming_fold
+from quern.streaming.folds import Step, fold, streaming_fold
 from quern.streaming.groups import connected
 
 #: The window and the calls that a client and an address may make in it; how long answers and trust are kept.
@@ -67,18 +67,63 @@ def rate_limited_stream(calls: DataFrame, by: str = "address") -> DataFrame:
     return streaming_fold(_known(calls), by, ["ts_ms", "call_id"], dict, _step, _LIMITED, ["call_id", "allowed", "wait_ms"])
 
 
+def _kept(seconds: int) -> Step:
+    def step(kept: int | None, row: dict) -> tuple[int | None, list[dict]]:
+        ts = int(row["ts"])
+        hit = kept is not None and ts < kept + seconds
+        return (ts if row["storable"] and not hit else kept), [{"request_id": row["request_id"], "hit": hit}]
+
+    return step
+
+
 def cached_answers(requests: DataFrame, seconds: int = ANSWER_SECONDS) -> DataFrame:
     """request_id, hit of requests (request_id, key, ts, storable): whether an answer stored in the last seconds is there.
 
     A storable request that misses stores its answer from then on; one that hits doesn't renew it.
     """
+    return fold(requests, "key", ["ts", "request_id"], lambda: None, _kept(seconds), None, "request_id long, hit boolean", ["request_id", "hit"])
+
+
+def cached_answers_stream(requests: DataFrame, seconds: int = ANSWER_SECONDS) -> DataFrame:
+    return streaming_fold(requests, "key", ["ts", "request_id"], lambda: None, _kept(seconds), "request_id long, hit boolean", ["request_id", "hit"])
+
+
+_TRUST = "request_id long, allowed boolean, asked boolean"
+
+
+def _trust(seconds: int) -> Step:
+    def step(until: int | None, row: dict) -> tuple[int | None, list[dict]]:
+        ts, verdict = int(row["ts"]), row["vouched"]
+        trusted = until is not None and ts < until
+        if not trusted and verdict and row["client_id"]:
+            until = ts + seconds
+        # a check that can't be made (no verdict) lets the request through, but earns no trust
+        return until, [{"request_id": row["request_id"], "allowed": trusted or verdict is None or bool(verdict), "asked": not trusted}]
+
+    return step
+
+
+def _clients(requests: DataFrame) -> DataFrame:
+    """With the key of a request's trust: its client, or itself without one."""
+    return requests.withColumn("trust_key", F.coalesce(F.concat(F.lit("client:"), F.when(F.col("client_id") != "", F.col("client_id"))), F.concat(F.lit("request:"), F.col("request_id").cast("string"))))
+
+
+def client_trust(requests: DataFrame, seconds: int = TRUST_SECONDS) -> DataFrame:
+    """request_id, allowed, asked of requests (request_id, client_id, ts, vouched): a client that passed a check in the last
+    seconds isn't asked again; vouched is what a check says of the request's token, null if it couldn't be made."""
+    return fold(_clients(requests), "trust_key", ["ts", "request_id"], lambda: None, _trust(seconds), None, _TRUST, ["request_id", "allowed", "asked"])
+
+
+def client_trust_stream(requests: DataFrame, seconds: int = TRUST_SECONDS) -> DataFrame:
+    return streaming_fold(_clients(requests), "trust_key", ["ts", "request_id"], lambda: None, _trust(seconds), _TRUST, ["request_id", "allowed", "asked"])
 
-    def step(kept: int | None, row: dict) -> tuple[int | None, list[dict]]:
-        ts = int(row["ts"])
-        hit = kept is not None and ts < kept + seconds
-        return (kept if hit else ts if row["storable"] else None if kept is None else kept), [{"request_id": row["request_id"], "hit": hit}]
 
-    return fold(requests, "key", ["ts", "request_id"], lambda: None, step, None, "request_id long, hit boolean", ["request_id", "hit"])
+def spend_windows(ledger: DataFrame, cap: float, late: str = "1 hour") -> DataFrame:
+    """window_end, spend_usd, over: the spend of each day that ends on an hour. The same expression in batch and on a stream,
+    where a day is told once nothing can come into it any more (`late` after its end)."""
+    day = F.window("created_at", "24 hours", "1 hour")
+    spent = ledger.withWatermark("created_at", late).groupBy(day.alias("day")).agg(F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("spend_usd"))
+    return spent.select(F.col("day.end").alias("window_end"), "spend_usd", (F.col("spend_usd") >= cap).alias("over"))
 
 
 def over_cap(ledger: DataFrame, cap: float, seconds: int = 86_400) -> DataFrame:

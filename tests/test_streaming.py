@@ -65,6 +65,12 @@ def test_answers_expire_and_hits_do_not_renew(spark):
     assert [r.hit for r in sorted(got)] == [False, True, True, False, False, True, False, False]
 
 
+def test_trust_lasts_from_the_check_that_earned_it(spark):
+    rows = [(0, "c", 0, None), (1, "c", 1, False), (2, "c", 2, True), (3, "c", 101, False), (4, "c", 102, False), (5, "c", 103, True), (6, None, 3, True), (7, None, 4, False), (8, "", 5, None)]
+    got = limits.client_trust(spark.createDataFrame(rows, "request_id long, client_id string, ts long, vouched boolean"), 100).collect()
+    assert [(r.allowed, r.asked) for r in sorted(got)] == [(True, True), (False, True), (True, True), (True, False), (False, True), (True, True), (True, True), (False, True), (True, True)]
+
+
 def test_spend_cap_against_plain_sums(spark):
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 977), (i % 7) / 4 if i % 5 else None) for i in range(300)]
     got = {r.id: r.spend_usd for r in limits.over_cap(spark.createDataFrame(rows, "id long, created_at timestamp, cost_usd double"), 20.0).collect()}
