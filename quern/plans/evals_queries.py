@@ -26,7 +26,8 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     target = lambda i: F.struct(F.lit("c").alias("celex"), F.concat(F.lit("A"), i.cast("string")).alias("article"), none.alias("paragraph"), none.alias("point"), none.alias("annex"), F.array().cast("array<string>").alias("content_hashes"))
     hit = lambda i: F.struct(F.lit("c").alias("celex"), F.concat(F.lit("a"), i.cast("string")).alias("article"), none.alias("annex"), F.repeat(F.lit("x"), i).alias("text"), (i % 2 == 1).alias("corpus"))
     cases = lab.select(k.alias("case_id"), F.when(F.col("toxic") == 0, "in_corpus").otherwise("out_of_corpus").alias("kind"), items(1, (k % 3).cast("int"), target).alias("targets"))
-    steps = F.when(k % 5 != 0, F.array(F.struct(F.lit("retrieve").alias("step"), (k % 90).alias("ms"), F.lit(1).cast("long").alias("input_tokens"), F.lit(2).cast("long").alias("output_tokens"), F.lit(0.5).alias("cost_usd")))).otherwise(F.array())
+    step = lambda name, ms: F.struct(F.lit(name).alias("step"), ms.alias("ms"), F.lit(1).cast("long").alias("input_tokens"), F.lit(2).cast("long").alias("output_tokens"), F.lit(0.5).alias("cost_usd"))
+    steps = F.when(k % 5 == 0, F.array()).when(k % 4 == 0, F.array(step("retrieve", k % 90), step("assess", k % 50))).otherwise(F.array(step("retrieve", k % 90)))
     states = lab.select(
         k.alias("case_id"), items(2, (k % 4).cast("int"), hit).alias("hits"), items(1, (k % 5).cast("int"), hit).alias("sources"), steps.alias("steps"), F.when(k % 7 != 0, F.concat(F.lit("As the context says [1] and ["), (k % 6).cast("string"), F.lit("]."))).alias("answer"),
         F.when(k % 11 == 0, "nothing_retrieved").when(k % 13 == 0, "insufficient_context").alias("refusal"), F.when(k % 17 == 0, "boom").alias("error"), F.when(k % 19 == 0, "aborted").when(k % 11 == 0, "refused").otherwise("done").alias("outcome"), (k % 1000).alias("total_ms"),
@@ -69,7 +70,8 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.step_latency(evals.results(cases, states))
 
 
-LATENCY = "SELECT 'retrieve' AS step, CAST(floor(avg(doc_id % 90)) AS BIGINT) AS mean_ms FROM labels WHERE doc_id % 17 <> 0 AND doc_id % 5 <> 0"
+LATENCY = """WITH s AS (SELECT 'retrieve' AS step, doc_id, doc_id % 90 AS ms FROM labels UNION ALL SELECT 'assess', doc_id, doc_id % 50 FROM labels WHERE doc_id % 4 = 0)
+    SELECT step, CAST(floor(avg(ms)) AS BIGINT) AS mean_ms FROM s WHERE doc_id % 17 <> 0 AND doc_id % 5 <> 0 GROUP BY step"""
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.run_usage(evals.results(cases, states))
 
 
-USAGE = "SELECT count(*) AS input_tokens, 2 * count(*) AS output_tokens, 0.5::DOUBLE * count(*) AS cost_usd FROM labels WHERE doc_id % 17 <> 0 AND doc_id % 5 <> 0"
+USAGE = """WITH s AS (SELECT CAST(sum(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM labels WHERE doc_id % 17 <> 0 AND doc_id % 5 <> 0)
+    SELECT n AS input_tokens, 2 * n AS output_tokens, 0.5::DOUBLE * n AS cost_usd FROM s"""
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -117,3 +120,15 @@ def test_retrieval_of_questions(spark):
     assert [(r.question_id, r.tool) for r in got.tools.collect()] == [(2, "figures")]
     assert context.retrieve(queries, chunks, questions, cards, assess=False).tools.isEmpty()
     assert {r.question_id for r in got.hits.collect()} == {1}
+
+
+def test_hashed_vectors_against_plain_counting(spark):
+    texts = ["The cat, the CAT", "", None, "a b c d"]
+    got = tools.embedded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")).orderBy("id").collect()
+    for t, r in zip(texts, got, strict=True):
+        counts = [0.0] * 64
+        for w in re.findall("[a-z0-9]+", (t or "").lower()):
+            for i in range(64):
+                counts[zlib.crc32(f"{w}:{i}".encode()) % 64] += 1
+        size = sum(x * x for x in counts) ** 0.5
+        assert r.embedding is None if not size else r.embedding == pytest.approx([x / size for x in counts], abs=1e-6)
