@@ -148,7 +148,8 @@ def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
     """The rows with a number of their own in a new column, and its name: the id, where no other row has it.
 
     Rows that share an id, and those without one, get numbers beyond all ids by their place in the table; so what is found
-    for a number holds for one row. docs has to be a table that reads the same each time, as files do.
+    for a number holds for one row. docs has to be a table whose rows have the same places whichever columns are read, as files
+    have.
     """
     name, id_, odd_, row = (unused(docs.columns, c) for c in ("_own", "_id", "_odd", "_row"))
     ids = docs.select(F.col(key).cast("long").alias("id"))
@@ -172,11 +173,12 @@ def shared_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, table: str, dealt: bool = True) -> DataFrame:
     """A table of the folder; one with fewer parts than the cluster has cores is dealt out to all of them.
 
     Files of a single row group can't be read in parts, and the passes over texts cost far more than dealing a small table.
+    Where rows are numbered by their place (`keyed`), a table must not be dealt: where a row goes depends on its columns.
     """
     df = ensure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if dealt and df.rdd.getNumPartitions() < cores else df
