@@ -87,7 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A table goes when the next one is there; the last stage's input stays until the driver ends, as its result is read later.
     """
-    docs, before = read(spark, sf_dir, "documents"), None
+    docs, before = read(spark, sf_dir, "documents", dealt=False), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
