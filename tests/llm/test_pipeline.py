@@ -91,17 +91,20 @@ def test_edge_cases(spark):
         assert stage(spark, empty, AT).count() == 0
 
 
-def test_rows_that_share_an_id_are_decided_about_one_by_one(spark):
+def test_rows_that_share_an_id_are_decided_about_one_by_one(spark, tmp_path):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(n))
     a, b, c, head = prose(120), prose(100), prose(90), prose(40)
     given = [(1, b), (6, a), (6, b), (9, c), (9, c), (6, f"{head} {b}"), (None, prose(100)), (None, b), (3, "too short")]
     extra = "_spans long, _of string, _id long, _score string, _own long, _row long, key long, spans long, doc string, score long, kept string, lang string"
     docs = spark.createDataFrame([(k, t, 7, "x", 1, "y", 2, 3, 4, 5, "z", 6, "w", None) for k, t in given], f"doc_id long, text string, {extra}")
+    docs.repartition(3).write.parquet(str(tmp_path / "given"))
+    docs = spark.read.parquet(str(tmp_path / "given"))
     plain = [(k, t) for k, t in given if t != "too short"]
     wants = [plain, plain, None, None]
     for (name, stage), want in zip(cp.STAGES[:-1], wants, strict=False):
-        docs = stage(spark, docs, AT).cache()
+        stage(spark, docs, AT).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         assert len(docs.columns) == 14 and all(tuple(r)[2:] == (7, "x", 1, "y", 2, 3, 4, 5, "z", 6, "w", None) for r in docs.collect())
         got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
         if want is not None:
