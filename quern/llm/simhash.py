@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import byte_words, checkpointed, emitted, rows
 from quern.llm.components import Forest, components
-from quern.llm.tiles import deal, runs
+from quern.llm.tiles import deal
 
 WORDS, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Rows of a cell that one task compares, and of a tile within it.
@@ -106,13 +106,35 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
     dealt = deal(placed, ["band", "value"], F.col("fp"), cell)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def linked(fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        if len(fps) == 2:
+            a, b = fps.tolist()
+            if ((a ^ b) & (1 << BITS) - 1).bit_count() <= radius:
+                yield a, b
+        elif len(fps) > 2:
+            for p, q in tile_links(fps.view(np.uint64), radius):
+                yield int(fps[p]), int(fps[q])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int]]:
-            for _, part in runs(batches, ["band", "value", "low", "high"]):
-                if part.num_rows > 1:
-                    fps = part.column("fp").to_numpy()
-                    for p, q in tile_links(fps.view(np.uint64), radius):
-                        yield int(fps[p]), int(fps[q])
+            key, held = None, np.zeros(0, np.int64)  # of the cell in which the last batch ended
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("band", "value", "low", "high")]
+                fps = batch.column(batch.schema.get_field_index("fp")).to_numpy()
+                ends = np.append(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, len(fps))
+                begins = np.append(0, ends[:-1])
+                if tuple(c[0] for c in columns) == key:
+                    held = np.concatenate([held, fps[: ends[0]]])
+                    begins, ends = begins[1:], ends[1:]
+                if not len(begins):
+                    continue
+                yield from linked(held)
+                for k in np.flatnonzero(ends[:-1] - begins[:-1] > 1).tolist():  # most cells hold a single fingerprint
+                    yield from linked(fps[begins[k] : ends[k]])
+                key, held = tuple(c[-1] for c in columns), fps[begins[-1] :]
+            yield from linked(held)
 
         return emitted(found(), out)
 
