@@ -113,15 +113,16 @@ PASSAGES = """WITH d AS (SELECT doc_id, string_split(replace(text, chr(10), ' ')
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, states, judged = _inputs(spark, sf_dir)
     r = evals.results(cases, states, judged)
-    base, other = (evals.flattened(evals.metrics(x)) for x in (r, r.where("case_id % 2 = 0")))
-    # a sum of doubles may differ in its last digits from run to run
-    return evals.compared(base, other).select("metric", F.round("delta", 5).alias("delta"))
+    # measures as they are reported, at six digits
+    measured = (evals.metrics(x) for x in (r, r.where("case_id % 2 = 0")))
+    base, other = (evals.flattened(m.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes))) for m in measured)
+    return evals.compared(base, other).select("metric", F.round("delta", 6).alias("delta"))
 
 
 _COMPARED = METRICS[METRICS.rindex("SELECT count(*) AS cases") :]
 _NAMES = re.findall(r"AS (\w+)(?:,|\s+FROM q)", _COMPARED)
 COMPARED = METRICS.replace(_COMPARED, "") + f""", a AS ({_COMPARED}), b AS ({_COMPARED.replace("FROM q", "FROM q WHERE k % 2 = 0")})
-    SELECT metric, round(delta, 5) AS delta FROM ({" UNION ALL ".join(f"SELECT '{n}' AS metric, CAST(b.{n} AS DOUBLE) - CAST(a.{n} AS DOUBLE) AS delta FROM a, b" for n in _NAMES)})"""
+    SELECT metric, round(delta, 6) AS delta FROM ({" UNION ALL ".join(f"SELECT '{n}' AS metric, CAST(b.{n} AS DOUBLE) - CAST(a.{n} AS DOUBLE) AS delta FROM a, b" for n in _NAMES)})"""
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
