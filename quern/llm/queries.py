@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity
+from quern.llm import bpe, chat, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity, warc
 from quern.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "language")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(spark, warc.archive(read(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_tool_calls": op1_chat_tool_calls,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op7_itq_embeddings": op7_itq_embeddings,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +89,9 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
                NULL::BOOLEAN AS linked, false AS cyclic, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS message
         FROM conversations""",  # the tables hold no tool calls; tests do
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+             r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM q)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r""",
 }
