@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import uuid
@@ -144,13 +145,45 @@ def unused(columns: Iterable[str], name: str) -> str:
 SMALL = 100_000
 
 
+#: Plans over rows that come back alike, and at the same places, however often and with whichever columns they are read.
+_SETTLED = ("LogicalRelation", "LocalRelation", "LogicalRDD", "Project", "Filter", "SubqueryAlias", "Union")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, such that each reading finds the same ones at the same places; what isn't so by its plan is written first.
+
+    Rows that come out of a shuffle, a join, a sample or a function may come in another order, or be others, the next time.
+    """
+    plan, steps = df._jdf.queryExecution().analyzed(), []
+    nodes = [plan] if plan.deterministic() else []
+    while nodes:
+        node = nodes.pop()
+        steps.append(node.getClass().getSimpleName())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return df if steps and set(steps) <= set(_SETTLED) else kept(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, which goes when the driver ends."""
+    table, path = written(df)
+    atexit.register(gone, df.sparkSession, path)
+    return table
+
+
+def gone(spark: SparkSession, path: str) -> None:
+    """Drops a folder when the driver ends."""
+    with contextlib.suppress(Exception):  # the session may have ended before
+        dropped(spark, path)
+
+
 def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
     """The rows with a number of their own in a new column, and its name: the id, where no other row has it.
 
     Rows that share an id, and those without one, get numbers beyond all ids by their place in the table; so what is found
-    for a number holds for one row. docs has to be a table whose rows have the same places whichever columns are read, as files
-    have.
+    for a number holds for one row. Rows are numbered once: where places tell, the numbers are written with the rows, and so
+    are rows of any plan that may give others when it is read again (`settled`).
     """
+    docs = settled(docs)
     name, id_, odd_, row = (unused(docs.columns, c) for c in ("_own", "_id", "_odd", "_row"))
     ids = docs.select(F.col(key).cast("long").alias("id"))
     odd = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias(id_), F.lit(True).alias(odd_))
@@ -163,22 +196,29 @@ def keyed(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
     elif low > -(1 << 62):
         beyond = F.lit(low - 1) - F.col(row)
     else:  # no numbers are free on either side: all rows go by their place
-        return docs.withColumn(name, F.monotonically_increasing_id()), name
+        return kept(docs.withColumn(name, F.monotonically_increasing_id())), name
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     told = placed.join(F.broadcast(odd) if few <= SMALL else odd, F.col(key).cast("long").eqNullSafe(F.col(id_)), "left")
-    return told.withColumn(name, F.when(F.col(odd_), beyond).otherwise(F.col(key).cast("long"))).drop(row, id_, odd_), name
+    return kept(told.withColumn(name, F.when(F.col(odd_), beyond).otherwise(F.col(key).cast("long"))).drop(row, id_, odd_)), name
 
 
 def shared_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str, dealt: bool = True) -> DataFrame:
-    """A table of the folder; one with fewer parts than the cluster has cores is dealt out to all of them.
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows, dealt out to all cores where they have fewer parts.
 
     Files of a single row group can't be read in parts, and the passes over texts cost far more than dealing a small table.
-    Where rows are numbered by their place (`keyed`), a table must not be dealt: where a row goes depends on its columns.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read(spark: SparkSession, sf_dir: str, table: str, deal: bool = True) -> DataFrame:
+    """A table of the folder, dealt out to all cores if it has fewer parts.
+
+    Where rows are to be numbered (`keyed`), a dealt table would be written first; such a table is dealt afterwards.
     """
     df = ensure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if dealt and df.rdd.getNumPartitions() < cores else df
+    return dealt(df) if deal else df

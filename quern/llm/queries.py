@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity, warc
+from quern.llm import align, bpe, chat, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity, warc
 from quern.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "language")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(read(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, warc.archive(read(spark, sf_dir, "pages")))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op7_itq_embeddings": op7_itq_embeddings,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
+    "op12_alignment": op12_alignment,
     "op13_warc": op13_warc,
 }
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import uuid
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
-from quern.llm.common import dropped, shared_dir
+from quern.llm.common import gone, shared_dir
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -23,10 +22,5 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     if not shared_dir(spark):
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     path = f"{shared_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
-    atexit.register(_gone, spark, path)
+    atexit.register(gone, spark, path)
     return path
-
-
-def _gone(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        dropped(spark, path)
