@@ -12,7 +12,6 @@ of `documents`, whatever they are called, come through unchanged until packing,
 from __future__ import annotations
 
 import atexit
-import contextlib
 import functools
 from collections.abc import Callable
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import packing, quality, simhash, substring, toxicity
-from quern.llm.common import dropped, keyed, read, written
+from quern.llm.common import dropped, gone, keyed, read, written
 from quern.shipping import ensure
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,7 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A table goes when the next one is there; the last stage's input stays until the driver ends, as its result is read later.
     """
-    docs, before = read(spark, sf_dir, "documents", dealt=False), None
+    docs, before = read(spark, sf_dir, "documents", deal=False), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
@@ -95,10 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before is not None:
                 dropped(spark, before)
             before = path
-    atexit.register(_dropped_at_end, spark, before)
+    atexit.register(gone, spark, before)
     return docs
-
-
-def _dropped_at_end(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        dropped(spark, path)
