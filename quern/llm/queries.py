@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import align, bpe, chat, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity, warc
+from quern.llm import align, bpe, chat, collocations, embeddings, html, masked_lm, packing, quality, simhash, substring, toxicity, warc
 from quern.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "language")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(read(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignments(read(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op7_itq_embeddings": op7_itq_embeddings,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
+    "op11_collocations": op11_collocations,
     "op12_alignment": op12_alignment,
     "op13_warc": op13_warc,
 }
@@ -95,6 +100,21 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
                NULL::BOOLEAN AS linked, false AS cyclic, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS message
         FROM conversations""",  # the tables hold no tool calls; tests do
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+             runs AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 5)) AS m FROM w))),
+             f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL),
+             n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+             c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+             k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+             s AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (2000000::HUGEINT * k.a // (l.f::HUGEINT + r.f))::BIGINT AS score
+                   FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+             lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             parts AS (SELECT lang, a, array_to_string(w[i:i + q - 1], ' ') AS part FROM (SELECT *, unnest(range(1, m - q + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS q FROM c))),
+             gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN parts p ON p.lang = c.lang AND p.part = c.phrase WHERE 100::HUGEINT * p.a >= 80::HUGEINT * c.a),
+             ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM lowest ANTI JOIN gone USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op13_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p),
