@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_ROUNDS = 200
 
 
+def shared(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: the cluster's spark.checkpoint.dir; where it is unset, as in tests, one in the warehouse."""
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+
+
 def connected(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """node, group (the least name that links reach) of every name in a link.
 
     Each round a name takes the least label around it and then that label's own label, so rounds grow with the logarithm of a
     group's width. Labels are written after each round, where spark.checkpoint.dir says.
     """
-    spark = links.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    shared(links.sparkSession)
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("group")).checkpoint()

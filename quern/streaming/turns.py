@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.streaming.folds import fold, streaming_fold
+from quern.streaming.folds import AT, Fold, fold, ordered_stream
 
 #: The events that a client knows, and the states in which a turn runs.
 EVENTS = ("step", "sources", "text", "done", "error")
@@ -82,14 +82,20 @@ def folded_turns(events: DataFrame) -> DataFrame:
     return fold(known_events(events), "turn_id", ["seq"], new_turn, _step, _end, _TURN, _NAMES)
 
 
-def folded_turns_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: after each micro-batch the state of every turn that moved on."""
+def folded_turns_stream(events: DataFrame, at: str = "at", late: str = "1 minute", idle_seconds: int = 86_400) -> DataFrame:
+    """The same over a stream of events that also have a time, in whose order (then that of seq) they are taken: the state of a
+    turn after each of its events. A turn without events for `idle_seconds` is forgotten."""
 
     def step(held: dict, row: dict) -> tuple[dict, list[dict]]:
-        turn, _ = _step(held, row)
-        return turn, _end(row["turn_id"], turn)
-
-    return streaming_fold(known_events(events), "turn_id", ["seq"], new_turn, step, _TURN, _NAMES)
+        turn, _ = _step(held["turn"], row)
+        return {"turn": turn, "last": row[AT]}, _end(row["id"], turn)
+
+    kept = Fold(
+        lambda: {"turn": new_turn(), "last": None}, step, "turn string, last long", lambda s: [(json.dumps(s["turn"]), s["last"])],
+        lambda e: {"turn": json.loads(e[0][0]), "last": e[0][1]} if e else {"turn": new_turn(), "last": None}, lambda s: None if s["last"] is None else s["last"] + 1000 * idle_seconds,
+    )
+    rows = known_events(events).select("turn_id", F.col("turn_id").alias("id"), "seq", "event", "data", F.col(at).alias("sent"))
+    return ordered_stream(rows, "turn_id", ["seq"], F.col("sent"), kept, _TURN, _NAMES, late)
 
 
 def folded_threads(actions: DataFrame) -> DataFrame:
