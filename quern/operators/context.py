@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text, vectors
 from quern.operators import search
+from quern.operators.vector_index import VectorIndex
+from quern.streaming.groups import shared
 
 #: The most parts a followed reference shows, and calls a review may ask for.
 FOLLOW_LIMIT, CALL_LIMIT = 5, 4
@@ -94,12 +96,13 @@ class Retrieved:
     tools: DataFrame  # question_id, tool
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, questions: DataFrame, cards: DataFrame, limit: int = search.RESULTS, context_chunks: int = 20, expand: bool = True, assess: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, stats: DataFrame | None = None) -> Retrieved:
+def retrieve(queries: DataFrame, chunks: DataFrame, questions: DataFrame, cards: DataFrame, limit: int = search.RESULTS, context_chunks: int = 20, expand: bool = True, assess: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, stats: DataFrame | None = None, nearby: VectorIndex | None = None, where: Column | str | None = None) -> Retrieved:
     """Search of every query (query_id, question_id, query_index, query, query_embedding), the gate query by query, the cleared
     queries' hits interleaved and widened to their sections; questions (question_id, question, question_embedding) none of
     whose queries clears the gate may be opened by a tool instead, if contexts are assessed."""
     of = queries.select("query_id", "question_id", "query_index")
-    found = search.search(queries, chunks, limit, rerank=rerank, only=only, stats=stats)
+    shared(queries.sparkSession)
+    found = search.search(queries, chunks, limit, rerank=rerank, only=only, stats=stats, nearby=nearby, where=where).checkpoint()  # read by the gate, the hits and the tools
     cleared = search.gate(found, queries).where("passes").select("query_id")
     hits = found.join(of, "query_id").select("question_id", "query_index", "rank", "id", "query_id")
     admitted = interleaved(hits.join(cleared, "query_id", "left_semi"))
@@ -232,12 +235,19 @@ def answer_key(build: Column, settings: Column, corpus: Column, figures: Column,
     return F.when(corpus.isNotNull(), F.concat_ws(":", build, F.left(settings, F.lit(12)), corpus, figures, F.sha2(normalised, 256)))
 
 
+#: Tools that may be registered.
+MOST_TOOLS = 1_000
+
+
 def tool_gate(questions: DataFrame, cards: DataFrame, bar: float = 0.51) -> DataFrame:
     """question_id, tool: tools one of whose terms a question has as whole words, else those whose card is near it.
 
     cards: tool, terms, embedding; one row a tool.
     """
-    both = questions.crossJoin(F.broadcast(cards))  # one row a registered tool
+    if cards.limit(MOST_TOOLS + 1).count() > MOST_TOOLS:
+        raise ValueError(f"more than {MOST_TOOLS} tools are registered")
+    listed = cards.agg(F.collect_list(F.struct("tool", "terms", "embedding")).alias("cards"))  # one row, as tools are few
+    both = questions.crossJoin(F.broadcast(listed)).select("question_id", "question", "question_embedding", F.explode("cards").alias("card")).select("question_id", "question", "question_embedding", "card.*")
     padded = F.concat(F.lit(" "), text.name_key("question"), F.lit(" "))
     named = F.exists("terms", lambda t: padded.contains(F.concat(F.lit(" "), t, F.lit(" "))))
     near = vectors.cosine(F.col("question_embedding"), F.col("embedding")) >= bar

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions import vectors
+from quern.operators import vector_index
 
 logger = logging.getLogger(__name__)
 
@@ -87,14 +87,9 @@ def bm25_leg(posted: DataFrame, terms: DataFrame, chunks: DataFrame, stats: Data
 
 
 def vector_leg(queries: DataFrame, chunks: DataFrame, most: int = POOL, key: str = "id", vector: str = "embedding", query_vector: str = "query_embedding") -> DataFrame:
-    """query_id, id, cosine_similarity, vector_rank: an exact scan; chunks without a vector are left out.
-
-    The queries are the stated set, a bounded number of rows, and every chunk meets each of them once.
-    """
-    q = queries.select("query_id", vectors.normalised(F.col(query_vector)).alias("_q"))
-    c = chunks.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), vectors.normalised(F.col(vector)).alias("_v"))
-    scored = c.crossJoin(q).select("query_id", "id", vectors.dot(F.col("_q"), F.col("_v")).alias("cosine_similarity")).where("cosine_similarity is not null")
-    return ranked(scored, F.round("cosine_similarity", 9), most, "vector_rank")
+    """query_id, id, cosine_similarity, vector_rank: an exact scan; chunks without a vector are left out. `vector_index` has the leg
+    that looks only where near vectors are."""
+    return vector_index.ranked_hits(vector_index.exact_hits(queries, chunks, most, key, vector, query_vector), most)
 
 
 def fused(vector_hits: DataFrame, text_hits: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
@@ -167,10 +162,11 @@ def filtered(chunks: DataFrame, celex: list[str] | None = None, topic: str | Non
 BM25, COVER = "bm25", "cover_density"
 
 
-def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidates: int = POOL, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, ranker: str = BM25, fields: dict[str, int] | None = None, stats: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidates: int = POOL, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, ranker: str = BM25, fields: dict[str, int] | None = None, stats: DataFrame | None = None, nearby: vector_index.VectorIndex | None = None, where: Column | str | None = None) -> DataFrame:
     """Hybrid search of each query (query_id, query, query_embedding) over chunks (id, text, embedding), `only` the filtered ones.
 
-    Counts of lexemes, and stats unless they are given, are of all chunks.
+    Counts of lexemes, and stats unless they are given, are of all chunks. With `nearby`, an index of the chunks' vectors, the
+    vector leg asks that, filtered by `where` on the columns it keeps.
     """
     own = chunks if only is None else only
     pool = max(limit, RERANK_POOL) if rerank else limit
@@ -181,7 +177,8 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidat
         text_hits = cover_density_leg(queries, own, candidates)
     else:
         raise ValueError(f"no ranker {ranker!r}")
-    hits = fused(vector_leg(queries, own, candidates), text_hits, pool)
+    vector_hits = vector_leg(queries, own, candidates) if nearby is None else vector_index.index_hits(queries, nearby, candidates, where)
+    hits = fused(vector_hits, text_hits, pool)
     return reranked(hits, rerank, limit) if rerank else hits.withColumn("reranker_relevance", F.lit(None).cast("double"))
 
 

@@ -95,12 +95,12 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of eight words with each benchmark item, by an equi-join of shingles."""
 
     def shingles(df: DataFrame, key: str) -> DataFrame:
-        """Runs of eight words as two hashes, 96 bits in all."""
+        """Runs of eight words as two hashes, 96 bits in all; a run that comes back is there again."""
         words = df.select(key, F.split(F.regexp_replace("text", "\n", " "), " ").alias("w")).where("size(w) >= 8")
         run = lambda i: F.slice("w", i, 8)
-        return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.hash(run(i)).alias("b"))))).alias("s")).select(key, "s.*")
+        return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.hash(run(i)).alias("b")))).alias("s")).select(key, "s.*")
 
-    asked = few(shingles(table(spark, sf_dir, "benchmark"), "item_id"))
+    asked = few(shingles(table(spark, sf_dir, "benchmark"), "item_id").distinct())
     found = shingles(spread(table(spark, sf_dir, "documents")), "doc_id").join(asked, ["a", "b"]).withColumn("shingle", F.struct("a", "b"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("shingle").alias("shingles"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import context, search
+from quern.operators import context, search, vector_index
 from quern.plans.tables import LINES, lines, spread, table
+from quern.streaming.groups import shared
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +55,30 @@ def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir, 10).select("query_id", "id", "vector_rank", F.round("cosine_similarity", 5).alias("cosine_similarity"))
 
 
+def vector_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty hits of each query through the index: how many, the nearest, and whether it finds 95 in 100 of what the exact leg finds;
+    and the same among every third vector only."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 3).alias("third"))
+    shared(spark)
+    index = vector_index.build(e, f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/indexes/{uuid.uuid4().hex}", keep=("third",))
+    q = e.where("id % 100 = 0").select((F.col("id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    legs = []
+    for name, where in (("all", "true"), ("third", "third = 0")):
+        near = vector_index.index_hits(q, index, 50, where).checkpoint()
+        both = near.join(search.vector_leg(q, e.where(where), 50).select("query_id", "id", F.lit(1).alias("exact")), ["query_id", "id"], "full_outer")
+        recall = both.agg((F.count_if(F.expr("vector_rank is not null and exact is not null")) >= 0.95 * F.count("exact")).alias("recall_ok"))
+        hits = near.groupBy("query_id").agg(F.count("*").alias("hits"), F.max(F.when(F.col("vector_rank") == 1, F.col("id"))).alias("nearest"))
+        legs.append(hits.crossJoin(F.broadcast(recall)).select(F.lit(name).alias("leg"), "query_id", "hits", "nearest", "recall_ok"))  # one row
+    return legs[0].unionByName(legs[1])
+
+
+VECTOR_INDEXED = " UNION ALL ".join(
+    f"""SELECT '{name}' AS leg, query_id, least(count(*), 50) AS hits, arg_min(id, (-round(cos, 9), id)) AS nearest, true AS recall_ok FROM (
+        SELECT q.vec_id // 100 AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS cos FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND {where}) GROUP BY query_id"""
+    for name, where in (("all", "true"), ("third", "c.vec_id % 3 = 0"))
+)
+
+
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = search.fused(_vector(spark, sf_dir, 50), _bm25(spark, sf_dir, 50), 10)
     return both.select("query_id", "id", "rank", "vector_rank", "text_rank", F.round("rrf_score", 8).alias("rrf_score"))
@@ -199,11 +226,12 @@ ROUTED = """WITH s AS (SELECT event_id AS k, CASE WHEN event_id % 9 <> 0 THEN ['
         WHEN refused OR (sources = 0 AND settled) THEN 'refuse' WHEN settled THEN 'synthesize' ELSE 'assess' END AS next_node,
       CASE WHEN k % 13 = 0 THEN 'error' WHEN k % 6 = 0 THEN 'cached' WHEN k % 2 <> 0 AND k % 3 = 0 THEN 'refused' WHEN k % 2 = 0 THEN 'done' ELSE 'aborted' END AS outcome FROM t"""
 
-QUERIES = {"bm25_topk": bm25, "bm25_filtered": bm25_filtered, "vector_topk": vector, "hybrid_topk": hybrid, "gate": gate, "words_in_corpus": words_found, "cover_density": cover_density, "expand_sections": expanded, "follow_references": followed, "interleaved": interleaved, "merged_context": merged, "routing": routed, "bm25_weighted": weighted, "retrieve_node": retrieved}
+QUERIES = {"bm25_topk": bm25, "bm25_filtered": bm25_filtered, "vector_topk": vector, "vector_indexed": vector_indexed, "hybrid_topk": hybrid, "gate": gate, "words_in_corpus": words_found, "cover_density": cover_density, "expand_sections": expanded, "follow_references": followed, "interleaved": interleaved, "merged_context": merged, "routing": routed, "bm25_weighted": weighted, "retrieve_node": retrieved}
 ORACLES = {
     "bm25_topk": f"WITH {_BM25.format(where='true', most=10)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg",
     "bm25_filtered": f"""WITH {_BM25.format(where="d.lang = 'fr'", most=5)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg""",
     "vector_topk": f"WITH {_VECTOR.format(most=10)} SELECT query_id, id, vector_rank, round(cos, 5) AS cosine_similarity FROM vector_leg",
+    "vector_indexed": VECTOR_INDEXED,
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, id, rank, vector_rank, text_rank, round(rrf, 8) AS rrf_score FROM top",
     "gate": f"""WITH {_FUSED}, b AS (SELECT query_id, max(cos) AS c, max(CASE WHEN id % 2 = 0 THEN rrf * 20 END) AS r FROM top GROUP BY query_id)
         SELECT item_id AS query_id, CASE WHEN b.query_id IS NULL THEN false ELSE coalesce(c >= 0.4, true) AND coalesce(r >= 0.6, true) END AS passes FROM benchmark LEFT JOIN b ON b.query_id = item_id""",

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from quern.plans import checks
 from quern.registry import ORACLES, QUERIES
 
 AT = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -31,6 +32,7 @@ def plain(x):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, con, name):
     df = QUERIES[name](spark, AT)
+    assert "CartesianProduct" not in checks.physical(df), "each row with each"
     columns = sorted(df.columns)
     want = con.execute(ORACLES[name])
     assert sorted(d[0] for d in want.description) == columns
