@@ -162,15 +162,18 @@ def filtered(chunks: DataFrame, celex: list[str] | None = None, topic: str | Non
 BM25, COVER = "bm25", "cover_density"
 
 
-def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidates: int = POOL, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, ranker: str = BM25, fields: dict[str, int] | None = None, stats: DataFrame | None = None, nearby: vector_index.VectorIndex | None = None, where: Column | str | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidates: int = POOL, rerank: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None, ranker: str = BM25, fields: dict[str, int] | None = None, stats: DataFrame | None = None, nearby: vector_index.VectorIndex | None = None, where: Column | str | None = None, kept: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Hybrid search of each query (query_id, query, query_embedding) over chunks (id, text, embedding), `only` the filtered ones.
 
     Counts of lexemes, and stats unless they are given, are of all chunks. With `nearby`, an index of the chunks' vectors, the
-    vector leg asks that, filtered by `where` on the columns it keeps.
+    vector leg asks that, filtered by `where` on the columns it keeps. `kept` gives the text leg of queries and a pool's size
+    instead, as `text_index.text_hits` does from a kept index.
     """
     own = chunks if only is None else only
     pool = max(limit, RERANK_POOL) if rerank else limit
-    if ranker == BM25:
+    if kept is not None:
+        text_hits = kept(queries, candidates)
+    elif ranker == BM25:
         posted = postings(chunks, fields=fields, asked=lexemes(queries))
         text_hits = bm25_leg(posted, query_terms(queries, posted), own, corpus_stats(chunks) if stats is None else stats, candidates)
     elif ranker == COVER:
