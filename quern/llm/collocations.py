@@ -2,12 +2,12 @@
 
 Words are what blanks and tabs part within pieces that marks of punctuation and line ends part; A-Z count as a-z. All counts are per language.
 
-1. Sketch: every task counts its runs of one to four words by cells of a hash, and hands on, packed, how often each cell of a
-   block of 65,536 was met. Spark adds up the blocks, wherever they lie. A cell's count is at least that of each of its runs,
-   so it bounds them from above; what remains is a table of bits, one for each cell that reaches the least count. It has a cell
-   for every `cell_bytes` bytes of text, so it grows with the corpus, and how full it is doesn't. Where it would outgrow a
-   worker, the cells are worked through in rounds of 2^`round_bits`.
-2. Candidates: runs of two to four words whose cell, and whose parts' cells, reach the least count, each once; and their words.
+1. Sketch: every task counts its runs of one to four words in two rows of cells, by two hashes, and hands on, packed, how
+   often each cell of a block of 65,536 was met. Spark adds up the blocks, wherever they lie. A cell's count is at least that
+   of each of its runs, so the lower of a run's two bounds it from above; what remains is a table of bits, one for each cell
+   that reaches the least count. A row has a cell for some `cell_bytes` bytes of text, so it grows with the corpus, and how
+   full it is doesn't. Where bits would outgrow a worker, they are worked through in rounds of 2^`round_bits` cells.
+2. Candidates: runs of two to four words whose cells, and whose parts' cells, reach the least count, each once; and their words.
 3. Automata: candidates are dealt by hash to shards of bounded text. A shard becomes one pyahocorasick automaton, whose keys
    have a blank on each side, as all words of the scanned texts have; so a match begins and ends at words, and overlapping
    matches share blanks. Texts are scanned once for each shard, and Spark adds up the matches.
@@ -40,10 +40,10 @@ from quern.llm.shared import new_folder, opened
 
 #: Fixed values of the scores.
 LEAST, LONGEST, SCALE, INSIDE_PERCENT, TOP = 30, 4, 2_000_000, 80, 2000
-#: Bytes of text for a cell; cells of a block; cells of a round, whose bits take 256 MB of a worker.
-CELL_BYTES, BLOCK_BITS, ROUND_BITS = 24, 16, 31
+#: Bytes of text for a cell of a row; cells of a block; cells of a round, whose bits take 512 MB of a worker.
+CELL_BYTES, BLOCK_BITS, ROUND_BITS = 24, 16, 32
 #: Words that are hashed at once; runs counted before a task hands its cells on; characters of a shard's candidates.
-PART_WORDS, HELD, SHARD_CHARS = 1 << 16, 1 << 22, 3_000_000
+PART_WORDS, HELD, SHARD_CHARS = 1 << 16, 1 << 22, 4_000_000
 #: Characters that are scanned at once.
 SCAN_CHARS = 1 << 18
 _MARK = 0xFF  # a byte that UTF-8 never has
@@ -101,6 +101,12 @@ class Hasher:
         return found
 
 
+def _cells(runs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of hashes in both rows; the second row's come after the first one's 2^bits."""
+    shift = np.uint64(64 - bits)
+    return runs >> shift, (_mixed(runs * _ODD[2]) >> shift) + np.uint64(1 << bits)
+
+
 def _own(runs: list[np.ndarray], over: int) -> list[np.ndarray]:
     """The hashes of runs that don't lie within the first `over` words, which the part before has counted."""
     return [r[max(0, over - m) :] if over else r for m, r in enumerate(runs)]
@@ -115,7 +121,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
 
 def sketch(docs: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
     """block, cells (a bit for each of its cells, set where runs of a hash have been met `least` times in sum), of all blocks with some."""
-    shift = np.uint64(64 - bits)
     kind = np.dtype("<u1" if least < 256 else "<u4")  # what a task counts of a cell may stop at the least count
     partial = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
@@ -135,8 +140,8 @@ def sketch(docs: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
 
         for lang, part, over in _texts(batches):
             for r in _own(hasher.runs(part, lang), over):
-                held.append(r[r > 0] >> shift)
-                size += len(held[-1])
+                held += _cells(r[r > 0], bits)
+                size += 2 * len(held[-1])
             if size >= HELD:
                 yield from told()
                 held, size = [], 0
@@ -182,9 +187,10 @@ def _bits(path: str, first: int, blocks: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, bits: int, path: str, first: int = 0, blocks: int | None = None) -> DataFrame:
-    """phrase: runs of two to four words with enough hits in their cells (of the given blocks) and in those of their parts, each once."""
-    blocks = blocks or max(1, 1 << max(0, bits - BLOCK_BITS))
-    shift, low, high = np.uint64(64 - bits), first << BLOCK_BITS, (first + blocks) << BLOCK_BITS
+    """phrase: runs of two to four words with enough hits in their cells and in those of their parts, each once; of runs whose cell
+    in the first row is one of the given blocks'. What cells of other blocks hold isn't known here, and passes."""
+    blocks = blocks or 1 << bits + 1 - BLOCK_BITS
+    low, high = first << BLOCK_BITS, (first + blocks) << BLOCK_BITS
     out = pa.schema([("phrase", pa.string())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +198,14 @@ def candidates(docs: DataFrame, bits: int, path: str, first: int = 0, blocks: in
         seen: set[int] = set()
         held: list[str] = []
 
-        def often(r: np.ndarray, outside: bool) -> np.ndarray:
-            cell = (r >> shift).astype(np.int64)
-            here = (cell >= low) & (cell < high)
-            cell = np.where(here, cell - low, 0)
-            met = (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-            return np.where(here, met, outside) & (r > 0)
+        def often(r: np.ndarray, elsewhere: bool) -> np.ndarray:
+            good = r > 0
+            for cells, outside in zip(_cells(r, bits), (elsewhere, True), strict=True):
+                cell = cells.astype(np.int64) - low
+                here = (cell >= 0) & (cell < high - low)
+                cell[~here] = 0
+                good &= np.where(here, (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool), outside)
+            return good
 
         for lang, part, _ in _texts(batches):
             runs = hasher.runs(part, lang)
@@ -294,10 +302,13 @@ def scanned(docs: DataFrame, path: str, shard: int) -> DataFrame:
 def counts(docs: DataFrame, least: int = LEAST, cell_bytes: int = CELL_BYTES, round_bits: int = ROUND_BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """lang, phrase, f of all phrases of two to four words with `least` occurrences, and of their words; exact. The empty phrase has all words."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, path = max(BLOCK_BITS, (size // cell_bytes).bit_length()), new_folder(docs.sparkSession, "sketch")
+    bits, path = max(BLOCK_BITS, (size // cell_bytes).bit_length() - 1), new_folder(docs.sparkSession, "sketch")
     sketch(docs, bits, least).write.parquet(path)
-    blocks = 1 << max(0, min(bits, round_bits) - BLOCK_BITS)
-    found = [candidates(docs, bits, path, first, blocks) for first in range(0, 1 << bits - BLOCK_BITS, blocks)]
+    if bits < round_bits:
+        found = [candidates(docs, bits, path)]
+    else:
+        blocks = 1 << round_bits - BLOCK_BITS
+        found = [candidates(docs, bits, path, first, blocks) for first in range(0, 1 << bits - BLOCK_BITS, blocks)]
     shards_path, shards = sharded(functools.reduce(DataFrame.unionByName, found), shard_chars)
     each = functools.reduce(DataFrame.unionByName, (scanned(docs, shards_path, s) for s in range(shards)))
     return kept(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == "")))

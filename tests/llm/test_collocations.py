@@ -53,7 +53,7 @@ def corpus(seed, n):
     return [(rng.choice([i, 7, None]), rng.choice([None, "", *["".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randint(1, 60)))] * 12]), rng.choice(["en", "en", "de", None, "und"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell_bytes": 1, "round_bits": 16, "shard_chars": 60}, {"cell_bytes": 10_000_000}])
+@pytest.mark.parametrize("sizes", [{}, {"cell_bytes": 1, "round_bits": 16, "shard_chars": 300}, {"cell_bytes": 10_000_000}])
 def test_phrases_against_plain_counting(spark, sizes):
     """Also with several rounds of cells and many shards, and with a sketch that lets nearly all through."""
     docs = corpus(1, 1500) + [(1, "Every word of this line is here often " * 40 + "end", "fr")]
