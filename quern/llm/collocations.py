@@ -43,7 +43,7 @@ LEAST, LONGEST, SCALE, INSIDE_PERCENT, TOP = 30, 4, 2_000_000, 80, 2000
 #: Bytes of text for a cell of a row; cells of a block; cells of a round, whose bits take 512 MB of a worker.
 CELL_BYTES, BLOCK_BITS, ROUND_BITS = 24, 16, 32
 #: Words that are hashed at once; runs counted before a task hands its cells on; characters of a shard's candidates.
-PART_WORDS, HELD, SHARD_CHARS = 1 << 16, 1 << 22, 4_000_000
+PART_WORDS, HELD, SHARD_CHARS = 1 << 16, 1 << 22, 6_000_000
 #: Characters that are scanned at once.
 SCAN_CHARS = 1 << 18
 _MARK = 0xFF  # a byte that UTF-8 never has
@@ -113,14 +113,26 @@ def _own(runs: list[np.ndarray], over: int) -> list[np.ndarray]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], int]]:
+    """Language, words, and how many of the first ones are known from the part before; short texts of a language come together,
+    a mark between them, as arrays of few words cost more than their words."""
+    held: dict[str, list[bytes]] = {}
     for lang, text in rows(batches, "lang", "text"):
         for part, over in parts(text_words(text)):
-            if part:
+            if over or len(part) >= PART_WORDS // 2:
                 yield lang, part, over
+            elif part:
+                some = held.setdefault(lang, [])
+                some += part
+                some.append(b"\xff")
+                if len(some) >= PART_WORDS // 2:
+                    yield lang, held.pop(lang), 0
+    for lang, some in held.items():
+        yield lang, some, 0
 
 
 def sketch(docs: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
     """block, cells (a bit for each of its cells, set where runs of a hash have been met `least` times in sum), of all blocks with some."""
+    narrow = np.uint32 if bits < 32 else np.uint64  # sorted twice as fast
     kind = np.dtype("<u1" if least < 256 else "<u4")  # what a task counts of a cell may stop at the least count
     partial = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
@@ -128,7 +140,10 @@ def sketch(docs: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
         hasher, held, size = Hasher(), [], 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            cells, times = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
+            every.sort()
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            cells, times = every[at].astype(np.uint64), np.diff(at, append=len(every))
             block = (cells >> np.uint64(BLOCK_BITS)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(block, prepend=-1))
             place = (cells & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u2")
@@ -140,7 +155,7 @@ def sketch(docs: DataFrame, bits: int, least: int = LEAST) -> DataFrame:
 
         for lang, part, over in _texts(batches):
             for r in _own(hasher.runs(part, lang), over):
-                held += _cells(r[r > 0], bits)
+                held += (c.astype(narrow) for c in _cells(r[r > 0], bits))
                 size += 2 * len(held[-1])
             if size >= HELD:
                 yield from told()
@@ -198,29 +213,33 @@ def candidates(docs: DataFrame, bits: int, path: str, first: int = 0, blocks: in
         seen: set[int] = set()
         held: list[str] = []
 
-        def often(r: np.ndarray, elsewhere: bool) -> np.ndarray:
-            good = r > 0
-            for cells, outside in zip(_cells(r, bits), (elsewhere, True), strict=True):
+        def met(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Whether the cells of runs reach the least count, as far as they are known here, and whether the first row's is."""
+            good, known = np.ones(len(r), bool), None
+            for cells in _cells(r, bits):
                 cell = cells.astype(np.int64) - low
                 here = (cell >= 0) & (cell < high - low)
                 cell[~here] = 0
-                good &= np.where(here, (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool), outside)
-            return good
+                good &= (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool) | ~here
+                known = here if known is None else known
+            return good, known
 
         for lang, part, _ in _texts(batches):
             runs = hasher.runs(part, lang)
-            good = often(runs[0], True)
+            good = runs[0] > 0
+            good[good] = met(runs[0][good])[0]
             for m in range(2, LONGEST + 1):
                 n = len(runs[m - 1])
-                parts_good = good[:n] & good[1 : n + 1]  # parts in other rounds' cells may be as frequent as any
-                at = np.flatnonzero(parts_good & often(runs[m - 1], False))
-                good = parts_good & often(runs[m - 1], True)
-                if len(at):
-                    distinct, where = np.unique(runs[m - 1][at], return_index=True)
-                    for h, i in zip(distinct.tolist(), at[where].tolist(), strict=True):
-                        if h not in seen:
-                            seen.add(h)
-                            held.append(b" ".join(part[i : i + m]).decode("utf-8", "surrogatepass"))
+                at = np.flatnonzero(good[:n] & good[1 : n + 1] & (runs[m - 1] > 0))
+                often, known = met(runs[m - 1][at])
+                good = np.zeros(n, bool)
+                good[at[often]] = True
+                at = at[often & known]
+                distinct, where = np.unique(runs[m - 1][at], return_index=True)
+                for h, i in zip(distinct.tolist(), at[where].tolist(), strict=True):
+                    if h not in seen:
+                        seen.add(h)
+                        held.append(b" ".join(part[i : i + m]).decode("utf-8", "surrogatepass"))
             if len(held) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(held)], schema=out)
                 held = []

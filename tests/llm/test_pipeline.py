@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quern.llm import quality, simhash, substring, toxicity
-from quern.llm.common import keyed
+from quern.llm.common import keyed, settled
 
 AT = "/root/testdata/sf0.001"
 
@@ -115,6 +116,35 @@ def test_rows_that_share_an_id_are_decided_about_one_by_one(spark, tmp_path):
             assert [(k, t.split()) for k, t in got] == sorted([(1, b.split()), (6, a.split()), (9, c.split()), (6, head.split()), (None, given[6][1].split())], key=str)
 
 
+def test_rows_out_of_shuffles_joins_and_samples(spark, tmp_path):
+    """Such rows may lie elsewhere at each reading; with shared ids every stage still decides about each for its own text."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(n))
+    given = [(i % 40, prose(60) if i % 3 else f"{prose(3)} junk", None, "s", 7) for i in range(300)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "given"))
+    docs = spark.read.parquet(str(tmp_path / "given"))
+    good = sorted(t for _, t, *_ in given if not t.endswith("junk"))
+    lookup = spark.createDataFrame([(i, i) for i in range(40)], "doc_id long, other long")
+    joined = docs.hint("shuffle_hash").join(lookup, "doc_id").drop("other")
+    for name, df in {"dealt": docs.repartition(8), "joined": joined, "sorted": docs.orderBy(F.rand()), "limited": docs.repartition(8).limit(300), "union": docs.union(docs.limit(0)).repartition(3)}.items():
+        assert sorted(r.text for r in cp.quality_rules(spark, df, AT).collect()) == good, name
+    clean = docs.where("text not like '%junk'")
+    for stage in (cp.simhash_dedup, cp.substring_dedup):
+        assert sorted(r.text for r in stage(spark, clean.repartition(8), AT).collect()) == good
+    some = [r.text for r in cp.quality_rules(spark, docs.repartition(8).sample(0.5, seed=3), AT).collect()]
+    assert len(set(some)) == len(some) > 50 and set(some) <= set(good)
+
+
+def test_what_is_read_alike_is_not_written_again(spark, tmp_path):
+    spark.range(9).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "ids"))
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    for df in (files, files.where("doc_id > 3").select((F.col("doc_id") + 1).alias("doc_id")), files.union(files), files.checkpoint()):
+        assert settled(df) is df
+    for df in (files.repartition(2), files.withColumn("x", F.rand()), files.sample(0.5), files.limit(3), files.distinct(), files.join(files, "doc_id")):
+        assert settled(df) is not df
+
+
 def test_numbers_of_rows(spark):
     def numbers(ids):
         found, name = keyed(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
