@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.operators import vector_index
+from quern.operators import cover, vector_index
 
 logger = logging.getLogger(__name__)
 
@@ -185,28 +185,9 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int = RESULTS, candidat
     return reranked(hits, rerank, limit) if rerank else hits.withColumn("reranker_relevance", F.lit(None).cast("double"))
 
 
-def cover_density_leg(queries: DataFrame, chunks: DataFrame, most: int = POOL, key: str = "id", body: str = "text", analyse: Callable[[Column], Column] = plain_lexemes) -> DataFrame:
-    """query_id, id, score, text_rank: chunks that hold all terms, by how closely they stand.
-
-    The score is the sum over covers (least spans with every term) of the reciprocal of their width less the terms, plus one.
-    """
-    terms = queries.select("query_id", F.array_distinct(analyse(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
-    spots = chunks.select(F.col(key).alias("id"), F.posexplode(analyse(F.col(body))).alias("pos", "lexeme"))
-    hits = spots.join(terms.select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("lexeme")), "lexeme")
-    # folded in order of place: the last place of each term so far; a cover ends where the least of them moves on
-    found = hits.groupBy("query_id", "id", "wanted").agg(F.array_sort(F.collect_list(F.struct("pos", "lexeme"))).alias("spots"), F.count_distinct("lexeme").alias("n")).where("n = wanted")
-    empty = F.create_map().cast("map<string,int>")
-    state = F.struct(empty.alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
-
-    def step(s: Column, spot: Column) -> Column:
-        last = F.map_concat(F.map_filter(s["last"], lambda k, _: k != spot["lexeme"]), F.create_map(spot["lexeme"], spot["pos"]))
-        begin = F.when(F.size(last) == F.col("wanted"), F.array_min(F.map_values(last))).otherwise(F.lit(-1))
-        width = spot["pos"] - begin + 1
-        gain = F.when(begin > s["begin"], 1.0 / (width - F.col("wanted") + 1)).otherwise(0.0)
-        return F.struct(last.alias("last"), F.greatest(begin, s["begin"]).alias("begin"), (s["score"] + gain).alias("score"))
-
-    scored = found.withColumn("score", F.aggregate("spots", state, step)["score"]).select("query_id", "id", "score")
-    return ranked(scored, F.round("score", 9), most, "text_rank")
+def cover_density_leg(queries: DataFrame, chunks: DataFrame, most: int = POOL, key: str = "id", analyse: Callable[[Column], Column] = plain_lexemes, fields: dict[str, str] | None = None) -> DataFrame:
+    """query_id, id, score, text_rank: chunks that match web-style queries, by how closely the words stand (`cover`)."""
+    return ranked(cover.ranks(queries, chunks, analyse, few, key, fields), F.round("score", 9), most, "text_rank")
 
 
 def words_in_corpus(words: DataFrame, posted: DataFrame, stop_words: list[str], analyse: Callable[[Column], Column] = plain_lexemes) -> DataFrame:

@@ -124,7 +124,24 @@ WORDS_FOUND = """WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lo
 
 def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "id")
-    return search.cover_density_leg(_queries(spark, sf_dir), docs, 10)
+    # the items' bare words: no quotes, minus or `or`, which SQL's sweep doesn't read; tests have those
+    words = F.array_join(F.filter(search.plain_lexemes(F.col("query")), lambda w: w != "or"), " ")
+    return search.cover_density_leg(_queries(spark, sf_dir).withColumn("query", words), docs, 10).select("query_id", "id", F.round("score", 6).alias("score"), "text_rank")
+
+
+#: Each place where a query's words end in a document, with where the span that holds all of them begins: the words' last places before it.
+COVER_DENSITY = """WITH RECURSIVE t AS (SELECT item_id AS query_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: x <> 'or')) AS lexeme FROM benchmark),
+    wanted AS (SELECT query_id, count(*) AS wanted FROM t GROUP BY query_id),
+    d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    s AS (SELECT id, unnest(range(len(w))) AS place, unnest(w) AS lexeme FROM d),
+    e AS (SELECT query_id, id, place, lexeme, row_number() OVER (PARTITION BY query_id, id ORDER BY place) AS i, wanted FROM s JOIN t USING (lexeme) JOIN wanted USING (query_id)
+        QUALIFY count(DISTINCT lexeme) OVER (PARTITION BY query_id, id) = wanted),
+    sweep AS (SELECT query_id, id, i, place, wanted, map([lexeme], [place]) AS last FROM e WHERE i = 1
+        UNION ALL SELECT e.query_id, e.id, e.i, e.place, e.wanted, map_concat(sweep.last, map([e.lexeme], [e.place])) FROM sweep JOIN e ON e.query_id = sweep.query_id AND e.id = sweep.id AND e.i = sweep.i + 1),
+    spans AS (SELECT query_id, id, i, place, list_min(map_values(last)) AS begin FROM sweep WHERE cardinality(last) = wanted),
+    covers AS (SELECT query_id, id, begin, min(i) AS i, min(place) AS place FROM spans GROUP BY ALL),
+    scored AS (SELECT c.query_id, c.id, sum(0.2::DOUBLE / (1 + (c.place - c.begin) - (c.i - e.i))) AS score FROM covers c JOIN e ON e.query_id = c.query_id AND e.id = c.id AND e.place = c.begin GROUP BY ALL)
+    SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS text_rank FROM scored QUALIFY text_rank <= 10"""
 
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +263,7 @@ ROUTED = """WITH s AS (SELECT event_id AS k, CASE WHEN event_id % 9 <> 0 THEN ['
 QUERIES = {"bm25_topk": bm25, "bm25_filtered": bm25_filtered, "vector_topk": vector, "vector_indexed": vector_indexed, "bm25_indexed": bm25_indexed, "hybrid_topk": hybrid, "gate": gate, "words_in_corpus": words_found, "cover_density": cover_density, "expand_sections": expanded, "follow_references": followed, "interleaved": interleaved, "merged_context": merged, "routing": routed, "bm25_weighted": weighted, "retrieve_node": retrieved}
 ORACLES = {
     "bm25_topk": f"WITH {_BM25.format(where='true', most=10)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg",
+    "cover_density": COVER_DENSITY,
     "bm25_indexed": f"WITH {_BM25.format(where='true', most=10)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg",
     "bm25_filtered": f"""WITH {_BM25.format(where="d.lang = 'fr'", most=5)} SELECT query_id, id, text_rank, round(score, 4) AS score FROM text_leg""",
     "vector_topk": f"WITH {_VECTOR.format(most=10)} SELECT query_id, id, vector_rank, round(cos, 5) AS cosine_similarity FROM vector_leg",

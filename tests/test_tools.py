@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -6,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.functions import stem
-from quern.operators import context, figures, search, tools
+from quern.operators import context, cover, figures, search, tools
 
 
 def test_stems():
@@ -104,10 +105,54 @@ def test_legs_can_be_chosen_and_filters_come_first(spark):
 
 def test_covers_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a x x b a b"), (3, "a a"), (4, None)], "id long, text string")
-    queries = spark.createDataFrame([(1, "a b"), (2, ""), (3, "a")], "query_id long, query string")
+    queries = spark.createDataFrame([(1, "a b"), (2, ""), (3, "a"), (4, "-a"), (5, None)], "query_id long, query string")
     got = {(r.query_id, r.id): round(r.score, 6) for r in search.cover_density_leg(queries, docs).collect()}
-    # covers of 2: a..b (4 wide), b a (2), a b (2); each counts the reciprocal of its width less the terms, plus one
-    assert got == {(1, 1): 1.0, (1, 2): round(1 / 3 + 1 + 1, 6), (3, 1): 1.0, (3, 2): 2.0, (3, 3): 2.0}
+    # covers of 2: a..b (two words between), b a, a b; an entry of a text weighs 0.2
+    assert got == {(1, 1): 0.2, (1, 2): round(0.2 * (1 / 3 + 1 + 1), 6), (3, 1): 0.2, (3, 2): 0.4, (3, 3): 0.4}
+
+
+def test_web_queries():
+    assert cover.parts_of('ships -"port state" or "fuel oil" -tax or') == [(0, False, "ships"), (0, True, "port state"), (1, False, "fuel oil"), (1, True, "tax")]
+    assert cover.parts_of("or a") == [(0, False, "a")] and cover.parts_of(None) == []
+
+
+def _plain_rank(alternatives, entries):
+    """Every span of entries, the least ones that match, as the rank is defined."""
+    entries = sorted(entries)
+
+    def matches(span):
+        at = {(p, w) for p, w, _ in span}
+        there = lambda words: any(all((p + j, w) in at for j, w in enumerate(words)) for p, _ in at)
+        return any(any(not n for n, _ in a) and all(there(w) != n for n, w in a) for a in alternatives)
+
+    spans = [(i, j) for i in range(len(entries)) for j in range(i, len(entries)) if matches(entries[i : j + 1])]
+    least = [(i, j) for i, j in spans if not any((k, m) != (i, j) and i <= k and m <= j for k, m in spans)]
+    total = 0.0
+    for i, j in least:
+        noise = entries[j][0] - entries[i][0] - (j - i)
+        total += (j - i + 1) / sum(1 / w for _, _, w in entries[i : j + 1]) / (1 + noise)
+    return total if least and matches(entries) else None
+
+
+def test_density_against_every_span():
+    rng = random.Random(1)
+    for _ in range(3000):
+        alternatives = [[(False, tuple(rng.choice("abc") for _ in range(rng.choice([1, 1, 2])))) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 2))]
+        entries = [(p, rng.choice("abcx"), rng.choice([0.2, 0.4, 1.0])) for p in range(rng.randint(0, 14))]
+        entries = [e for e in entries if e[1] != "x"]
+        got, want = cover.density(alternatives, entries), _plain_rank(alternatives, entries)
+        assert (got is None) == (want is None) and (want is None or got == pytest.approx(want)), (alternatives, entries)
+    assert cover.density([[(False, ("a",)), (True, ("b",))]], [(0, "a", 0.2), (1, "c", 0.2)]) == pytest.approx(0.2)
+    assert cover.density([[(False, ("a",)), (True, ("b",))], [(False, ("b",))]], [(0, "b", 0.2)]) == pytest.approx(0.2)
+
+
+def test_web_queries_over_fields(spark):
+    docs = spark.createDataFrame([(1, "Art 5", "port state control"), (2, "Art 6", "state port"), (3, None, "fuel oil port"), (4, "port", "state")], "id long, citation string, text string")
+    queries = spark.createDataFrame([(1, '"port state"'), (2, "port -fuel"), (3, '"fuel oil" or art'), (4, "state-control")], "query_id long, query string")
+    got = {}
+    for r in search.cover_density_leg(queries, docs, fields={"citation": "A", "text": "C"}).collect():
+        got.setdefault(r.query_id, {})[r.id] = round(r.score, 6)
+    assert got == {1: {1: 0.2, 4: round(2 / (1 + 5), 6)}, 2: {1: 0.2, 2: 0.2, 4: 1.0}, 3: {1: 1.0, 2: 1.0, 3: 0.2}, 4: {1: 0.2}}
 
 
 def test_retrieval_of_questions(spark):
