@@ -6,11 +6,14 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import identifiers
+from quern.shipping import ensure
+from quern.streaming.groups import shared
 
 #: The topic of documents that were only cited, and the loss of documents that stops a run.
 HOP_TOPIC = "cited"
@@ -177,6 +180,29 @@ def fingerprint(documents: DataFrame, size: int = 7) -> DataFrame:
     return hashed_in_order(documents.select(line.alias("line"))).select(F.left("sha256", F.lit(size)).alias("fingerprint"))
 
 
+#: Distinct lines of a leaf of the tree, about.
+LEAF = 4_096
+
+
+def tree_hash(lines: DataFrame, line: str = "line", digits: int | None = None) -> DataFrame:
+    """sha256, n: a hash of all lines, whatever their order, that any number of tasks work out together. One row.
+
+    Lines are counted by their hashes; a leaf holds those whose hashes begin alike, by as many digits as leave leaves of
+    `LEAF` lines, and is hashed in their order; then sixteen neighbours at a time are hashed, up to the root. So no task has
+    more than a leaf, and equal tables have equal hashes however they are dealt. Null lines are left out.
+    """
+    hashes = lines.where(F.col(line).isNotNull()).groupBy(F.sha2(line, 256).alias("h")).agg(F.count("*").alias("n"))
+    if digits is None:
+        distinct, digits = hashes.count(), 0
+        while distinct > LEAF * 16**digits:
+            digits += 1
+    parts = hashes.select(F.left("h", F.lit(digits)).alias("key"), F.concat_ws(":", "h", "n").alias("part"), "n")
+    for level in range(digits, -1, -1):
+        nodes = parts.groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ""), 256).alias("digest"), F.sum("n").alias("n"))
+        parts = nodes.select(F.left("key", F.lit(max(0, level - 1))).alias("key"), F.concat_ws(":", "key", "digest").alias("part"), "n", "digest")
+    return parts.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def next_version(current: str | None, print_: str, day: str) -> str:
     """The version of a corpus: its day and fingerprint; the current one while the fingerprint is the same."""
     return current if current and current.endswith(print_) else f"{day}-{print_}"
@@ -196,6 +222,60 @@ def embed_batches(chunks: DataFrame, size: int = 128) -> DataFrame:
     return unembedded(chunks).withColumn("batch", F.floor(place / size).cast("int"))
 
 
+_EMBEDDED = "celex string, batch int, id long, embedding array<float>, reason string"
+
+
+def embed_sweep(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], path: str, page: int = 50_000, size: int = 128) -> int:
+    """Embeds every chunk (id, celex, position, text, embedding) that has no vector yet, there or in the folder; gives how many pages it wrote.
+
+    Pages follow a (celex, id) cursor; each is one job, whose batches go to the model apart and never span documents. A batch
+    that fails, or comes back with another number of vectors, is recorded with its reason, and the rest of its page is stored.
+    A sweep that is run again takes only what has no vector: failed batches, and pages that an ended run didn't write.
+    """
+    spark = ensure(chunks.sparkSession)
+    shared(spark)
+
+    def embed(batch: pa.Table) -> pa.Table:
+        n, vectors, reason = batch.num_rows, None, None
+        try:
+            vectors = [[float(x) for x in v] for v in model(batch.column("text").to_pylist())]
+            if len(vectors) != n:
+                vectors, reason = None, f"ValueError: {len(vectors)} vectors for {n} texts"
+        except Exception as e:  # a batch fails alone
+            reason = f"{type(e).__name__}: {e}"[:500]
+        told = {"celex": batch.column("celex"), "batch": batch.column("batch"), "id": batch.column("id"), "embedding": pa.array(vectors or [None] * n, pa.list_(pa.float32())), "reason": pa.array([reason] * n, pa.string())}
+        return pa.table(told)
+
+    before = sweep_results(spark, path)
+    waiting = unembedded(chunks).join(before.where("reason is null").select("id"), "id", "left_anti").select("celex", "id", "position", "text", "embedding").checkpoint()
+    number, cursor, pages = (before.agg(F.max("page")).first()[0] or 0) + 1, None, 0
+    while True:
+        rest = waiting if cursor is None else waiting.where(F.struct("celex", "id") > F.struct(F.lit(cursor["celex"]).alias("celex"), F.lit(cursor["id"]).cast("long").alias("id")))
+        rows = rest.orderBy("celex", "id").limit(page).checkpoint()
+        cursor = rows.agg(F.max(F.struct("celex", "id")).alias("last")).first()["last"]
+        if cursor is None:
+            return pages
+        embed_batches(rows, size).groupBy("celex", "batch").applyInArrow(embed, _EMBEDDED).write.mode("overwrite").parquet(f"{path}/page={number}")
+        number, pages = number + 1, pages + 1
+
+
+def sweep_results(spark: SparkSession, path: str) -> DataFrame:
+    """celex, batch, id, embedding, reason, page: what sweeps have written; a chunk that failed stands once for each try."""
+    try:
+        return spark.read.schema(f"{_EMBEDDED}, page int").parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{_EMBEDDED}, page int")
+
+
+def sweep_report(spark: SparkSession, path: str) -> DataFrame:
+    """celex, embedded, failed, reason: a document's chunks with vectors, those whose last try failed, and why."""
+    done = sweep_results(spark, path)
+    last = done.groupBy("celex", "id").agg(F.max_by("reason", F.struct(F.col("reason").isNull(), "page")).alias("reason"))
+    return last.groupBy("celex").agg(F.count_if(F.col("reason").isNull()).alias("embedded"), F.count_if(F.col("reason").isNotNull()).alias("failed"), F.max("reason").alias("reason"))
+
+
 def after_cursor(chunks: DataFrame, celex: str, id_: int, page: int) -> DataFrame:
     """The page of rows that follow a (celex, id) cursor."""
     return chunks.where(F.struct("celex", "id") > F.struct(F.lit(celex).alias("celex"), F.lit(id_).cast("long").alias("id"))).orderBy("celex", "id").limit(page)

@@ -81,6 +81,19 @@ FINGERPRINT = f"""WITH {_RAW}, s AS (SELECT DISTINCT ON (celex) celex, resolved_
     SELECT left(sha256('[' || string_agg('["' || celex || '", "' || resolved_celex || '", "' || sha256 || '"]', ', ' ORDER BY '["' || celex || '", "' || resolved_celex || '", "' || sha256 || '"]') || ']'), 7) AS fingerprint FROM s"""
 
 
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's hash by a tree of leaves, over every raw row."""
+    raw = _raw(spark, sf_dir)
+    return corpus.tree_hash(raw.select(F.concat_ws(" ", "celex", "resolved_celex", "sha256").alias("line")).unionByName(raw.select(F.col("celex").alias("line"))), digits=2)
+
+
+TREE = """WITH l AS (SELECT '3' || CAST(o_orderkey % 300 AS VARCHAR) || ' ' || CAST(o_orderkey AS VARCHAR) || ' ' || sha256(CAST(o_orderkey AS VARCHAR)) AS line FROM orders UNION ALL SELECT '3' || CAST(o_orderkey % 300 AS VARCHAR) FROM orders),
+    h AS (SELECT sha256(line) AS h, count(*) AS n FROM l GROUP BY 1),
+    a AS (SELECT left(h, 2) AS key, sha256(string_agg(h || ':' || n, '' ORDER BY h || ':' || n)) AS digest, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+    b AS (SELECT left(key, 1) AS key, sha256(string_agg(key || ':' || digest, '' ORDER BY key)) AS digest, sum(n)::BIGINT AS n FROM a GROUP BY left(key, 1))
+    SELECT sha256(string_agg(key || ':' || digest, '' ORDER BY key)) AS sha256, sum(n)::BIGINT AS n FROM b"""
+
+
 def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     k = F.col("l_orderkey")
@@ -158,5 +171,5 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT = """WITH e AS (SELECT event_type AS stage, ['new', 'updated', 'reused', 'failed'][user_id % 4 + 1] AS r FROM events)
     SELECT stage, count(*) AS total, count(*) FILTER (r = 'new') AS "new", count(*) FILTER (r = 'updated') AS updated, count(*) FILTER (r = 'reused') AS reused, count(*) FILTER (r = 'failed') AS failed FROM e GROUP BY stage"""
 
-QUERIES = {"reconcile": reconcile, "occurrences": occurrence, "standing_documents": standing, "corpus_fingerprint": fingerprint, "select_documents": selected, "dropped_acts": dropped, "document_changes": changes, "embed_batches": batches, "corpus_stats": stats, "pruned": pruned, "stage_report": report}
-ORACLES = {"reconcile": RECONCILE, "occurrences": OCCURRENCE, "standing_documents": STANDING, "corpus_fingerprint": FINGERPRINT, "select_documents": SELECTED, "dropped_acts": DROPPED, "document_changes": CHANGES, "embed_batches": BATCHES, "corpus_stats": STATS, "pruned": PRUNED, "stage_report": REPORT}
+QUERIES = {"reconcile": reconcile, "occurrences": occurrence, "standing_documents": standing, "corpus_fingerprint": fingerprint, "corpus_tree": tree, "select_documents": selected, "dropped_acts": dropped, "document_changes": changes, "embed_batches": batches, "corpus_stats": stats, "pruned": pruned, "stage_report": report}
+ORACLES = {"reconcile": RECONCILE, "occurrences": OCCURRENCE, "standing_documents": STANDING, "corpus_fingerprint": FINGERPRINT, "corpus_tree": TREE, "select_documents": SELECTED, "dropped_acts": DROPPED, "document_changes": CHANGES, "embed_batches": BATCHES, "corpus_stats": STATS, "pruned": PRUNED, "stage_report": REPORT}
