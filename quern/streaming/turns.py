@@ -7,9 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.sources.feeds import sse_frame
 from quern.streaming.folds import AT, Fold, fold, ordered_stream
 
 #: The events that a client knows, and the states in which a turn runs.
@@ -132,20 +135,55 @@ def run_events(runs: DataFrame) -> DataFrame:
     return runs.select("turn_id", F.posexplode(F.concat(steps, sources, text, F.array(last))).alias("seq", "e")).select("turn_id", "seq", "e.*")
 
 
-def ledger_once(path: str):
+def _unwritten(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """A batch's requests, each once, without those that earlier batches have written; the same at each attempt."""
+    order = W.partitionBy("request_id").orderBy(F.xxhash64(*(F.to_json(F.struct(c)) for c in batch.columns)))
+    once = batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    try:
+        old = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).select("request_id")
+    except AnalysisException as e:  # the first batch finds no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return once
+    return once.join(old, "request_id", "left_anti")
+
+
+def ledger_once(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that leaves exactly one row per request_id, however often a batch is tried again.
 
     A batch's rows go to the folder of its number, which a repeated attempt overwrites.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates(["request_id"])
-        try:
-            old = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).select("request_id")
-            once = once.join(old, "request_id", "left_anti")
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        once.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _unwritten(batch, path, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def frames_once(path: str, ledger: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of the frames of finished runs (as `run_events` takes them): turn_id, seq, event and frame, as a client
+    is sent them, of requests that no earlier batch has in the ledger; a repeated attempt overwrites what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        events = run_events(_unwritten(batch, ledger, number))
+        events.select("turn_id", "seq", "event", sse_frame(F.col("event"), F.col("data")).alias("frame")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def answer_sink(frames: str, ledger: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of both, frames first: a request is in the ledger only when its frames are there, and a batch that ends between
+    the two is tried again as a whole."""
+    first, last = frames_once(frames, ledger), ledger_once(ledger)
+
+    def write(batch: DataFrame, number: int) -> None:
+        first(batch, number)
+        last(batch, number)
+
+    return write
+
+
+def sent_frames(spark: SparkSession, frames: str, ledger: str) -> DataFrame:
+    """The frames of batches that have ended; what a broken attempt left isn't told."""
+    ended = spark.read.parquet(ledger).select("batch").distinct()
+    return spark.read.parquet(frames).join(F.broadcast(ended), "batch", "left_semi")  # a row a batch

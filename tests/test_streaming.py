@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quern.sources import feeds
 from quern.streaming import limits, turns
 
 
@@ -233,3 +234,40 @@ def test_ledger_rows_once(spark, tmp_path):
     write(one, 0)
     write(spark.createDataFrame([("b", 3), ("c", 4)], "request_id string, ms int"), 1)
     assert sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == ["a", "b", "c"]
+
+
+RUN = "turn_id long, steps array<string>, sources array<string>, answer string, request_id string, error string"
+
+
+def test_frames_and_ledger_rows_once_through_a_failed_attempt(spark, tmp_path):
+    """A batch that ends between its two writes is written again as a whole; a client reads each frame once, as it was sent."""
+    runs = [(i, ["retrieve"], ["s"] if i % 2 else [], f'say "{i}"\nand more', f"r{i}", "boom" if i == 3 else None) for i in range(6)]
+    given = spark.createDataFrame([*runs, runs[1], (9, ["retrieve"], [], "sent before", "r0", None)], RUN)
+    for ids in ("turn_id < 3", "turn_id >= 3"):
+        given.where(ids).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frames, ledger = str(tmp_path / "frames"), str(tmp_path / "ledger")
+    send, whole = turns.frames_once(frames, ledger), turns.answer_sink(frames, ledger)
+    seen = []
+
+    def broken(batch, number):
+        seen.append(number)
+        if number == 1:
+            send(batch, number)
+            raise RuntimeError("lost between the writes")
+        whole(batch, number)
+
+    def run(sink):
+        stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+
+    with pytest.raises(Exception, match="lost between"):
+        run(broken).awaitTermination(120)
+    assert seen == [0, 1] and spark.read.parquet(frames).where("batch = 1").count() > 0
+    assert turns.sent_frames(spark, frames, ledger).where("batch = 1").count() == 0
+    run(whole).awaitTermination(120)
+    assert sorted(r.request_id for r in spark.read.parquet(ledger).collect()) == [f"r{i}" for i in range(6)]
+    want = [(r.turn_id, r.seq, r.event, r.data) for r in turns.run_events(spark.createDataFrame(runs, RUN)).collect()]
+    told = turns.sent_frames(spark, frames, ledger)
+    got = feeds.sse_events(told.drop("event"), turns.EVENTS, "frame").collect()
+    assert sorted((r.turn_id, r.seq, r.event, r.data) for r in got) == sorted(want)
+    assert feeds.sse_events(spark.createDataFrame([("event: ping\ndata: x",)], "message string"), turns.EVENTS).count() == 0
