@@ -1,6 +1,8 @@
 """Markup, chunks, references, formulas, workbooks and stores on small hand-made inputs."""
 
 import io
+import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -160,3 +162,63 @@ def test_reading_order(spark):
     chunks = spark.createDataFrame(rows, "id long, celex string, article string, paragraph string, annex string, part int, parts int, position int, points array<string>")
     target = spark.createDataFrame([(1, "x", "5", None, None, None)], "target_id long, celex string, article string, paragraph string, point string, annex string")
     assert [r.id for r in context.follow_references(target, chunks).orderBy("place").collect()] == [3, 1, 2, 0]
+
+
+def _sections(rng, n, depth=4):
+    """Rows of a random document in reading order."""
+    rows, stack = [], []
+    for i in range(n):
+        while stack and (len(stack) >= depth or rng.random() < 0.35):
+            stack.pop()
+        kind = rng.choice(["paragraph", "paragraph", "paragraph", "table", "heading", "article", "annex"])
+        table = [[f"h{j}" for j in range(2)], *([str(rng.randrange(99)), "x" * rng.randrange(9)] for _ in range(rng.randrange(4)))] if kind == "table" else None
+        rows.append({"node_id": i, "parent_id": stack[-1] if stack else None, "kind": kind, "number": rng.choice([None, None, str(i)]), "title": rng.choice([None, None, f"t{i}"]), "text": None if table else rng.choice(["", "a b. c d", "word; " * rng.randrange(12)]), "rows": table})
+        if rng.random() < 0.5:
+            stack.append(i)
+    return rows
+
+
+def test_chunks_of_a_pass_are_those_of_the_tree():
+    rng = random.Random(3)
+    for n in (*range(12), *(rng.randrange(80) for _ in range(400))):
+        rows = _sections(rng, n)
+        for most in (12, 40, 2000):
+            assert list(chunking.walked(rows, most)) == list(chunking.chunks(chunking.tree(rows), most))
+    with pytest.raises(ValueError, match="doesn't come after"):
+        list(chunking.walked([{"node_id": 1, "parent_id": 7, "kind": "paragraph", "number": None, "title": None, "text": "x", "rows": None}]))
+
+
+def test_a_long_document_passes_in_bounded_memory(spark):
+    rng = random.Random(4)
+    rows = _sections(rng, 100_000)
+    want = sum(1 for _ in chunking.chunks(chunking.tree(rows), 60))
+    tracemalloc.start()
+    got = sum(1 for _ in chunking.walked(iter(rows), 60))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and peak < 1_000_000
+    some = rows[:3_000]
+    table = spark.createDataFrame([(d, r["node_id"], r["parent_id"], 0, i, r["kind"], r["number"], r["title"], r["text"], r["rows"]) for d in (1, 2) for i, r in enumerate(some)], "doc_id long, node_id long, parent_id long, depth int, seq int, kind string, number string, title string, text string, rows array<array<string>>")
+    made = chunking.chunk_documents(table.repartition(5), 2026, 60).select("doc_id", "position", "text").collect()
+    for d in (1, 2):
+        assert [r.text for r in sorted(made, key=lambda r: r.position) if r.doc_id == d] == [c["text"] for c in chunking.chunks(chunking.tree(some), 60)]
+
+
+def test_neighbouring_leaves_are_packed():
+    leaf = lambda t, **k: chunking.Section("paragraph", text=t, **k)
+    packed = chunking.pack_leaves([leaf("aa"), leaf("bb"), leaf("c", number="1"), leaf("dd"), leaf("eeeee"), leaf("f")], 6)
+    assert [s.plain for s in packed] == ["aa\nbb", "c", "dd", "eeeee", "f"]
+
+
+def test_institutions_in_any_case():
+    """Institution words lead into an act however they are written, and a division before them is the act's."""
+
+    def cited(t):
+        return [(r.raw.lower(), r.instrument, r.article, r.paragraph, r.point, r.annex) for r in references.extract(t, 2026)]
+
+    text_ = "Article 7 of Council Implementing Regulation (EU) 2016/1927 and Annex I to Commission Delegated Directive 2003/87/EC"
+    want = cited(text_)
+    assert {r[1] for r in want} == {"32016R1927", "32003L0087"} and any(r[2] == "7" and r[1] == "32016R1927" for r in want)
+    for other in (text_.replace("Council", "council"), text_.replace("Commission Delegated", "COMMISSION delegated"), text_.replace("Implementing", "implementing")):
+        assert cited(other) == want
+    assert any(r.raw == "council regulation (EU) 2015/757" for r in references.extract("as council regulation (EU) 2015/757 says", 2026))
