@@ -26,8 +26,8 @@ from quern.operators import search
 from quern.shipping import ensure
 from quern.streaming.groups import shared
 
-#: Chunks of a block, about; partitions of the table; blocks that a query is scored in first.
-BLOCK, BUCKETS, FIRST = 512, 64, 4
+#: Chunks of a block, about; blocks that a query is scored in first; blocks for a partition of the table, and its partitions at most.
+BLOCK, FIRST, BLOCKS, MOST_BUCKETS = 512, 4, 16, 256
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ class TextIndex:
 
     path: str
     blocks: int
+    buckets: int = 4
     analyse: Callable[[Column], Column] = search.plain_lexemes
     fields: dict[str, int] | None = None
 
@@ -53,8 +54,8 @@ _SCHEMAS = {
 }
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("lexeme"), F.lit(BUCKETS)).cast("int")
+def _bucket(index: TextIndex) -> Column:
+    return F.pmod(F.xxhash64("lexeme"), F.lit(index.buckets)).cast("int")
 
 
 def _entries(chunks: DataFrame, index: TextIndex, key: str, body: str) -> DataFrame:
@@ -68,10 +69,10 @@ def _entries(chunks: DataFrame, index: TextIndex, key: str, body: str) -> DataFr
 def _write(index: TextIndex, gen: int, entries: DataFrame, counts: DataFrame, removed: DataFrame, sizes: DataFrame) -> None:
     each = F.collect_list(F.struct("id", "tf", "chars")).alias("e")
     rows = entries.groupBy("lexeme", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").cast("long").alias("most_tf"), F.min("chars").alias("least_chars"), each)
-    rows = rows.select("lexeme", "block", "n", "most_tf", "least_chars", F.col("e.id").alias("ids"), F.col("e.tf").cast("array<long>").alias("tfs"), F.col("e.chars").alias("chars"), _bucket().alias("bucket"))
+    rows = rows.select("lexeme", "block", "n", "most_tf", "least_chars", F.col("e.id").alias("ids"), F.col("e.tf").cast("array<long>").alias("tfs"), F.col("e.chars").alias("chars"), _bucket(index).alias("bucket"))
     # sorted, so that a row group's least and greatest lexemes tell which searches need it
     rows.repartition("bucket", "block").sortWithinPartitions("bucket", "lexeme", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/gen={gen}")
-    counts.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/lexemes/gen={gen}")
+    counts.withColumn("bucket", _bucket(index)).repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/lexemes/gen={gen}")
     removed.write.mode("overwrite").parquet(f"{index.path}/removed/gen={gen}")
     sizes.write.mode("overwrite").parquet(f"{index.path}/sizes/gen={gen}")  # last: a generation without sizes isn't there yet
 
@@ -84,7 +85,8 @@ def build(chunks: DataFrame, path: str, key: str = "id", body: str = "text", ana
     """Writes the index of all chunks (distinct ids) to a folder."""
     spark = ensure(chunks.sparkSession)
     shared(spark)
-    index = TextIndex(path, max(1, -(-chunks.count() // BLOCK)), analyse, fields)
+    blocks = max(1, -(-chunks.count() // BLOCK))
+    index = TextIndex(path, blocks, min(MOST_BUCKETS, max(4, blocks // BLOCKS)), analyse, fields)
     entries = _entries(chunks, index, key, body).checkpoint()
     _write(index, 0, entries, entries.groupBy("lexeme").agg(F.count("*").alias("n")), spark.createDataFrame([], "id long"), _sizes(chunks, body))
     return index
@@ -127,7 +129,7 @@ def _each(rows: DataFrame, *columns: str) -> DataFrame:
 def compacted(index: TextIndex, spark: SparkSession, path: str) -> TextIndex:
     """What stands, as one generation in another folder."""
     shared(spark)
-    new = TextIndex(path, index.blocks, index.analyse, index.fields)
+    new = TextIndex(path, index.blocks, index.buckets, index.analyse, index.fields)
     last = generation(spark, index)
     rows = _each(index.table(spark, "postings", last), "lexeme", "block", "gen")
     entries = _standing(rows, index.table(spark, "removed", last)).drop("gen").checkpoint()
@@ -142,7 +144,7 @@ def index_terms(queries: DataFrame, index: TextIndex, upto: int | None = None) -
     terms = queries.select("query_id", F.explode(F.array_distinct(index.analyse(F.col("query")))).alias("lexeme"))
     asked = search.few(terms.select("lexeme").distinct())
     known = index.table(spark, "lexemes", upto).join(asked, "lexeme", "left_semi").groupBy("lexeme").agg(F.sum("n").alias("df")).where("df > 0")
-    return terms.join(search.few(known), "lexeme").withColumn("bucket", _bucket())
+    return terms.join(search.few(known), "lexeme").withColumn("bucket", _bucket(index))
 
 
 def text_hits(queries: DataFrame, index: TextIndex, most: int = search.POOL, only: DataFrame | None = None, first: int = FIRST) -> DataFrame:
