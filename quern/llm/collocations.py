@@ -321,6 +321,8 @@ def scanned(docs: DataFrame, path: str, shard: int) -> DataFrame:
 def counts(docs: DataFrame, least: int = LEAST, cell_bytes: int = CELL_BYTES, round_bits: int = ROUND_BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """lang, phrase, f of all phrases of two to four words with `least` occurrences, and of their words; exact. The empty phrase has all words."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a task hands on each phrase that it sees once: tasks of many files do so less often, and are no larger than a gigabyte
+    docs = docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size >> 30))
     bits, path = max(BLOCK_BITS, (size // cell_bytes).bit_length() - 1), new_folder(docs.sparkSession, "sketch")
     sketch(docs, bits, least).write.parquet(path)
     if bits < round_bits:
