@@ -14,3 +14,17 @@ def test_places_are_gathered_once_a_chunk(spark):
     assert not re.search(r"keys=\[query_id#\d+L?, id#\d+L?\], functions=\[\w*collect_list", checks.physical(hits))
     found = {r.query_id: r.n for r in hits.groupBy("query_id").count().withColumnRenamed("count", "n").collect()}
     assert found == {**dict.fromkeys(range(30), 50), 100: 50}
+
+
+def test_what_a_context_shows_is_told_once(spark, monkeypatch):
+    """Calls meet the distinct parts and points of their article, not every block that shows them."""
+    from quern.operators import context
+
+    met = []
+    few = search.few
+    monkeypatch.setattr(search, "few", lambda df: met.append(df.count()) or few(df))
+    sources = spark.range(4000).selectExpr("1L AS context_id", "'c' AS celex", "'1A' AS article", "'2' AS paragraph", "int(id % 2 + 1) AS part", "2 AS parts", "array('a', 'b') AS points")
+    rows = [(1, 1, "2", None), (2, 1, "3", None), (3, 1, None, "B"), (4, 1, None, "x"), (5, 2, "2", None)]
+    calls = spark.createDataFrame(rows, "call_id long, context_id long, paragraph string, point string").selectExpr("*", "'follow_reference' AS name", "'c' AS celex", "'1a' AS article")
+    assert {r.call_id for r in context.already_shown(calls, sources).collect()} == {1, 3}
+    assert met and max(met) == 2
