@@ -256,19 +256,21 @@ def spend_windows(ledger: DataFrame, cap: float, late: str = "1 hour") -> DataFr
 def over_cap(ledger: DataFrame, cap: float, seconds: int = 86_400) -> DataFrame:
     """Requests with the spend of all requests in the day before them, and whether it has reached the cap.
 
-    A sum over everything in time order would be one task's work; costs are summed by hour first, and a request adds the
-    whole hours within the day and its own hour's and the oldest hour's parts by a join on the hour.
+    A sum over everything in time order would be one task's work; costs are summed by second and by hour first. A second adds
+    the whole hours within the day, its own hour's part up to it and the oldest hour's part from it on; both parts are running
+    sums over an hour's seconds, of which there are at most 3,600 however many requests come.
     """
     second = F.col("created_at").cast("timestamp").cast("long")
-    rows = ledger.select("id", second.alias("t"), F.floor(second / 3600).alias("hour"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost"))
-    hours = rows.groupBy("hour").agg(F.sum("cost").alias("cost"))
+    rows = ledger.select("id", second.alias("t"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost"))
+    spent = rows.groupBy("t").agg(F.sum("cost").alias("cost")).withColumn("hour", F.floor(F.col("t") / 3600))
     span = seconds // 3600
-    asked = rows.select("hour").distinct()
-    whole = asked.select("hour", F.explode(F.sequence(F.col("hour") - span + 1, F.col("hour") - 1)).alias("h")).join(hours.withColumnRenamed("hour", "h"), "h").groupBy("hour").agg(F.sum("cost").alias("whole"))
-    own = F.sum("cost").over(W.partitionBy("hour").orderBy("t").rangeBetween(W.unboundedPreceding, 0))
-    left = F.sum("cost").over(W.partitionBy("hour").orderBy("t").rangeBetween(0, W.unboundedFollowing))
-    edge = rows.select((F.col("hour") + span).alias("hour"), (F.col("t") + seconds).alias("gone"), "cost", left.alias("left")).groupBy("hour", "gone").agg(F.max("left").alias("left"))
-    oldest = rows.select("id", "hour", "t").join(edge, "hour").where("gone >= t").groupBy("id").agg(F.max("left").alias("oldest"))
-    spent = rows.withColumn("own", own).join(whole, "hour", "left").join(oldest, "id", "left")
-    total = F.col("own") + F.coalesce("whole", F.lit(0.0)) + F.coalesce("oldest", F.lit(0.0))
-    return spent.select("id", total.alias("spend_usd"), (total >= cap).alias("over"))
+    hours = spent.groupBy("hour").agg(F.sum("cost").alias("cost"))
+    within = F.explode(F.sequence(F.col("hour") + 1, F.col("hour") + span - 1))
+    whole = hours.select(within.alias("hour"), "cost").groupBy("hour").agg(F.sum("cost").alias("whole"))
+    come = spent.select("hour", "t", F.col("cost").alias("come"), F.lit(0.0).alias("gone"), F.lit(True).alias("own"))
+    left = spent.where("t is not null").select((F.col("hour") + span).alias("hour"), (F.col("t") + seconds).alias("t"), F.lit(0.0).alias("come"), F.col("cost").alias("gone"), F.lit(False).alias("own"))
+    by_hour = W.partitionBy("hour").orderBy("t")
+    sums = come.unionByName(left).select("hour", "t", "own", F.sum("come").over(by_hour.rangeBetween(W.unboundedPreceding, 0)).alias("newest"), F.sum("gone").over(by_hour.rangeBetween(0, W.unboundedFollowing)).alias("oldest"))
+    total = F.col("newest") + F.coalesce("whole", F.lit(0.0)) + F.col("oldest")
+    told = sums.where("own").join(whole, "hour", "left").select("t", total.alias("spend_usd"))
+    return rows.join(told.withColumnRenamed("t", "at"), F.col("t").eqNullSafe(F.col("at")), "left").select("id", "spend_usd", (F.col("spend_usd") >= cap).alias("over"))

@@ -28,3 +28,14 @@ def test_what_a_context_shows_is_told_once(spark, monkeypatch):
     calls = spark.createDataFrame(rows, "call_id long, context_id long, paragraph string, point string").selectExpr("*", "'follow_reference' AS name", "'c' AS celex", "'1a' AS article")
     assert {r.call_id for r in context.already_shown(calls, sources).collect()} == {1, 3}
     assert met and max(met) == 2
+
+
+def test_refunds_and_requests_of_one_second(spark):
+    """A day's spend where costs may be negative and many requests share a second."""
+    from quern.streaming import limits
+
+    rows = [(i, 1_700_000_000 + (i // 3) * 13_007, (-5.0 if i % 4 == 1 else 2.5) if i % 5 else None) for i in range(120)]
+    ledger = spark.createDataFrame(rows, "id long, t long, cost_usd double").selectExpr("id", "timestamp_seconds(t) AS created_at", "cost_usd")
+    got = {r.id: r.spend_usd for r in limits.over_cap(ledger, 20.0).collect()}
+    assert got == {i: sum(c or 0 for _, u, c in rows if t - 86_400 <= u <= t) for i, t, _ in rows}
+    assert "gone" not in "".join(re.findall(r"Join.*", checks.physical(limits.over_cap(ledger, 20.0))))
