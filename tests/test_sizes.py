@@ -39,3 +39,23 @@ def test_refunds_and_requests_of_one_second(spark):
     got = {r.id: r.spend_usd for r in limits.over_cap(ledger, 20.0).collect()}
     assert got == {i: sum(c or 0 for _, u, c in rows if t - 86_400 <= u <= t) for i, t, _ in rows}
     assert "gone" not in "".join(re.findall(r"Join.*", checks.physical(limits.over_cap(ledger, 20.0))))
+
+
+def test_hits_are_added_up_where_they_arise(spark):
+    """The text leg shuffles postings by chunk, and of its hits only those that are ranked."""
+    from quern.registry import QUERIES
+
+    plan = checks.physical(QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#\d+L?", plan)
+
+
+def test_words_are_looked_for_in_one_slice_first(spark, monkeypatch):
+    """Words of several lexemes meet the chunks of their rarest; those that a slice of all chunks has aren't looked for in the others."""
+    asked = []
+    few = search.few
+    monkeypatch.setattr(search, "few", lambda df: asked.append({r.word for r in df.collect()} if "word" in df.columns else None) or few(df))
+    docs = spark.createDataFrame([(i, "port-state fuel" + (" oil" if i == 3 else " rare" if i == 4 else "")) for i in range(900)], "id long, text string")
+    words = spark.createDataFrame([("port-state",), ("fuel-oil",), ("oil-rare",), ("fuel",), ("nowhere",), ("fuel-nowhere",), ("The",)], "word string")
+    found = {r.word for r in search.words_in_corpus(words, search.postings(docs), ["the"]).collect()}
+    assert found == {"port-state", "fuel-oil", "fuel", "The"}
+    assert "port-state" in asked[0] and "port-state" not in asked[1] and not {"nowhere", "fuel-nowhere"} & asked[0]
