@@ -74,7 +74,7 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
     b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return a.join(b, "label").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+    return vectors.cosines(a, b, "label").select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 EMBEDDING_COSINE = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0"""

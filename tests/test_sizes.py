@@ -59,3 +59,16 @@ def test_words_are_looked_for_in_one_slice_first(spark, monkeypatch):
     found = {r.word for r in search.words_in_corpus(words, search.postings(docs), ["the"]).collect()}
     assert found == {"port-state", "fuel-oil", "fuel", "The"}
     assert "port-state" in asked[0] and "port-state" not in asked[1] and not {"nowhere", "fuel-nowhere"} & asked[0]
+
+
+def test_cosines_by_block(spark, monkeypatch):
+    """Blocks of vectors give what the column function gives pair by pair, null vectors and labels included."""
+    from quern.functions import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    rows = [(i, None if i % 11 == 5 else [0.0, 0.0] if i % 13 == 4 else [1.0, float(i % 5), 2.0] if i % 9 == 2 else [1.0, None] if i % 17 == 3 else [float(i % 7) - 3, float(i)], None if i % 10 == 9 else i % 2) for i in range(60)]
+    e = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    a, b = e.where("id % 4 = 0").selectExpr("id AS a", "v AS x", "label"), e.selectExpr("id AS b", "v AS y", "label")
+    got = {(r.a, r.b): r.cosine and round(r.cosine, 9) for r in vectors.cosines(a, b, "label").collect()}
+    want = {(r.a, r.b): r.c and round(r.c, 9) for r in a.join(b, "label").select("a", "b", vectors.cosine(a["x"], b["y"]).alias("c")).collect()}
+    assert got == want and None in got.values()
