@@ -5,9 +5,12 @@ counts and lengths of its chunks, and the greatest count and least length among
 score there, whatever the corpus's mean length becomes. The table is partitioned by a hash of the lexeme. A lexeme of many
 chunks has many rows, none longer than a block.
 
-A search reads the blocks' bounds first, without their ids. Each query is scored in its most promising blocks; the score of its
-last place there is a bar, and of the others it looks only at blocks whose bounds, added up, reach the bar. So the result
-is that of scoring every chunk.
+A search reads the blocks' bounds first, without their ids. All queries are scored in the most promising blocks of each; the
+score of a query's last place there is its bar, and of the others only blocks are looked at whose bounds, added up, reach the
+bar of some query. So the result is that of scoring every chunk.
+
+An index is made block by block: chunks are dealt by their blocks, so that counting their words and gathering a block's
+postings shuffles the texts once and no words.
 
 Changes come as generations: a generation has the postings of chunks that were added or updated, and the ids that were deleted
 or updated, whose older postings count no more; counts of lexemes and lengths are added up over generations. `compacted`
@@ -58,27 +61,45 @@ def _bucket(index: TextIndex) -> Column:
     return F.pmod(F.xxhash64("lexeme"), F.lit(index.buckets)).cast("int")
 
 
+#: Blocks of a task that makes postings.
+TASK_BLOCKS = 16
+
+
 def _entries(chunks: DataFrame, index: TextIndex, key: str, body: str) -> DataFrame:
-    """lexeme, id, tf, chars, block of the chunks."""
+    """lexeme, id, tf, chars, block of the chunks, which are dealt by block first: what follows by block needs no shuffle."""
     named = chunks.withColumnRenamed(key, "id") if key != "id" else chunks
-    posted = search.postings(named, index.analyse, fields=index.fields)
-    lengths = named.select("id", F.coalesce(F.length(body), F.lit(0)).alias("chars"))
-    return posted.join(lengths, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int"))
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int")).repartition(max(chunks.sparkSession.sparkContext.defaultParallelism, index.blocks // TASK_BLOCKS), "block")
+    weighted = lambda w: lambda x: F.struct(x.alias("lexeme"), F.lit(w).alias("w"))
+    every = [F.transform(index.analyse(F.coalesce(F.col(c), F.lit(""))), weighted(w)) for c, w in (index.fields or {"text": 1}).items()]
+    words = dealt.select("block", "id", F.coalesce(F.length(body), F.lit(0)).alias("chars"), F.explode(F.flatten(F.array(*every))).alias("x")).select("block", "id", "chars", "x.*")
+    return words.groupBy("block", "id", "chars", "lexeme").agg(F.sum("w").alias("tf"))
+
+
+def _counts(index: TextIndex, chunks: DataFrame, key: str) -> DataFrame:
+    """lexeme, n: how many of the chunks hold it."""
+    every = [index.analyse(F.coalesce(F.col(c), F.lit(""))) for c in index.fields or {"text": 1}]
+    return chunks.select(F.explode(F.array_distinct(F.flatten(F.array(*every)))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("n"))
 
 
-def _write(index: TextIndex, gen: int, entries: DataFrame, counts: DataFrame, removed: DataFrame, sizes: DataFrame) -> None:
+def _write(index: TextIndex, gen: int, entries: DataFrame, less: DataFrame | None, removed: DataFrame, sizes: DataFrame) -> None:
+    """A generation; its counts of lexemes are those of its own postings less those of `less`."""
+    spark = entries.sparkSession
     each = F.collect_list(F.struct("id", "tf", "chars")).alias("e")
     rows = entries.groupBy("lexeme", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").cast("long").alias("most_tf"), F.min("chars").alias("least_chars"), each)
     rows = rows.select("lexeme", "block", "n", "most_tf", "least_chars", F.col("e.id").alias("ids"), F.col("e.tf").cast("array<long>").alias("tfs"), F.col("e.chars").alias("chars"), _bucket(index).alias("bucket"))
     # sorted, so that a row group's least and greatest lexemes tell which searches need it
     rows.repartition("bucket", "block").sortWithinPartitions("bucket", "lexeme", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/gen={gen}")
+    counts = index.table(spark, "postings").where(F.col("gen") == gen).groupBy("lexeme").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    if less is not None:
+        counts = counts.unionByName(less.select("lexeme", (-F.col("n")).alias("n"))).groupBy("lexeme").agg(F.sum("n").alias("n"))
     counts.withColumn("bucket", _bucket(index)).repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/lexemes/gen={gen}")
     removed.write.mode("overwrite").parquet(f"{index.path}/removed/gen={gen}")
     sizes.write.mode("overwrite").parquet(f"{index.path}/sizes/gen={gen}")  # last: a generation without sizes isn't there yet
 
 
-def _sizes(chunks: DataFrame, body: str) -> DataFrame:
-    return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length(body)), F.lit(0)).alias("chars"))
+def _sizes(chunks: DataFrame, body: str | None) -> DataFrame:
+    """chunks, chars of all chunks; without a body their lengths are in chars."""
+    return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length(body) if body else F.col("chars")), F.lit(0)).alias("chars"))
 
 
 def build(chunks: DataFrame, path: str, key: str = "id", body: str = "text", analyse: Callable[[Column], Column] = search.plain_lexemes, fields: dict[str, int] | None = None) -> TextIndex:
@@ -87,8 +108,7 @@ def build(chunks: DataFrame, path: str, key: str = "id", body: str = "text", ana
     shared(spark)
     blocks = max(1, -(-chunks.count() // BLOCK))
     index = TextIndex(path, blocks, min(MOST_BUCKETS, max(4, blocks // BLOCKS)), analyse, fields)
-    entries = _entries(chunks, index, key, body).checkpoint()
-    _write(index, 0, entries, entries.groupBy("lexeme").agg(F.count("*").alias("n")), spark.createDataFrame([], "id long"), _sizes(chunks, body))
+    _write(index, 0, _entries(chunks, index, key, body), None, spark.createDataFrame([], "id long"), _sizes(chunks, body))
     return index
 
 
@@ -106,12 +126,11 @@ def changed(index: TextIndex, actions: DataFrame, stored: DataFrame, incoming: D
     gen = generation(spark, index) + 1
     gone = actions.where("action in ('delete', 'update')").select(F.col(key).alias("id")).distinct()
     come = actions.where("action in ('add', 'update')").select(F.col(key).alias("id")).distinct()
-    old, new = (df.withColumnRenamed(key, "id").join(ids, "id", "left_semi") for df, ids in ((stored, gone), (incoming, come)))
-    before, after = (_entries(df, index, "id", body).checkpoint() for df in (old, new))
-    counted = before.select("lexeme", F.lit(-1).alias("n")).unionByName(after.select("lexeme", F.lit(1).alias("n"))).groupBy("lexeme").agg(F.sum("n").alias("n"))
-    less, more = _sizes(old, body), _sizes(new, body)
+    old, new = (df.withColumnRenamed(key, "id").join(search.few(ids), "id", "left_semi") for df, ids in ((stored, gone), (incoming, come)))
+    lengths = lambda df, ids: _sizes(df.select(F.col(key).alias("id"), F.length(body).alias("chars")).join(search.few(ids), "id", "left_semi"), None)
+    less, more = lengths(stored, gone), lengths(incoming, come)
     sizes = less.select((-F.col("chunks")).alias("chunks"), (-F.col("chars")).alias("chars")).unionByName(more).agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"))
-    _write(index, gen, after, counted, gone, sizes)
+    _write(index, gen, _entries(new, index, "id", body), _counts(index, old, "id"), gone, sizes)
     return gen
 
 
@@ -132,9 +151,9 @@ def compacted(index: TextIndex, spark: SparkSession, path: str) -> TextIndex:
     new = TextIndex(path, index.blocks, index.buckets, index.analyse, index.fields)
     last = generation(spark, index)
     rows = _each(index.table(spark, "postings", last), "lexeme", "block", "gen")
-    entries = _standing(rows, index.table(spark, "removed", last)).drop("gen").checkpoint()
+    entries = _standing(rows, index.table(spark, "removed", last)).drop("gen")
     sizes = index.table(spark, "sizes", last).agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"))
-    _write(new, 0, entries, entries.groupBy("lexeme").agg(F.count("*").alias("n")), spark.createDataFrame([], "id long"), sizes)
+    _write(new, 0, entries, None, spark.createDataFrame([], "id long"), sizes)
     return new
 
 
@@ -164,17 +183,19 @@ def text_hits(queries: DataFrame, index: TextIndex, most: int = search.POOL, onl
     places = heads.groupBy("query_id", "gen", "block").agg(F.sum(gain(F.col("most_tf"), F.col("least_chars"))).alias("bound")).checkpoint()
     removed = index.table(spark, "removed", last)
 
-    def scored(chosen: DataFrame) -> DataFrame:
-        wanted = search.few(chosen.select("query_id", "gen", "block").join(weighed, "query_id"))
-        rows = _standing(_each(postings.join(wanted, ["bucket", "lexeme", "gen", "block"]), "query_id", "idf", "gen"), removed)
+    def scored(blocks: DataFrame) -> DataFrame:
+        """The hits of all queries in the blocks (gen, block). Entries are dealt by chunk before they meet the queries: hits are
+        many times as many, and are added up where they arise."""
+        wanted = postings.join(search.few(weighed.select("lexeme").distinct()), "lexeme", "left_semi").join(search.few(blocks), ["gen", "block"], "left_semi")
+        rows = _standing(_each(wanted, "lexeme", "gen"), removed)
         rows = rows if only is None else rows.join(only.select("id"), "id", "left_semi")
-        sums = rows.groupBy("query_id", "id").agg(F.sum(gain(F.col("tf"), F.col("chars"))).alias("score"))
+        sums = rows.repartition("id").join(weighed, "lexeme").groupBy("query_id", "id").agg(F.sum(gain(F.col("tf"), F.col("chars"))).alias("score"))
         return search.ranked(sums, F.round("score", 9), most, "text_rank").drop("text_rank")
 
     order = search.ranked(places.withColumn("id", F.struct("gen", "block")), F.col("bound"), first, "place").select("query_id", "gen", "block")
-    start = order.checkpoint()
+    start = order.select("gen", "block").distinct().checkpoint()
     begun = scored(start).checkpoint()
     bar = begun.groupBy("query_id").agg(F.count("*").alias("found"), F.min(F.round("score", 9)).alias("least")).where(F.col("found") >= most).select("query_id", "least")
-    rest = places.join(start, ["query_id", "gen", "block"], "left_anti").join(bar, "query_id", "left").where("least is null or bound >= least - 1e-8")
-    every = begun.unionByName(scored(rest.checkpoint()))
+    rest = places.join(search.few(start), ["gen", "block"], "left_anti").join(search.few(bar), "query_id", "left").where("least is null or bound >= least - 1e-8")
+    every = begun.unionByName(scored(rest.select("gen", "block").distinct().checkpoint()))
     return search.ranked(every, F.round("score", 9), most, "text_rank")

@@ -86,3 +86,13 @@ def test_the_nearest_is_exact_with_any_probes(spark, tmp_path):
     index = v.build(table, str(tmp_path / "index"), keep=("third",))
     first = lambda hits: {r.query_id: r.id for r in hits.where("vector_rank = 1").collect()}
     assert first(v.index_hits(asked, index, 5, "third = 0", probes=1)) == first(v.ranked_hits(v.exact_hits(asked, table.where("third = 0"), 5), 5))
+
+
+def test_an_index_shuffles_texts_and_no_words(spark):
+    """Chunks are dealt by block once; their postings are counted and gathered by block where they are."""
+    from quern.operators import text_index
+
+    docs = spark.createDataFrame([(i, f"port of {i}") for i in range(50)], "id long, text string")
+    entries = text_index._entries(docs, text_index.TextIndex("", 7), "id", "text")
+    assert checks.exchanges(entries.groupBy("lexeme", "block").count()) == 1
+    assert entries.count() == 150
