@@ -1,5 +1,6 @@
 """What grows with the input and no faster."""
 
+import math
 import re
 
 from quern.operators import search
@@ -96,3 +97,38 @@ def test_an_index_shuffles_texts_and_no_words(spark):
     entries = text_index._entries(docs, text_index.TextIndex("", 7), "id", "text")
     assert checks.exchanges(entries.groupBy("lexeme", "block").count()) == 1
     assert entries.count() == 150
+
+
+def test_hits_below_a_slices_last_are_not_ranked(spark, monkeypatch):
+    """One slice's ranking bars the others' hits before they are sorted; ranks, ties and texts that are null stay as without it."""
+    monkeypatch.setattr(search, "SLICES", 2)
+    met, plain = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda scored, *more: met.append(scored.count()) or plain(scored, *more))
+    rows = [(i, None if i % 50 == 7 else "port " * (1 + i % 3) + "state " * (i % 40 == 0) + f"sea{i % 4} quay", "web") for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string, citation string")
+    queries = spark.createDataFrame([(1, "port state"), (2, "port quay web"), (3, "nowhere"), (4, "sea2")], "query_id long, query string")
+    posted = search.postings(search.dealt(docs), fields={"citation": 4, "text": 1}, asked=search.lexemes(queries), body="text")
+    got = {(r.query_id, r.text_rank): (r.id, round(r.score, 6)) for r in search.bm25_leg(posted, search.query_terms(queries, posted), None, search.corpus_stats(docs), 5).collect()}
+    words = {i: (c.split() * 4 + (t or "").split(), t and len(t)) for i, t, c in rows}
+    lengths = [n for _, n in words.values() if n is not None]
+    want = {}
+    for q, asked in ((1, "port state"), (2, "port quay web"), (4, "sea2")):
+        sums = {}
+        for w in asked.split():
+            df = sum(w in ws for ws, _ in words.values())
+            for i, (ws, n) in words.items():
+                if w in ws and n is not None:
+                    tf, norm = ws.count(w), 0.25 + 0.75 * n / (sum(lengths) / len(lengths))
+                    sums[i] = sums.get(i, 0) + math.log((len(rows) - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * norm)
+        best = sorted(sums.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+        want |= {(q, k): (i, round(x, 6)) for k, (i, x) in enumerate(best, 1)}
+    assert got == want
+    assert len(met) == 2 and met[1] < 400  # of 892 pairs
+
+
+def test_weighted_postings_are_counted_where_their_texts_are(spark):
+    """Texts are dealt by id and the ranked hits by query; no postings are shuffled or sorted."""
+    from quern.registry import QUERIES
+
+    plan = checks.physical(QUERIES["bm25_weighted"](spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"Exchange hashpartitioning\(id#\d+L?, (?:chars#\d+, )?lexeme#", plan) and "SortMergeJoin" not in plan
