@@ -132,3 +132,11 @@ def test_weighted_postings_are_counted_where_their_texts_are(spark):
 
     plan = checks.physical(QUERIES["bm25_weighted"](spark, "/root/testdata/sf0.001"))
     assert not re.search(r"Exchange hashpartitioning\(id#\d+L?, (?:chars#\d+, )?lexeme#", plan) and "SortMergeJoin" not in plan
+
+
+def test_texts_are_dealt_once_for_the_text_leg(spark):
+    """Each text is shuffled once by id; its postings aren't."""
+    from quern.registry import QUERIES
+
+    plan = checks.physical(QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"Exchange hashpartitioning\(id#", plan)) == 1 and "SortMergeJoin" not in plan
