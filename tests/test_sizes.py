@@ -140,3 +140,17 @@ def test_texts_are_dealt_once_for_the_text_leg(spark):
 
     plan = checks.physical(QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001"))
     assert len(re.findall(r"Exchange hashpartitioning\(id#", plan)) == 1 and "SortMergeJoin" not in plan
+
+
+def test_hybrid_text_legs_shuffle_no_postings(spark):
+    """Nor do those of the general search, whose chunks may be filtered."""
+    from quern.registry import QUERIES
+
+    rows = [(i, f"port of {i}", [1.0, float(i)], i % 2) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "id long, text string, embedding array<double>, half int")
+    queries = spark.createDataFrame([(1, "port of 8", [1.0, 8.0])], "query_id long, query string, query_embedding array<double>")
+    found = search.search(queries, chunks, limit=3, only=chunks.where("half = 0"))
+    for df in (QUERIES["hybrid_topk"](spark, "/root/testdata/sf0.001"), found):
+        assert not re.search(r"Exchange hashpartitioning\(id#\d+L?, (?:chars#\d+, )?lexeme#", checks.physical(df))
+    hits = found.collect()
+    assert {r.id % 2 for r in hits} == {0} and next(r.id for r in hits if r["rank"] == 1) == 8
