@@ -7,13 +7,15 @@ Words are what blanks and tabs part within pieces that marks of punctuation and
    of each of its runs, so the lower of a run's two bounds it from above; what remains is a table of bits, one for each cell
    that reaches the least count. A row has a cell for some `cell_bytes` bytes of text, so it grows with the corpus, and how
    full it is doesn't. Where bits would outgrow a worker, they are worked through in rounds of 2^`round_bits` cells.
-2. Candidates: runs of two to four words whose cells, and whose parts' cells, reach the least count, each once; and their words.
-3. Automata: candidates are dealt by hash to shards of bounded text. A shard becomes one pyahocorasick automaton, whose keys
-   have a blank on each side, as all words of the scanned texts have; so a match begins and ends at words, and overlapping
-   matches share blanks. Texts are scanned once for each shard, and Spark adds up the matches.
+2. Candidates: runs of one to four words whose cells, and whose parts' cells, reach the least count. A task gathers those of a
+   stretch of its texts, until they or the texts fill their bounds.
+3. Automata: the candidates of a stretch become one pyahocorasick automaton for each language, whose keys have a blank on each
+   side, as all words of the scanned texts have; so a match begins and ends at words, and overlapping matches share blanks.
+   What a stretch doesn't hold needn't be looked for in it: each text is scanned once, however many candidates the corpus has.
+   Spark adds up the matches of all stretches; as bits are the same to all tasks, a candidate is one wherever it occurs.
 4. Thresholds: on exact counts alone, so what the sketch let through too much changes nothing.
 
-Bits and candidates are Parquet tables in the shared folder, which tasks open there; nothing of them passes the driver.
+Bits are a Parquet table in the shared folder, which tasks open there; nothing of them passes the driver.
 
 Edge cases: a null or empty text has no words; a null language is `und`; equal rows and repeated ids count as often as they are
 there; a text of any length is worked through in parts that end with a piece or overlap by three words; an empty table gives
@@ -31,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,10 @@ from quern.llm.shared import new_folder, opened
 LEAST, LONGEST, SCALE, INSIDE_PERCENT, TOP = 30, 4, 2_000_000, 80, 2000
 #: Bytes of text for a cell of a row; cells of a block; cells of a round, whose bits take 512 MB of a worker.
 CELL_BYTES, BLOCK_BITS, ROUND_BITS = 24, 16, 32
-#: Words that are hashed at once; runs counted before a task hands its cells on; characters of a shard's candidates.
-PART_WORDS, HELD, SHARD_CHARS = 1 << 16, 1 << 22, 6_000_000
-#: Characters that are scanned at once.
-SCAN_CHARS = 1 << 18
+#: Words that are hashed at once; runs counted before a task hands its cells on; characters of a stretch's candidates.
+PART_WORDS, HELD, SHARD_CHARS = 1 << 16, 1 << 22, 12_000_000
+#: Bytes of a stretch of text; cells for the hashes of its candidates, so that most aren't looked up one by one.
+HELD_BYTES, NEAR_BITS = 1 << 26, 22
 _MARK = 0xFF  # a byte that UTF-8 never has
 _TABLE = bytes(_MARK if chr(b) in ".,;:!?\n\v\f\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -91,7 +92,7 @@ class Hasher:
         if b"\xff" in self.known.hand:
             self.known.hand[b"\xff"] = 0
         one = np.fromiter(map(self.known.hand.__getitem__, words), np.uint64, len(words))
-        seed = np.uint64(xxhash.xxh3_64_intdigest(lang) | 1)
+        seed = np.uint64(xxhash.xxh3_64_intdigest(lang, 1) | 1)  # a seed of their own: as a product, en in German would be de in English
         found = [np.where(one > 0, _mixed(one * seed) | np.uint64(1), np.uint64(0))]
         for _ in range(LONGEST - 1):
             last = found[-1]
@@ -201,17 +202,35 @@ def _bits(path: str, first: int, blocks: int) -> np.ndarray:
     return found
 
 
-def candidates(docs: DataFrame, bits: int, path: str, first: int = 0, blocks: int | None = None) -> DataFrame:
-    """phrase: runs of two to four words with enough hits in their cells and in those of their parts, each once; of runs whose cell
-    in the first row is one of the given blocks'. What cells of other blocks hold isn't known here, and passes."""
+def automaton(phrases: list[str]):
+    """The automaton of phrases, which gives a phrase's place for each of its occurrences."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, p in enumerate(phrases):
+        found.add_word(f" {p} ", i)
+    found.make_automaton()
+    return found
+
+
+def scanned(docs: DataFrame, bits: int, path: str, shard_chars: int = SHARD_CHARS, first: int = 0, blocks: int | None = None) -> DataFrame:
+    """lang, phrase, n: how often stretches of text hold their candidates, overlapping occurrences included; with the first blocks
+    also how many words they have, as the empty phrase.
+
+    Candidates are runs of one to four words with enough hits in their cells and in those of their parts; of runs whose cell in
+    the first row is one of the given blocks'. What cells of other blocks hold isn't known here, and passes.
+    """
     blocks = blocks or 1 << bits + 1 - BLOCK_BITS
     low, high = first << BLOCK_BITS, (first + blocks) << BLOCK_BITS
-    out = pa.schema([("phrase", pa.string())])
+    shift = np.uint64(64 - NEAR_BITS)
+    out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(), _bits(path, first, blocks)
-        seen: set[int] = set()
-        held: list[str] = []
+        near, seen = np.zeros(1 << NEAR_BITS, np.uint64), set()  # near: of the hashes in seen, the last one of each cell
+        held: dict[str, tuple[list[str], list[tuple[bytes, int]]]] = {}
+        words: Counter = Counter()
+        chars = size = 0
 
         def met(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Whether the cells of runs reach the least count, as far as they are known here, and whether the first row's is."""
@@ -224,95 +243,48 @@ def candidates(docs: DataFrame, bits: int, path: str, first: int = 0, blocks: in
                 known = here if known is None else known
             return good, known
 
-        for lang, part, _ in _texts(batches):
-            runs = hasher.runs(part, lang)
-            good = runs[0] > 0
-            good[good] = met(runs[0][good])[0]
-            for m in range(2, LONGEST + 1):
-                n = len(runs[m - 1])
-                at = np.flatnonzero(good[:n] & good[1 : n + 1] & (runs[m - 1] > 0))
-                often, known = met(runs[m - 1][at])
-                good = np.zeros(n, bool)
-                good[at[often]] = True
-                at = at[often & known]
-                distinct, where = np.unique(runs[m - 1][at], return_index=True)
-                for h, i in zip(distinct.tolist(), at[where].tolist(), strict=True):
-                    if h not in seen:
-                        seen.add(h)
-                        held.append(b" ".join(part[i : i + m]).decode("utf-8", "surrogatepass"))
-            if len(held) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(held)], schema=out)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], schema=out)
-        trimmed()
-
-    return docs.mapInArrow(find, "phrase string")
-
-
-def sharded(phrases: DataFrame, shard_chars: int = SHARD_CHARS) -> tuple[str, int]:
-    """A folder with the distinct phrases and their words, each in one of the shards, and the number of shards."""
-    told = phrases.distinct()
-    every = kept(told.select(F.explode(F.array_union(F.split("phrase", " "), F.array("phrase"))).alias("phrase")).distinct())
-    chars = every.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
-    shards, path = max(1, -(-chars // shard_chars)), new_folder(phrases.sparkSession, "shards")
-    every.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int")).repartition("shard").write.partitionBy("shard").parquet(path)
-    return path, shards
-
-
-@functools.lru_cache(maxsize=1)
-def automaton(path: str, shard: int):
-    """The automaton of a shard and its phrases, once per Python worker; a shard may be empty."""
-    import ahocorasick
-
-    store, at = opened(f"{path}/shard={shard}")
-    there = store.get_file_info(at).type == fs.FileType.Directory
-    phrases = pq.read_table(at, filesystem=store, columns=["phrase"]).column(0).to_pylist() if there else []
-    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate(phrases):
-        found.add_word(f" {p} ", i)
-    found.make_automaton()
-    return found, phrases
-
-
-def scanned(docs: DataFrame, path: str, shard: int) -> DataFrame:
-    """lang, phrase, n: how often texts of a task hold the phrases of a shard, overlapping occurrences included; with the first
-    shard also how many words they have, as the empty phrase."""
-    out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, phrases = automaton(path, shard)
-        held: dict[tuple[str, int], list[str]] = {}
-        size: Counter = Counter()
-        words: Counter = Counter()
-        sums: dict[str, np.ndarray] = {}
-
-        def counted(lang: str, sign: int) -> None:
-            text = "\n".join(held.pop((lang, sign)))
-            del size[lang, sign]
-            if phrases:
-                found = np.fromiter(map(itemgetter(1), machine.iter(text)), np.int64)
-                each = sums.setdefault(lang, np.zeros(len(phrases), np.int64))
-                each += sign * np.bincount(found, minlength=len(phrases))
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, (phrases, texts) in held.items():
+                machine, each = automaton(phrases), np.zeros(len(phrases), np.int64)
+                for text, sign in texts if phrases else ():
+                    found = np.fromiter(map(itemgetter(1), machine.iter(text.decode("utf-8", "surrogatepass"))), np.int64)
+                    each += sign * np.bincount(found, minlength=len(phrases))
+                there = np.flatnonzero(each)
+                for at in range(0, len(there), 5000):
+                    few = there[at : at + 5000].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(few), pa.string()), pa.array([phrases[i] for i in few], pa.string()), pa.array(each[few], pa.int64())], schema=out)
 
         for lang, part, over in _texts(batches):
+            phrases, texts = held.setdefault(lang, ([], []))
             # what the part before has counted is taken off
             for some, sign in ((part, 1), (part[:over], -1)) if over else ((part, 1),):
-                text = b" ".join(some).replace(b"\xff", b"\n").decode("utf-8", "surrogatepass")
-                held.setdefault((lang, sign), []).append(f" {text} ")
-                size[lang, sign] += len(text)
+                texts.append((b" %b " % b" ".join(some).replace(b"\xff", b"\n"), sign))
+                size += len(texts[-1][0])
                 words[lang] += sign * (len(some) - some.count(b"\xff"))
-                if size[lang, sign] >= SCAN_CHARS:
-                    counted(lang, sign)
-        for lang, sign in list(held):
-            counted(lang, sign)
-        if shard == 0 and words:
+            good = np.ones(len(part) + 1, bool)
+            for m, r in enumerate(hasher.runs(part, lang), 1):
+                n = len(r)
+                at = np.flatnonzero(good[:n] & good[1 : n + 1] & (r > 0))
+                often, known = met(r[at])
+                good = np.zeros(n, bool)
+                good[at[often]] = True
+                at = at[often & known]
+                at = at[near[r[at] >> shift] != r[at]]
+                distinct, where = np.unique(r[at], return_index=True)
+                near[distinct >> shift] = distinct
+                new = [(h, i) for h, i in zip(distinct.tolist(), at[where].tolist(), strict=True) if h not in seen]
+                seen.update(h for h, _ in new)
+                phrases += (b" ".join(part[i : i + m]).decode("utf-8", "surrogatepass") for _, i in new)
+                chars += sum(len(p) + 2 for p in phrases[len(phrases) - len(new) :])
+            if chars >= shard_chars or size >= HELD_BYTES:
+                yield from told()
+                held.clear()
+                seen.clear()
+                near[:] = 0
+                chars = size = 0
+        yield from told()
+        if first == 0 and words:
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([""] * len(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=out)
-        for lang, each in sums.items():
-            some = np.flatnonzero(each)
-            for at in range(0, len(some), 5000):
-                few = some[at : at + 5000].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(few), pa.string()), pa.array([phrases[i] for i in few], pa.string()), pa.array(each[few], pa.int64())], schema=out)
         trimmed()
 
     return docs.mapInArrow(scan, "lang string, phrase string, n long")
@@ -321,17 +293,16 @@ def scanned(docs: DataFrame, path: str, shard: int) -> DataFrame:
 def counts(docs: DataFrame, least: int = LEAST, cell_bytes: int = CELL_BYTES, round_bits: int = ROUND_BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """lang, phrase, f of all phrases of two to four words with `least` occurrences, and of their words; exact. The empty phrase has all words."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a task hands on each phrase that it sees once: tasks of many files do so less often, and are no larger than a gigabyte
+    # a task hands on each phrase that it sees once a stretch: tasks of many files do so less often, and are no larger than a gigabyte
     docs = docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size >> 30))
     bits, path = max(BLOCK_BITS, (size // cell_bytes).bit_length() - 1), new_folder(docs.sparkSession, "sketch")
     sketch(docs, bits, least).write.parquet(path)
     if bits < round_bits:
-        found = [candidates(docs, bits, path)]
+        found = [scanned(docs, bits, path, shard_chars)]
     else:
         blocks = 1 << round_bits - BLOCK_BITS
-        found = [candidates(docs, bits, path, first, blocks) for first in range(0, 1 << bits - BLOCK_BITS, blocks)]
-    shards_path, shards = sharded(functools.reduce(DataFrame.unionByName, found), shard_chars)
-    each = functools.reduce(DataFrame.unionByName, (scanned(docs, shards_path, s) for s in range(shards)))
+        found = [scanned(docs, bits, path, shard_chars, first, blocks) for first in range(0, 1 << bits - BLOCK_BITS, blocks)]
+    each = functools.reduce(DataFrame.unionByName, found)
     return kept(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == "")))
 
 

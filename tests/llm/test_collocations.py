@@ -64,6 +64,34 @@ def test_phrases_against_plain_counting(spark, sizes):
         assert len(got) > 20
 
 
+def test_texts_are_read_as_often_however_many_candidates(spark):
+    """Bounds of an automaton don't make for more passes over the texts: those would grow with the corpus and its phrases alike."""
+    docs = corpus(3, 600)
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2)
+    read = {}
+    for chars in (c.SHARD_CHARS, 300):
+        rows = spark.sparkContext.accumulator(0)
+
+        def seen(batches, rows=rows):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        got = c.phrases(table.mapInArrow(seen, table.schema), least=20, shard_chars=chars).collect()
+        assert sorted(map(tuple, got)) == plain(docs, 20, 2000)
+        read[chars] = rows.value
+    assert read[300] == read[c.SHARD_CHARS] <= 3 * len(docs)
+
+
+def test_a_language_and_a_word_of_one_name(spark):
+    """`en` in German and `de` in English have hashes of their own."""
+    docs = [(1, "de x. " * 40 + "en", "en"), (2, "en y. " * 50 + "de", "de")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1)
+    assert sorted(map(tuple, c.phrases(table).collect())) == plain(docs, 30, 2000)
+    hasher = c.Hasher()
+    assert hasher.runs([b"de"], "en")[0][0] != hasher.runs([b"en"], "de")[0][0]
+
+
 def test_long_texts_and_empty_tables(spark):
     """One piece of 200,000 words is worked through in parts; runs over their ends count once."""
     rng = random.Random(2)
