@@ -19,9 +19,12 @@ writes what stands as one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +64,71 @@ def _bucket(index: TextIndex) -> Column:
     return F.pmod(F.xxhash64("lexeme"), F.lit(index.buckets)).cast("int")
 
 
-#: Blocks of a task that makes postings.
-TASK_BLOCKS = 16
+#: Blocks of a task that makes postings; rows of postings that it hands on at once.
+TASK_BLOCKS, HANDED = 16, 5000
+_ROWS = "lexeme string, block int, n int, most_tf long, least_chars int, ids array<long>, tfs array<long>, chars array<int>"
+_ARROW = pa.schema([("lexeme", pa.string()), ("block", pa.int32()), ("n", pa.int32()), ("most_tf", pa.int64()), ("least_chars", pa.int32()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32()))])
+
+
+def _posted(block: int, held: list[pa.RecordBatch], weights: list[int]) -> Iterator[pa.RecordBatch]:
+    """A block's postings: of each lexeme its chunks, with the sum of the weights of the fields that it stands in, each time it does."""
+    chunks = pa.Table.from_batches(held).combine_chunks()
+    n, ids, chars = chunks.num_rows, chunks.column("id").to_numpy(), chunks.column("chars").to_numpy()
+    words, owners, times = [], [], []
+    for i, w in enumerate(weights):
+        for lists in chunks.column(f"_f{i}").chunks:
+            found, owner = lists.flatten(), np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            words.append(found.drop_null())
+            owners.append(owner[found.is_valid().to_numpy(zero_copy_only=False)] if found.null_count else owner)
+            times.append(np.full(len(words[-1]), w))
+    coded = pa.concat_arrays(words).dictionary_encode()
+    if not len(coded):
+        return
+    pairs, place = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.concatenate(owners), return_inverse=True)
+    tf = np.bincount(place, np.concatenate(times)).astype(np.int64)
+    lexeme, own = pairs // n, pairs % n
+    start = np.flatnonzero(np.diff(lexeme, prepend=-1))
+    ends = np.append(start, len(pairs)).astype(np.int32)
+    listed = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
+    columns = [coded.dictionary.take(pa.array(lexeme[start])), pa.array(np.full(len(start), block), pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(chars[own], start), pa.int32())]
+    rows = pa.RecordBatch.from_arrays([*columns, listed(ids[own], pa.int64()), listed(tf, pa.int64()), listed(chars[own], pa.int32())], schema=_ARROW)
+    for at in range(0, rows.num_rows, HANDED):
+        yield rows.slice(at, HANDED)
 
 
 def _entries(chunks: DataFrame, index: TextIndex, key: str, body: str) -> DataFrame:
-    """lexeme, id, tf, chars, block of the chunks, which are dealt by block first: what follows by block needs no shuffle."""
+    """Rows of postings of the chunks, which are dealt by block first: what follows by block needs no shuffle. A block's words are
+    counted and gathered as arrays."""
     named = chunks.withColumnRenamed(key, "id") if key != "id" else chunks
-    dealt = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int")).repartition(max(chunks.sparkSession.sparkContext.defaultParallelism, index.blocks // TASK_BLOCKS), "block")
-    weighted = lambda w: lambda x: F.struct(x.alias("lexeme"), F.lit(w).alias("w"))
-    every = [F.transform(index.analyse(F.coalesce(F.col(c), F.lit(""))), weighted(w)) for c, w in (index.fields or {"text": 1}).items()]
-    words = dealt.select("block", "id", F.coalesce(F.length(body), F.lit(0)).alias("chars"), F.explode(F.flatten(F.array(*every))).alias("x")).select("block", "id", "chars", "x.*")
-    return words.groupBy("block", "id", "chars", "lexeme").agg(F.sum("w").alias("tf"))
+    # lengths go with the texts: in a selection with the words, each word's row would hold its text, and count its characters again
+    told = named.withColumns({"_chars": F.coalesce(F.length(body), F.lit(0)), "_block": F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int")})
+    dealt = told.repartition(max(chunks.sparkSession.sparkContext.defaultParallelism, index.blocks // TASK_BLOCKS), "_block").sortWithinPartitions("_block")
+    fields = index.fields or {"text": 1}
+    weights = list(fields.values())
+    lexemes = dealt.select(F.col("_block").alias("block"), F.col("id").cast("long").alias("id"), F.col("_chars").alias("chars"), *(index.analyse(F.coalesce(F.col(c), F.lit(""))).alias(f"_f{i}") for i, c in enumerate(fields)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                if a < b and blocks[a] != at:
+                    if held:
+                        yield from _posted(at, held, weights)
+                    at, held = int(blocks[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _posted(at, held, weights)
+
+    return lexemes.mapInArrow(gather, _ROWS)
+
+
+def _gathered(entries: DataFrame) -> DataFrame:
+    """Rows of postings from lexeme, id, tf, chars, block."""
+    each = F.collect_list(F.struct("id", "tf", "chars")).alias("e")
+    rows = entries.groupBy("lexeme", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").cast("long").alias("most_tf"), F.min("chars").alias("least_chars"), each)
+    return rows.select("lexeme", "block", "n", "most_tf", "least_chars", F.col("e.id").alias("ids"), F.col("e.tf").cast("array<long>").alias("tfs"), F.col("e.chars").alias("chars"))
 
 
 def _counts(index: TextIndex, chunks: DataFrame, key: str) -> DataFrame:
@@ -81,14 +137,14 @@ def _counts(index: TextIndex, chunks: DataFrame, key: str) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(F.flatten(F.array(*every)))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("n"))
 
 
-def _write(index: TextIndex, gen: int, entries: DataFrame, less: DataFrame | None, removed: DataFrame, sizes: DataFrame) -> None:
-    """A generation; its counts of lexemes are those of its own postings less those of `less`."""
-    spark = entries.sparkSession
-    each = F.collect_list(F.struct("id", "tf", "chars")).alias("e")
-    rows = entries.groupBy("lexeme", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").cast("long").alias("most_tf"), F.min("chars").alias("least_chars"), each)
-    rows = rows.select("lexeme", "block", "n", "most_tf", "least_chars", F.col("e.id").alias("ids"), F.col("e.tf").cast("array<long>").alias("tfs"), F.col("e.chars").alias("chars"), _bucket(index).alias("bucket"))
+def _write(index: TextIndex, gen: int, rows: DataFrame, less: DataFrame | None, removed: DataFrame, sizes: DataFrame) -> None:
+    """A generation from its rows of postings; its counts of lexemes are those of its own postings less those of `less`."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("bucket", _bucket(index))
+    # a partition's rows go to few files, as each search opens them all; more only where there would be fewer than tasks
+    files = max(-(-index.blocks // (BLOCKS * MOST_BUCKETS)), -(-2 * spark.sparkContext.defaultParallelism // index.buckets))
     # sorted, so that a row group's least and greatest lexemes tell which searches need it
-    rows.repartition("bucket", "block").sortWithinPartitions("bucket", "lexeme", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/gen={gen}")
+    rows.repartition("bucket", F.col("block") % files).sortWithinPartitions("bucket", "lexeme", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/gen={gen}")
     counts = index.table(spark, "postings").where(F.col("gen") == gen).groupBy("lexeme").agg(F.sum(F.col("n").cast("long")).alias("n"))
     if less is not None:
         counts = counts.unionByName(less.select("lexeme", (-F.col("n")).alias("n"))).groupBy("lexeme").agg(F.sum("n").alias("n"))
@@ -153,7 +209,7 @@ def compacted(index: TextIndex, spark: SparkSession, path: str) -> TextIndex:
     rows = _each(index.table(spark, "postings", last), "lexeme", "block", "gen")
     entries = _standing(rows, index.table(spark, "removed", last)).drop("gen")
     sizes = index.table(spark, "sizes", last).agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"))
-    _write(new, 0, entries, None, spark.createDataFrame([], "id long"), sizes)
+    _write(new, 0, _gathered(entries), None, spark.createDataFrame([], "id long"), sizes)
     return new
 
 
@@ -177,6 +233,7 @@ def text_hits(queries: DataFrame, index: TextIndex, most: int = search.POOL, onl
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = lambda tf, chars: F.col("idf") * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * chars / mean))
     weighed = search.few(terms.withColumn("idf", idf).drop("df"))
+    asking = search.few(weighed.groupBy("lexeme", "idf").agg(F.collect_list("query_id").alias("asking")).checkpoint())
     buckets = [r.bucket for r in terms.select("bucket").distinct().collect()]  # as many as the table has partitions
     postings = index.table(spark, "postings", last).where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
     heads = postings.select("bucket", "lexeme", "block", "gen", "most_tf", "least_chars").join(weighed, ["bucket", "lexeme"])
@@ -187,9 +244,10 @@ def text_hits(queries: DataFrame, index: TextIndex, most: int = search.POOL, onl
         """The hits of all queries in the blocks (gen, block). Entries are dealt by chunk before they meet the queries: hits are
         many times as many, and are added up where they arise."""
         wanted = postings.join(search.few(weighed.select("lexeme").distinct()), "lexeme", "left_semi").join(search.few(blocks), ["gen", "block"], "left_semi")
-        rows = _standing(_each(wanted, "lexeme", "gen"), removed)
+        rows = _standing(_each(wanted, "lexeme", "gen").repartition("id"), removed)
         rows = rows if only is None else rows.join(only.select("id"), "id", "left_semi")
-        sums = rows.repartition("id").join(weighed, "lexeme").groupBy("query_id", "id").agg(F.sum(gain(F.col("tf"), F.col("chars"))).alias("score"))
+        hits = rows.join(asking, "lexeme").select("id", gain(F.col("tf"), F.col("chars")).alias("gain"), F.explode("asking").alias("query_id"))  # a gain is the same to each query
+        sums = hits.groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
         return search.ranked(sums, F.round("score", 9), most, "text_rank").drop("text_rank")
 
     order = search.ranked(places.withColumn("id", F.struct("gen", "block")), F.col("bound"), first, "place").select("query_id", "gen", "block")

@@ -122,3 +122,27 @@ def test_a_search_reads_no_texts_and_few_partitions(spark, tmp_path):
     asked = spark.createDataFrame(QUERIES, "query_id long, query string")
     found = search.search(asked.withColumn("query_embedding", F.lit(None).cast("array<double>")), frame(spark, chunks).withColumn("embedding", F.lit(None).cast("array<double>")), 5, kept=lambda q, n: text_index.text_hits(q, index, n))
     assert {r.query_id for r in found.collect()} == plain(chunks, QUERIES, 5).keys()
+
+
+def test_lengths_are_counted_once_a_chunk(spark, tmp_path):
+    """Not in a selection with the words, where each word's row would count its text's characters: that grew with the square of a text."""
+    index = text_index.TextIndex(str(tmp_path / "none"), 4)
+    plan = checks.physical(text_index._entries(frame(spark, {1: "a b a", 2: None}), index, "id", "text"))
+    assert "length(" not in plan.split("Exchange")[0] and "length(" in plan
+
+
+def test_postings_of_weighted_fields(spark, tmp_path, small):
+    """Of any batches and blocks: each lexeme's chunks by block, a field's words as often as it weighs; few files for a partition."""
+    chunks = {i: (t, None if i % 5 == 0 else f"w1 title{i % 3}") for i, t in corpus(7, 300).items()}
+    table = spark.createDataFrame([(i, *c) for i, c in chunks.items()], "id int, text string, title string")
+    index = text_index.build(table, str(tmp_path / "index"), fields={"title": 4, "text": 1})
+    want = {}
+    for i, (text, title) in chunks.items():
+        for w, n in (Counter(re.findall("[a-z0-9]+", text or "")) + Counter({w: 4 * n for w, n in Counter((title or "").split()).items()})).items():
+            want[w, i] = (n, len(text or ""))
+    rows = index.table(spark, "postings").collect()
+    assert {(r.lexeme, i): (tf, c) for r in rows for i, tf, c in zip(r.ids, r.tfs, r.chars, strict=True)} == want
+    assert len({(r.lexeme, r.block) for r in rows}) == len(rows) and len({r.block for r in rows}) == 15
+    assert all((r.n, r.most_tf, r.least_chars) == (len(r.ids), max(r.tfs), min(r.chars)) for r in rows)
+    each = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "index" / "postings" / "gen=0").glob("bucket=*")]
+    assert max(each) <= 2 * spark.sparkContext.defaultParallelism // index.buckets
