@@ -240,20 +240,23 @@ def text_hits(queries: DataFrame, index: TextIndex, most: int = search.POOL, onl
     places = heads.groupBy("query_id", "gen", "block").agg(F.sum(gain(F.col("most_tf"), F.col("least_chars"))).alias("bound")).checkpoint()
     removed = index.table(spark, "removed", last)
 
-    def scored(blocks: DataFrame) -> DataFrame:
-        """The hits of all queries in the blocks (gen, block). Entries are dealt by chunk before they meet the queries: hits are
-        many times as many, and are added up where they arise."""
+    def scored(blocks: DataFrame, bar: DataFrame | None = None) -> DataFrame:
+        """The hits of all queries in the blocks (gen, block), those below a query's bar left out. Entries are dealt by chunk before
+        they meet the queries: hits are many times as many, and are added up where they arise."""
         wanted = postings.join(search.few(weighed.select("lexeme").distinct()), "lexeme", "left_semi").join(search.few(blocks), ["gen", "block"], "left_semi")
         rows = _standing(_each(wanted, "lexeme", "gen").repartition("id"), removed)
         rows = rows if only is None else rows.join(only.select("id"), "id", "left_semi")
         hits = rows.join(asking, "lexeme").select("id", gain(F.col("tf"), F.col("chars")).alias("gain"), F.explode("asking").alias("query_id"))  # a gain is the same to each query
         sums = hits.groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
+        if bar is not None:  # most aren't sorted, then
+            sums = sums.join(bar, "query_id", "left").where("least is null or score >= least - 1e-8").drop("least")
         return search.ranked(sums, F.round("score", 9), most, "text_rank").drop("text_rank")
 
     order = search.ranked(places.withColumn("id", F.struct("gen", "block")), F.col("bound"), first, "place").select("query_id", "gen", "block")
     start = order.select("gen", "block").distinct().checkpoint()
     begun = scored(start).checkpoint()
-    bar = begun.groupBy("query_id").agg(F.count("*").alias("found"), F.min(F.round("score", 9)).alias("least")).where(F.col("found") >= most).select("query_id", "least")
-    rest = places.join(search.few(start), ["gen", "block"], "left_anti").join(search.few(bar), "query_id", "left").where("least is null or bound >= least - 1e-8")
-    every = begun.unionByName(scored(rest.select("gen", "block").distinct().checkpoint()))
+    bar = begun.groupBy("query_id").agg(F.count("*").alias("found"), F.min(F.round("score", 9)).alias("least")).where(F.col("found") >= most).select("query_id", "least").checkpoint()
+    bar = search.few(bar)
+    rest = places.join(search.few(start), ["gen", "block"], "left_anti").join(bar, "query_id", "left").where("least is null or bound >= least - 1e-8")
+    every = begun.unionByName(scored(rest.select("gen", "block").distinct().checkpoint(), bar))
     return search.ranked(every, F.round("score", 9), most, "text_rank")
